@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 _own: dict[str, str] = {}
 
@@ -38,3 +43,24 @@ def fold(doc_id: Column, folds: int) -> Column:
 def unit(*cols: Column) -> Column:
     """A number in (0, 1) that depends on the values alone, so reruns and other partitionings agree."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def by_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], fields: str, *kept: str) -> DataFrame:
+    """The kept columns of docs, untouched, and the given fields, worked out from the whole texts of a batch.
+
+    make() is called once in a task and returns a function from a list of texts to a list of rows.
+    """
+    added = _parse_datatype_string(fields)
+    schema = StructType([*docs.select(*kept).schema.fields, *added.fields])
+
+    def run(batches):
+        work, kinds = make(), to_arrow_schema(added)
+        for b in batches:
+            rows = work(b.column(at).to_pylist())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(added.fields)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[: len(kept)], *[pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]], names=[f.name for f in schema.fields]
+            )
+
+    at = kept.index("text") if "text" in kept else len(kept)
+    return docs.select(*kept, *[F.col("text").alias("text to read")][: at == len(kept)]).mapInArrow(run, schema)

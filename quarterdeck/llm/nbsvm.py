@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import by_text, fold
 
 SLOTS = 1 << 18
 #: Labelled rows that are learned from at most, chosen by a hash of their ids; the fit is done on the driver.
@@ -178,14 +178,16 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """docs' columns keep with score and predicted, for every row; null and empty texts get the score of no features."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each slot: a fixed size
 
-    def run(batches):
+    def make():
         features, own = Features(), held.value
-        for b in batches:
-            s = np.array([own.score(features(t)) for t in b.pop("text__")], dtype=float)
-            yield b.assign(score=s, predicted=(s >= 0.5).astype("int32"))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col("text").alias("text__")).mapInPandas(run, f"{fields}, score double, predicted int")
+        def work(texts):
+            scores = [own.score(features(t)) for t in texts]
+            return [(x, int(x >= 0.5)) for x in scores]
+
+        return work
+
+    return by_text(docs, make, "score double, predicted int", *keep)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

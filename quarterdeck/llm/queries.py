@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, mixing, nbsvm, packing, simhash
+from . import chat, embeddings, langid, licenses, mixing, nbsvm, packing, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -33,10 +33,23 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -44,7 +57,10 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_source_mixing": op5_source_mixing,
     "op6_license_scan": op6_license_scan,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
+    "op10_embeddings": op10_embeddings,
 }
 #: The others can't be put in SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {"op3_chat_formatting": chat.oracle()}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import by_text, keep
 from .components import components
 
 BITS = 64
@@ -48,12 +48,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row; null and blank texts get 0. One pass, no shuffle."""
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return by_text(docs, lambda: lambda texts: [(_signed(fingerprint(t)),) for t in texts], "fp long", "doc_id")
 
 
 def _bit_counts(distinct: DataFrame) -> tuple[np.ndarray, int]:
