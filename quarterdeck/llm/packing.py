@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -23,62 +24,77 @@ from .common import keep
 PART_ROWS = 4000
 MERGE = 4
 ROUNDS = 3
-#: Memo of a task's tokenizer: words whose ids it remembers before it starts afresh.
-MEMO = 200_000
-#: A lone space between two characters that aren't white space: no token of a byte-level BPE crosses its left side.
-_LOOSE = re.compile(r"\s\s|[^\S ]|^\s|\s$")
+#: Words whose ids a worker remembers before it starts afresh, and the longest of them.
+MEMO, MEMO_CHARS = 400_000, 40
+#: A space beside other white space: only there may a token of a byte-level BPE reach across the space's left side.
+_LOOSE = re.compile(r"\s | \s")
 
 
-class Ids:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; words seen before aren't encoded again."""
+def byte_characters() -> dict[str, int]:
+    """The byte that each printable stand-in of a byte-level vocabulary means."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Ids(dict):
+    """Ids of whole texts under the byte-level BPE of a tokenizers file, as little-endian unsigned 32-bit bytes.
+
+    A dict of words (each with the space before it) to ids: words seen before aren't encoded again.
+    """
+
+    made: ClassVar[dict[str, Ids]] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__()
         with open(path, encoding="utf-8") as f:
-            special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-        self.whole = [x for x in special if " " in x]
-        self.memo: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of the text that are encoded on their own; joined, they are the text."""
-        if any(x in text for x in self.whole):
-            return [text]
-        words = text.split(" ")
-        out = [words[0]]
-        for w in words[1:]:
-            out.append(" " + w)
-        if "  " not in text and not _LOOSE.search(text):
-            return out
-        joined, loose = [], False
-        for c in out:  # a space next to other white space stays with what is before it
-            body = c[1:] if c[:1] == " " else c
-            tight = bool(joined) and bool(body) and not body[0].isspace() and not loose
-            if tight:
-                joined.append(c)
-            elif joined:
-                joined[-1] += c
+            spec = json.load(f)
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        of = byte_characters()
+        ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.special = list(special)
+        self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    @classmethod
+    def of(cls, path: str) -> Ids:
+        """One for each worker process, kept between its tasks."""
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
+
+    def chunk(self, text: str) -> bytes:
+        ids = self.bpe.encode(text, allowed_special="all") if any(x in text for x in self.special) else self.bpe.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        raw = self.chunk(" " + word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = raw
+        return raw
+
+    def encode(self, text: str) -> bytes:
+        if " " not in text or any(" " in x for x in self.special):
+            return self.chunk(text)
+        first, *words = text.split(" ")
+        if _LOOSE.search(text) is None:
+            return self.chunk(first) + b"".join(map(self.__getitem__, words))
+        out, part, tight = [], first, bool(first) and not first[-1].isspace()
+        for w in words:  # what stands beside other white space is encoded together with what is before it
+            if tight and w and not w[0].isspace():
+                out.append(self.chunk(part) if not part.startswith(" ") or len(part) > MEMO_CHARS else self[part[1:]])
+                part = " " + w
             else:
-                joined.append(c)
-            loose = not body or body[-1].isspace()
-        return joined
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        memo = self.memo
-        new = list(dict.fromkeys(c for x in cut for c in x if c not in memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(dict.fromkeys(c for x in cut for c in x))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([memo[c] for c in x]) for x in cut]
-
-
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, batch: int = 64) -> DataFrame:
+                part += " " + w
+            tight = bool(w) and not w[-1].isspace()
+        return b"".join([*out, self.chunk(part)])
+
+
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, batch: int = 10_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every row's ids and the end id, cut only where longer than size.
 
     The first piece of a long document takes the remainder, so all others are full. Null and empty texts are the end
@@ -87,21 +103,22 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0, batc
     stop = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        ids = Ids(tokenizer)
+        ids, rows = Ids.of(tokenizer), []
         for b in batches:
-            docs_, texts = b["doc_id"].to_numpy(), b["text"].tolist()
-            for at in range(0, len(texts), batch):
-                rows = []
-                for d, raw in zip(docs_[at : at + batch], ids.encode([t or "" for t in texts[at : at + batch]]), strict=True):
-                    raw += stop
-                    n = len(raw) // 4
-                    first = n % size or min(n, size)
-                    view, start, k, stop_at = memoryview(raw), 0, 0, first
-                    while start < n:
-                        rows.append((d, k, start, stop_at - start, zlib.crc32(view[4 * start : 4 * stop_at])))
-                        start, stop_at, k = stop_at, stop_at + size, k + 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
+            for d, text in zip(b["doc_id"], b["text"], strict=True):
+                raw = ids.encode(text or "") + stop
+                n = len(raw) // 4
+                view, start, k, to = memoryview(raw), 0, 0, n % size or min(n, size)
+                while start < n:
+                    rows.append((d, k, start, to - start, zlib.crc32(view[4 * start : 4 * to])))
+                    start, to, k = to, to + size, k + 1
+                if len(rows) >= batch:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
