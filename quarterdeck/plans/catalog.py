@@ -1,4 +1,6 @@
 """Every registered query and its checking SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import holdings  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
