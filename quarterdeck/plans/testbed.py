@@ -57,12 +57,12 @@ TABLES = {
           case when account_id % 4 = 0 then ending_value - before - (dep - wdr) + case when account_id % 8 = 0 then 500 else 0 end end stated_pnl,
           case when account_id % 6 = 0 then 5.0 end stated_return_pct
         from (select account_id, y, dep, wdr, ending_value, lag(ending_value) over (partition by account_id order by y) before from (
-            select account_id, y, dep, wdr, sum(moved) over (partition by account_id order by y) * 1.05 ending_value from {account_years}) a) b
+            select account_id, y, dep, wdr, sum(moved) over (partition by account_id order by y) * 1.04 ending_value from {account_years}) a) b
         where not (account_id % 13 = 0 and y = 1998)""",
     "positions": """
         select statement_id, s.account_id, case when s.account_id % 29 = 0 then make_date(year(period_end), 12, 30) else period_end end as_of_date, identifier,
           case when pmod5 = 0 then 'us_equity' when pmod5 = 1 then 'intl_equity' when pmod5 = 2 then 'fund' when pmod5 = 3 then 'cash' else 'bond' end asset_class,
-          p.value / sum(p.value) over (partition by statement_id) * ending_value * case when s.account_id % 19 = 0 then 1.01 else 1.0 end market_value
+          p.value / sum(p.value) over (partition by statement_id) * ending_value * case when s.account_id % 19 = 0 then 1.02 else 1.0 end market_value
         from {statements} s join (
           select o_custkey account_id, cast(year(o_orderdate) as int) y, l_partkey identifier, l_partkey % 5 pmod5, sum(l_extendedprice) value
           from {lineitem} join {orders} on l_orderkey = o_orderkey group by 1, 2, 3, 4) p
