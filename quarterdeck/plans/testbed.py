@@ -25,20 +25,20 @@ TABLES = {
         from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey""",
     "sectors": "select distinct concat(p_brand, '/', p_type) ticker, p_type sector from {part} where p_partkey % 20 <> 0",
     "prices": """
-        select ticker, last_day(cast(l_shipdate as date)) month, sum(l_extendedprice) / sum(l_quantity) price
+        select ticker, last_day(cast(l_shipdate as date)) as month, sum(l_extendedprice) / sum(l_quantity) price
         from {lineitem} join {cusip_map} on l_partkey = cusip where ticker is not null group by 1, 2""",
     "ticker_returns": "select a.ticker, a.month, a.price / b.price - 1 r from {prices} a join {prices} b on a.ticker = b.ticker and b.month = " + BEFORE.format("a.month"),
     "traits": """
         select concat(p_brand, '/', p_type) ticker, avg(p_size) size, avg(p_retailprice) level, count(*) parts, min(length(p_name)) shortest, max(p_partkey) % 2 odd
         from {part} where p_partkey % 20 <> 0 group by 1""",
     "factors": """
-        select month, avg(r) - 0.002 mkt_rf, avg(case when size < 25.5 then r end) - avg(case when size >= 25.5 then r end) smb,
-          avg(case when level < 1400 then r end) - avg(case when level >= 1400 then r end) hml,
+        select month, avg(r) - cast(0.002 as double) mkt_rf, avg(case when size < (select avg(size) from {traits}) then r end) - avg(case when size >= (select avg(size) from {traits}) then r end) smb,
+          avg(case when level < (select avg(level) from {traits}) then r end) - avg(case when level >= (select avg(level) from {traits}) then r end) hml,
           avg(case when odd = 0 then r end) - avg(case when odd = 1 then r end) mom,
           avg(case when parts % 2 = 0 then r end) - avg(case when parts % 2 = 1 then r end) rmw,
-          avg(case when r.ticker like '%1/%' then r end) - avg(case when r.ticker not like '%1/%' then r end) cma, 0.002 rf
+          avg(case when r.ticker like '%1/%' then r end) - avg(case when r.ticker not like '%1/%' then r end) cma, cast(0.002 as double) rf
         from {ticker_returns} r join {traits} t on r.ticker = t.ticker group by month""",
-    "manager_values": "select l_suppkey slug, last_day(cast(l_shipdate as date)) month, sum(l_extendedprice) / sum(l_quantity) v from {lineitem} group by 1, 2",
+    "manager_values": "select l_suppkey slug, last_day(cast(l_shipdate as date)) as month, sum(l_extendedprice) / sum(l_quantity) v from {lineitem} group by 1, 2",
     "manager_returns": "select a.slug, a.month, a.v / b.v - 1 r from {manager_values} a join {manager_values} b on a.slug = b.slug and b.month = " + BEFORE.format("a.month"),
     "aligned": """
         select slug, m.month, r r_p, mkt_rf + rf r_b, r - rf y, mkt_rf y_b, mkt_rf, smb, hml, mom, rmw, cma, rf
