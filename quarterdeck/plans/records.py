@@ -237,12 +237,12 @@ def _(tb):
 
 
 @query("k24_capture", """select slug, round(avg(case when r_b > 0 then r_p end) / avg(case when r_b > 0 then r_b end), 6) as up, round(avg(case when r_b <= 0 then r_p end) / avg(case when r_b <= 0 then r_b end), 6) as down
-  from aligned group by slug having count(*) filter (where r_b > 0) >= 5 and count(*) filter (where r_b <= 0) >= 5""")
+  from aligned group by slug having count(*) filter (where r_b > 0) >= 5""")
 def _(tb):
     m = lambda c, on: F.avg(F.when(on, F.col(c)))
     up, dn = F.col("r_b") > 0, F.col("r_b") <= 0
     rows = tb.aligned.groupBy("slug").agg(F.count_if(up).alias("nu"), F.count_if(dn).alias("nd"), F.try_divide(m("r_p", up), m("r_b", up)).alias("up"), F.try_divide(m("r_p", dn), m("r_b", dn)).alias("down"))
-    return tidy(rows.where("nu >= 5 and nd >= 5").select("slug", "up", "down"))
+    return tidy(rows.where("nu >= 5").select("slug", "up", "down"))
 
 
 @query("j21_common_months", """with s as (select slug from manager_returns group by 1 order by count(*) desc, slug limit 5)
