@@ -19,7 +19,7 @@ from .common import by_text, fold
 
 SLOTS = 1 << 18
 #: Labelled rows that are learned from at most, chosen by a hash of their ids; the fit is done on the driver.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 PASSES = 12
 COST = 1.0
 #: Words whose hashes a task remembers before it starts afresh.
@@ -103,7 +103,8 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     y is 1 or -1; each class weighs the same in total.
     """
     w, bias, rng = np.zeros(len(ratio)), 0.0, np.random.default_rng(seed)
-    values = [ratio[x] / max(len(x), 1) ** 0.5 for x in rows]
+    ratio = ratio.astype(np.float32)
+    values = [ratio[x] / np.float32(max(len(x), 1) ** 0.5) for x in rows]
     norms = np.array([float(v @ v) + 1 for v in values])
     share = {1: 0.5 * len(y) / max((y > 0).sum(), 1), -1: 0.5 * len(y) / max((y < 0).sum(), 1)}
     top = np.array([cost * share[int(t)] for t in y])
@@ -153,15 +154,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     def run(batches):
         features = Features()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "x": [features(t).tolist() for t in b["text"]]})
-
-    got = joined.mapInPandas(run, "doc_id string, y int, x array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable").reset_index(drop=True)
-    x = [np.asarray(v, dtype=np.int64) for v in got["x"]]
-    y = got["y"].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "x": [features(t).astype(np.int32) for t in b["text"]]})
+
+    # all slots in one array, and each row's as a view of it: the driver holds four bytes for a slot
+    got = joined.mapInPandas(run, "doc_id string, y int, x array<int>").toArrow().combine_chunks()
+    ids, y = np.array(got["doc_id"].to_pylist(), dtype=object), np.array(got["y"].to_pylist(), dtype=np.int64)
+    lists = got["x"].combine_chunks() if got.num_rows else None
+    if lists is not None and hasattr(lists, "num_chunks"):
+        lists = lists.chunk(0)
+    flat, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if lists is not None else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    order = np.lexsort((y, ids.astype(str))) if len(y) else np.zeros(0, np.int64)
+    x, y, ids = [flat[ends[i] : ends[i + 1]] for i in order], y[order], ids[order]
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(SLOTS), 0.0, 1.0, float(np.log(p / (1 - p))))
-    apart = np.array([_hash(d) % 5 == 0 for d in got["doc_id"]]) if len(y) >= 50 else np.zeros(len(y), bool)
+    apart = np.array([_hash(d) % 5 == 0 for d in ids]) if len(y) >= 50 else np.zeros(len(y), bool)
     inner = np.flatnonzero(~apart)
     if len(set(y[inner].tolist())) < 2:
         inner = np.arange(len(y))
