@@ -252,13 +252,12 @@ def residuals(aligned: DataFrame, least: int = 60) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")
-        if len(pdf) < least:
-            return pd.DataFrame({"slug": [], "month": pd.Series([], dtype=object), "u": [], "alpha": [], "se": []})
         x = np.column_stack([np.ones(len(pdf)), pdf[MODELS["FF3"]].to_numpy(float)])
         beta, se, u, _ = ols(x, pdf["y"].to_numpy(float), hac_lag(len(pdf)))
         return pd.DataFrame({"slug": pdf["slug"], "month": pdf["month"], "u": u, "alpha": beta[0], "se": se[0]})
 
-    return aligned.groupBy("slug").applyInPandas(run, "slug long, month date, u double, alpha double, se double")
+    long = aligned.withColumn("n", F.count("*").over(Window.partitionBy("slug"))).where(F.col("n") >= least)
+    return long.groupBy("slug").applyInPandas(run, "slug long, month date, u double, alpha double, se double")
 
 
 def pair_correlations(series: DataFrame, value: str = "u", least: int = 24, shrink: float = 0.5) -> DataFrame:

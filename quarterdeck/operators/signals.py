@@ -195,10 +195,7 @@ def cross_sections(panel: DataFrame, styles: list[str]) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["fwd", *styles])
-        inds = sorted(pdf["sector"].dropna().unique())
-        if len(pdf) < len(styles) + len(inds) + 2:
-            return pd.DataFrame({"month": pd.Series([], dtype=object), "factor": [], "ret": [], "r2": []})
+        inds = sorted(pdf["sector"].unique())
         dummies = np.column_stack([(pdf["sector"] == s).to_numpy(float) for s in inds])
         share = dummies.mean(axis=0)
         free = dummies[:, :-1] - np.outer(dummies[:, -1], share[:-1] / share[-1])
@@ -212,7 +209,10 @@ def cross_sections(panel: DataFrame, styles: list[str]) -> DataFrame:
         names = ["market", *styles, *[f"ind:{s}" for s in inds]]
         return pd.DataFrame({"month": pdf["month"].iloc[0], "factor": names, "ret": [*b.tolist(), last], "r2": r2})
 
-    return panel.groupBy("month").applyInPandas(run, "month date, factor string, ret double, r2 double")
+    own = Window.partitionBy("month")
+    full = panel.select("month", "sector", "fwd", *styles).dropna()
+    enough = full.withColumn("n", F.count("*").over(own)).withColumn("k", F.size(F.collect_set("sector").over(own))).where(F.col("n") >= F.col("k") + len(styles) + 2)
+    return enough.groupBy("month").applyInPandas(run, "month date, factor string, ret double, r2 double")
 
 
 def ewma_weights(dates: DataFrame, window: int = 60, half_life: float = 24) -> DataFrame:
