@@ -11,12 +11,10 @@ from ..sources import readers as s
 from ..streaming import jobs as j
 from .registry import query, tidy
 
-PRINTED = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
-
-
 @query("f01_numbers", "select o_orderkey, case when o_orderkey % 9 = 0 then 0.0 when o_orderkey % 2 = 0 then -o_totalprice else o_totalprice end as value from orders")
 def _(tb):
-    text = F.when(F.col("o_orderkey") % 9 == 0, "-").when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("("), PRINTED, F.lit(")"))).otherwise(F.concat(F.lit(" "), PRINTED))
+    printed = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
+    text = F.when(F.col("o_orderkey") % 9 == 0, "-").when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("("), printed, F.lit(")"))).otherwise(F.concat(F.lit(" "), printed))
     return tb.orders.select("o_orderkey", c.number(text).alias("value"))
 
 
@@ -209,11 +207,11 @@ def _(tb):
 
 
 @query("t04_chain_check", """with p as (select *, lag(period_end) over w pe, lag(ending_value) over w pv from statements window w as (partition by account_id order by period_end))
-  select statement_id, case when date_diff('day', pe, period_start) = 1 and beginning_value is not null then abs(beginning_value - pv) > greatest(1, 1e-4 * greatest(abs(beginning_value), abs(pv))) end as broken,
+  select statement_id, case when date_diff('day', pe, period_start) = 1 and beginning_value is not null then cast(abs(beginning_value - pv) > greatest(1, 1e-4 * greatest(abs(beginning_value), abs(pv))) as int) end as broken,
     date_diff('day', pe, period_start) - 1 as gap_days from p""")
 def _(tb):
     st = _written(tb, tb.statements.select("account_id", "statement_id", "period_start", "period_end", "beginning_value", "ending_value"))
-    return j.run_to_memory(j.chain_check(st), f"t04_{uuid.uuid4().hex}", "append", _place(tb)).select("statement_id", "broken", "gap_days")
+    return j.run_to_memory(j.chain_check(st), f"t04_{uuid.uuid4().hex}", "append", _place(tb)).select("statement_id", F.col("broken").cast("int").alias("broken"), "gap_days")
 
 
 @query("t05_position_expiry", "select slug, max(filed) as filed, last_day(cast(max(filed) + interval '4' month as date)) as expires from holdings group by 1")
