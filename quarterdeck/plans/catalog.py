@@ -1,6 +1,6 @@
 """Every registered query and its checking SQL, by name."""
 
-from . import accounts, holdings, intake, portfolios, records  # noqa: F401
+from . import accounts, holdings, intake, portfolios, records, research  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
