@@ -139,3 +139,36 @@ def _(tb):
     w = b.weigh(b.build(tb.holdings)).withColumn("last", F.expr("max(filed) over (partition by slug, period)"))
     n = lambda d, k: d.agg(F.lit(k).alias("kind"), F.count("*").alias("n"))
     return n(w.where(F.col("last") > b.formation_date(F.col("period"))), "late filings").unionByName(n(w.where("n_book < 5"), "small books")).unionByName(n(books(tb).where("ticker is null"), "unmapped lines"))
+
+
+@query("a28_filing_summary", LONG + """, n as (select slug, period, count(*) n, sum(case when ticker is not null then w_all else 0 end) share from books group by 1, 2)
+  select slug, arg_max(n, period) as latest_names, round(quantile_cont(n, 0.5), 6) as median_names, round(arg_max(share, period), 6) as priced from n group by 1""")
+def _(tb):
+    n = books(tb).groupBy("slug", "period").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ticker").isNotNull(), F.col("w_all")).otherwise(0.0)).alias("share"))
+    return tidy(n.groupBy("slug").agg(F.max_by("n", "period").alias("latest_names"), F.percentile("n", F.lit(0.5)).alias("median_names"), F.max_by("share", "period").alias("priced")))
+
+
+@query("o06_candidate_pool", """with s as (select slug, avg(r_p - r_b) / stddev_samp(r_p - r_b) * sqrt(12) ir, count(*) n from aligned group by 1)
+  select s.slug as slug, style, round(ir, 6) as ir from s join funds f on s.slug = f.slug where n >= 36 and style not in ('multi', 'macro', 'mm') order by ir desc, s.slug limit 40""")
+def _(tb):
+    s = r.risk_metrics(tb.aligned, "slug").where("periods >= 36").select("slug", F.col("information_ratio").alias("ir"))
+    fit = tb.funds.where(~F.col("style").isin("multi", "macro", "mm")).select("slug", "style")
+    return tidy(s.join(fit, "slug").select("slug", "style", "ir").orderBy(F.desc("ir"), "slug").limit(40))
+
+
+@query("u04_common_holders", """with h as (select distinct slug, cusip from holdings where putcall = '' and value > 0)
+  select a.slug as a, b.slug as b, count(*) as names from h a join h b on a.cusip = b.cusip and a.slug < b.slug group by 1, 2""")
+def _(tb):
+    from ..operators.books import long_positions
+
+    h = long_positions(tb.holdings).select("slug", "cusip").distinct()
+    return h.select(F.col("slug").alias("a"), "cusip").join(h.select(F.col("slug").alias("b"), "cusip"), "cusip").where("a < b").groupBy("a", "b").agg(F.count("*").alias("names"))
+
+
+@query("p12_fact_kinds", """select o_orderkey, date_diff('day', s, e) as days from (select o_orderkey, cast(o_orderdate as date) e, cast(cast(o_orderdate as date) - cast(o_orderkey % 500 as int) as date) s from orders)
+  where date_diff('day', s, e) between 330 and 400""")
+def _(tb):
+    from ..operators.signals import facts_of_kind
+
+    f = tb.orders.select("o_orderkey", F.to_date("o_orderdate").alias("end"), F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 500).cast("int")).alias("start"))
+    return facts_of_kind(f, "annual").select("o_orderkey", F.datediff("end", "start").alias("days"))
