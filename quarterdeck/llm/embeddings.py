@@ -1,10 +1,11 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
 Vectors of one label are points on the unit sphere; cosine >= c is a distance of at most sqrt(2 - 2 c). Each label's
-points hang in a tree of nested levels whose covering radii halve from level to level: a node takes the points that are
-nearest to its centre, and gives way to nodes of half the radius until it is small enough for one task. Node pairs are
-followed downwards together: a pair lives on only if its centres are no further apart than both true radii and the
-threshold. What is left at the leaves is compared exactly, in double precision.
+points hang in a tree of nested levels: a node takes the points that are nearest to its centre, and gives way to smaller
+nodes until it is small enough for one task, or so tight that all its points link. Tight nodes, and what is left after
+the last level, are dealt into blocks of a task's size. Node pairs are followed downwards together: a pair lives on only
+if its centres are no further apart than both true radii and the threshold. What is left at the leaves is compared
+exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -18,34 +19,48 @@ from .common import keep
 from .components import components
 
 COSINE = 0.98
-#: Points that a leaf holds at most, unless all of them link with each other; a task compares two leaves.
+#: Points that a leaf holds at most (blocks, which are dealt by a hash: on average); a task compares two leaves.
 LEAF = 1500
-#: Centres that a node is parted into at each level.
+#: Centres that a node is parted into at each level, besides its own and its farthest point.
 FAN = 8
+#: Levels after which nodes that are still large are dealt into blocks.
 LEVELS = 40
+#: Allowance for rounding in a bound.
+SLACK = 1e-6
 
 
-def _points(vectors: DataFrame) -> DataFrame:
-    """(label, v, id, n): distinct valid vectors of a label, with the smallest id and the number of rows."""
+def _directions(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, u) for every row: u is the unit vector, null where the vector, the label or the id isn't valid."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     v = F.col("embedding").cast("array<double>")
-    ok = vectors.select("vec_id", "label", v.alias("v")).where("label is not null and v is not null and size(v) > 0")
-    ok = ok.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
-    return ok.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n"))
+    valid = F.expr("vec_id is not null and label is not null and v is not null and size(v) > 0") & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
+    ok = vectors.select("vec_id", "label", v.alias("v")).select("vec_id", "label", F.when(valid, F.col("v")).alias("v"))
+    # the largest component to 1 first: neither overflow nor underflow
+    even = ok.withColumn("w", F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y)))))
+    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    return even.select("vec_id", "label", F.transform("w", lambda x: x / length).alias("u"))
+
+
+def _points(directions: DataFrame) -> DataFrame:
+    """(label, u, id, n): distinct directions of a label, with the smallest id and the number of rows."""
+    return directions.where("u is not null").groupBy("label", "u").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n"))
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * a @ b.T, 0))
 
 
-def _centres(points: DataFrame) -> DataFrame:
+def _centres(points: DataFrame, info: DataFrame) -> DataFrame:
     """(node, k, cv): up to FAN points of each node, by a hash of the id: the same under any partitioning.
 
-    The smallest hash of each of FAN bins, so a node is never gathered.
+    The smallest hash of each of FAN bins, so a node is never gathered. A node's own centre and the point farthest from
+    it are taken too, so a node with a radius always parts.
     """
     hashed = points.select("node", "id", "u", F.xxhash64("id", F.lit(77)).alias("h"))
     least = hashed.groupBy("node", F.pmod("h", F.lit(FAN)).alias("k")).agg(F.min_by("u", F.struct("h", "id")).alias("cv"))
-    return least.select("node", "k", "cv")
+    far = points.groupBy("node").agg(F.max_by("u", F.struct("d", "id")).alias("cv")).select("node", F.lit(FAN + 1).cast("long").alias("k"), "cv")
+    own = points.select("node").distinct().join(info, "node").select("node", F.lit(FAN).cast("long").alias("k"), F.col("c").alias("cv"))
+    return least.select("node", F.col("k").cast("long").alias("k"), "cv").unionByName(own).unionByName(far)
 
 
 def _assign(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -65,31 +80,42 @@ def _assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "node long, id long, u array<double>, k long, d double")
 
 
-def build(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+def build(points: DataFrame, threshold: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(node, id, u) of leaves, and the tree (node, parent, c, r, n): centres, covering radii as measured, and sizes.
 
-    points(label, id, u). A node of more than leaf points gives way to children around FAN of its points; distinct
-    points always part, so every node comes to an end.
+    points(label, id, u). A node of more than leaf points gives way to children around some of its points, unless its
+    radius proves that all of them link. Such a node, and one that is still large after LEVELS, gives way to blocks of
+    about leaf points around its centre; so every point is in one leaf.
     """
     now = keep(points.select(F.xxhash64("label", F.lit("root")).alias("node"), "id", "u"))
     centre = now.groupBy("node").agg(F.min_by("u", F.struct(F.xxhash64("id", F.lit(5)), "id")).alias("c"), F.count("*").alias("n"))
-    far = now.join(centre, "node").groupBy("node").agg(F.max(_distance(F.col("u"), F.col("c"))).alias("r"))
+    now = keep(now.join(centre, "node").select("node", "id", "u", _distance(F.col("u"), F.col("c")).alias("d")))
+    far = now.groupBy("node").agg(F.max("d").alias("r"))
     info = keep(centre.join(far, "node").select("node", F.lit(None).cast("long").alias("parent"), "c", "r", "n"))
     tree = leaves = None
-    for _ in range(LEVELS):
+    for level in range(LEVELS + 1):
         tree = info if tree is None else tree.unionByName(info)
-        done = now.join(info.where(F.col("n") <= leaf).select("node"), "node")
+        done = now.join(info.where(F.col("n") <= leaf).select("node"), "node").select("node", "id", "u")
         leaves = done if leaves is None else leaves.unionByName(done)
-        large = info.where(F.col("n") > leaf).select("node")
-        if large.isEmpty():
+        parts = (F.col("r") > max((threshold - SLACK) / 2, SLACK)) & F.lit(level < LEVELS)
+        large = keep(info.where(F.col("n") > leaf).select("node", "c", "n", parts.alias("parts")))
+        kinds = {r.parts for r in large.select("parts").distinct().collect()}
+        if False in kinds:
+            block = F.pmod(F.xxhash64("id", F.lit(78)), F.ceil(F.col("n") / leaf))
+            dealt = now.join(large.where("not parts").select("node", "c", "n"), "node")
+            dealt = keep(dealt.select(F.xxhash64("node", block, F.lit("block")).alias("block"), "node", "c", "id", "u", "d"))
+            sizes = dealt.groupBy("block", "node").agg(F.max("d").alias("r"), F.count("*").alias("n"))
+            tree = tree.unionByName(sizes.join(info.select("node", "c"), "node").select(F.col("block").alias("node"), F.col("node").alias("parent"), "c", "r", "n"))
+            leaves = leaves.unionByName(dealt.select(F.col("block").alias("node"), "id", "u"))
+        if True not in kinds:
             break
-        open_ = keep(now.join(large, "node"))
-        centres = keep(_centres(open_))
+        open_ = keep(now.join(large.where("parts").select("node"), "node"))
+        centres = keep(_centres(open_, info))
         moved = keep(_assign(open_, centres))
         child = F.xxhash64("node", "k", F.lit("child"))
         sizes = moved.groupBy("node", "k").agg(F.max("d").alias("r"), F.count("*").alias("n"))
         info = keep(sizes.join(centres, ["node", "k"]).select(child.alias("node"), F.col("node").alias("parent"), F.col("cv").alias("c"), "r", "n"))
-        now = moved.select(child.alias("node"), "id", "u")
+        now = moved.select(child.alias("node"), "id", "u", "d")
     return leaves, tree
 
 
@@ -98,15 +124,11 @@ def _distance(a, b):
     return F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0)))
 
 
-#: Allowance for rounding in a bound.
-SLACK = 1e-6
-
-
 def node_pairs(tree: DataFrame, threshold: float) -> DataFrame:
     """(x, y, every): pairs of leaves, x <= y, that may hold a link; every: all their points link, by the same bounds.
 
     Both trees are followed down together: a pair of nodes lives on only if its centres are no further apart than both
-    covering radii and the threshold.
+    covering radii and the threshold. Each round goes down a level, so the rounds end with the tree.
     """
     info = keep(tree)
     kids = info.where("parent is not null").select(F.col("parent").alias("p"), F.col("node").alias("kid"))
@@ -114,7 +136,7 @@ def node_pairs(tree: DataFrame, threshold: float) -> DataFrame:
     apart, radii = _distance(F.col("xc"), F.col("yc")), F.col("xr") + F.col("yr")
     top = info.where("parent is null").select("node")
     pairs, out = keep(top.select(F.col("node").alias("x"), F.col("node").alias("y"))), None
-    for _ in range(LEVELS):
+    while True:
         down = pairs
         for side in "xy":
             down = down.join(kids.select(F.col("p").alias(side), F.col("kid").alias(f"{side}_kid")), side, "left")
@@ -214,17 +236,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF
 
     n_links counts the other rows of the label at cosine >= the threshold; component_id is the smallest vec_id
     reachable by links. Vectors that are null, empty, zero or hold a null or non-finite component, and those without
-    label or id, link with nothing; so do vectors of different length. Equal vectors are one point with a count, so
-    copies cost nothing more. An empty table gives no rows; other columns are not read.
+    label or id, link with nothing; so do vectors of different length. Vectors of equal direction are one point with a
+    count, so copies cost nothing more. An empty table gives no rows; other columns are not read.
     """
-    rows = keep(vectors.select("vec_id", "label", "embedding"))
+    rows = keep(_directions(vectors))
     points = keep(_points(rows))
-    # the largest component to 1 first: neither overflow nor underflow
-    even = points.withColumn("w", F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y)))))
-    length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    units = keep(even.select(F.struct("label", F.size("v").alias("width")).alias("label"), "id", "n", F.transform("w", lambda x: x / length).alias("u")))
+    units = points.select(F.struct("label", F.size("u").alias("width")).alias("label"), "id", "n", "u")
     threshold = float(np.sqrt(2 - 2 * cosine))
-    leaves, tree = build(units.select("label", "id", "u"), leaf)
+    leaves, tree = build(units.select("label", "id", "u"), threshold, leaf)
     pairs = keep(node_pairs(tree, threshold))
     held = leaves.join(units.select("id", "n"), "id").groupBy("node")
     members = keep(held.applyInPandas(_within(threshold), "node long, id long, n long, u array<double>, coarse long, fine long"))
@@ -241,9 +260,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF
     edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b")))
     counts = counts.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(edges).withColumnRenamed("node", "id")
-    named = points.select("label", "v", "id", "n").join(counts, "id", "left").join(roots, "id", "left")
-    named = named.select(F.col("label").alias("of"), "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    mine = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    out = mine.join(named, (F.col("label") == F.col("of")) & (F.col("e") == F.col("v")) & F.col("vec_id").isNotNull(), "left")
+    named = points.select("label", "u", "id", "n").join(counts, "id", "left").join(roots, "id", "left")
+    named = named.select(F.col("label").alias("of"), F.col("u").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    out = rows.join(named, (F.col("label") == F.col("of")) & (F.col("u") == F.col("v")), "left")
     component = F.coalesce(F.col("root"), F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -41,5 +41,18 @@ def test_links_and_components_match_brute_force(spark, leaf):
     assert got == sorted(plain(rows, 0.98), key=key)
 
 
+@pytest.mark.parametrize("levels", [40, 1])
+def test_points_of_one_direction_and_large_rests_lose_no_link(spark, monkeypatch, levels):
+    monkeypatch.setattr(embeddings, "LEVELS", levels)
+    rng = np.random.default_rng(4)
+    v, w = rng.normal(size=5), rng.normal(size=5)
+    rows = [(k, [float(x) for x in v * (k + 1)], 0) for k in range(40)] + [(100, [float(x) for x in -v], 0), (101, [float(x) for x in v + 0.15 * w], 0)]
+    rows += [(200 + k, [float(k + 1)], 1) for k in range(30)] + [(300 + k, [-float(k + 1)], 1) for k in range(3)]
+    rows += [(400 + k, [float(x) for x in w + (0.03 + 0.25 * (k % 2)) * rng.normal(size=5)], 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embeddings.near_duplicates(df, leaf=6).collect()))
+    assert got == sorted(plain(rows, 0.98))
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
