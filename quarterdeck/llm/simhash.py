@@ -25,19 +25,25 @@ BUCKET = 2000
 ESTIMATE_ROWS = 3000
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of one text: bit j is set if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of width words; of all words if they are fewer, none of a blank text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line, size = b" ".join(words), len(words)
     if size <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, size) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: size - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(line[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, size) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: size - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of one text: bit j is set if it is set in over half of the shingles' XXH64."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
