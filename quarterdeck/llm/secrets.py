@@ -335,12 +335,21 @@ def field_spans(field: Field, lines: Lines, text: str, lead: float = LEAD) -> li
     return out
 
 
+def _covered(span: tuple[int, int, str], base: list[tuple[int, int, str]]) -> bool:
+    """Whether the base spans, by start, leave nothing of the span."""
+    at = span[0]
+    for s, e, _ in base:
+        if s <= at < e:
+            at = e
+    return at >= span[1]
+
+
 def find(field: Field, lines: Lines, text: str | None) -> tuple[list, list]:
-    """Base spans, and those of the field that touch none of them."""
+    """Base spans, and those of the field that hold more than base spans do; the two may overlap."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in field_spans(field, lines, text) if not any(s[0] < e and b < s[1] for b, e, _ in base)]
+    more = [s for s in field_spans(field, lines, text) if not _covered(s, base)]
     return base, more
 
 

@@ -71,3 +71,16 @@ def test_viterbi_is_the_best_of_all_paths_and_the_bound_loses_none():
         best = max(product(range(3), repeat=5), key=score)
         tags, gain = secrets.viterbi(f, e)
         assert tuple(tags) == best and abs(gain - (score(best) - score((0,) * 5))) < 1e-9
+
+
+def test_field_spans_that_go_on_past_a_pattern_are_kept(spark):
+    weights = np.zeros((secrets.SHAPES + 1, 3))
+    first, step = np.array([0.0, 9.0, secrets.FORBID]), np.zeros((3, 3))
+    step[1, 2], step[2, 0], step[0, 2] = 5, 5, secrets.FORBID
+    field = secrets.Field(weights, weights, weights, np.zeros((4, 3)), step, first)  # tags a line's first two words
+    rows = ["password=abcdefghijkl!x9$Kd72 more stays here", "password=abcdefghijkl more stays here", "password=abcdefghijkl token=abcdefghijkl stays here"]
+    base, more = secrets.find(field, secrets.Lines(), rows[0])
+    assert base == [(0, 21, "assign")] and more == [(0, 34, "crf")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = [r.text for r in secrets.redact(docs, field).orderBy("doc_id").collect()]
+    assert got == [f"{secrets.MASK} stays here", f"{secrets.MASK} stays here", f"{secrets.MASK} stays here"]
