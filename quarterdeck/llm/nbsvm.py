@@ -19,7 +19,7 @@ from .common import by_text, fold
 
 SLOTS = 1 << 18
 #: Labelled rows that are learned from at most, chosen by a hash of their ids; the fit is done on the driver.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 6000
 PASSES = 12
 COST = 1.0
 #: Words whose hashes a task remembers before it starts afresh.

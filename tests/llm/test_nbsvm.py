@@ -33,3 +33,7 @@ def test_held_out_rows_are_classified_and_odd_rows_defined(spark):
     assert {r.doc_id for r in got if r.held_out} == want
     assert nbsvm.classify(docs.limit(0), labels).count() == 0
     assert {r.score for r in nbsvm.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_learns_from_six_thousand_rows():
+    assert nbsvm.TRAIN_ROWS >= 6000 and nbsvm.learn.__defaults__[-1] == nbsvm.TRAIN_ROWS
