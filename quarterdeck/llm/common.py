@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quarterdeck-"))
 
 

@@ -12,11 +12,12 @@ def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the smallest node reachable.
 
     Each round is two grouped minima (combined on the map side) and two joins; a node with very many links is a
-    skewed join key, which adaptive execution splits. Rounds grow with the logarithm of the longest path.
+    skewed join key, which adaptive execution splits. Rounds go on until the links stand still; they grow with the
+    logarithm of the longest path.
     Null ends, self links and repeated links are ignored; no links give no rows.
     """
     edges = keep(
@@ -24,9 +25,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     mark = _mark(edges)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -6,19 +7,24 @@ import pandas as pd
 from quarterdeck.llm import langid
 
 
-def test_probabilities_sum_to_one_and_match_plain_kneser_ney():
-    text = "abracadabra cab bad arc abba"
-    c = langid.codes(text)
+def model_of(texts):
+    """A model of {language: text}, counted here."""
     rows = []
-    for n in range(1, langid.ORDER + 1):
-        grams, first, count = np.unique(langid.gram_hashes(c, n), return_index=True, return_counts=True)
-        ctx = langid.gram_hashes(c[:-1], n - 1) if n > 1 else np.zeros(len(c), np.uint64)
-        low = langid.gram_hashes(c[1:], n - 1) if n > 1 else np.zeros(len(c), np.uint64)
-        rows.append(pd.DataFrame({"lang": "x", "n": n, "gram": grams.view(np.int64), "ctx": ctx[first].view(np.int64), "low": low[first].view(np.int64), "c": count}))
-    model = langid._model(pd.concat(rows), ["x"])
-    s, d = [chr(int(x)) for x in c], langid.DISCOUNT
-    raw = {n: pd.Series(["".join(s[i : i + n]) for i in range(len(s) - n + 1)]).value_counts().to_dict() for n in range(1, langid.ORDER + 1)}
-    seen = {n: raw[n] if n == langid.ORDER else pd.Series([g[1:] for g in raw[n + 1]]).value_counts().to_dict() for n in raw}
+    for lang, text in texts.items():
+        h = langid.gram_hashes(langid.codes(text))
+        for n in range(1, langid.ORDER + 1):
+            gram, first, count = np.unique(h[n - 1], return_index=True, return_counts=True)
+            ctx = h[n - 2][first] if n > 1 else np.zeros(len(first), np.uint64)
+            low = h[n - 2][first + 1] if n > 1 else np.zeros(len(first), np.uint64)
+            rows.append(pd.DataFrame({"lang": lang, "n": n, "gram": gram.view(np.int64), "ctx": ctx.view(np.int64), "low": low.view(np.int64), "c": count}))
+    return langid._model(pd.concat(rows), sorted(texts))
+
+
+def plain(text):
+    """p(last character of gram after those before it), as the textbook has it."""
+    s, d = [chr(int(x)) for x in langid.codes(text)], langid.DISCOUNT
+    raw = {n: Counter("".join(s[i : i + n]) for i in range(len(s) - n + 1)) for n in range(1, langid.ORDER + 1)}
+    seen = {n: raw[n] if n == langid.ORDER else Counter(g[1:] for g in raw[n + 1]) for n in raw}
 
     def p(gram):
         n = len(gram)
@@ -27,29 +33,58 @@ def test_probabilities_sum_to_one_and_match_plain_kneser_ney():
         total = sum(own.values())
         return (max(own.get(gram, 0) - d, 0) + d * len(own) * below) / total if total else below
 
-    for n in range(1, langid.ORDER + 1):
-        for gram in raw[n]:
-            h = langid.gram_hashes(np.array([ord(x) for x in gram], np.uint64), n)
-            at = int(np.searchsorted(model.keys[n - 1], h)[0])
-            assert math.isclose(model.logs[n - 1][at, 0], math.log(p(gram)), rel_tol=1e-9), gram
-    assert abs(sum(p("ab" + x) for x in set(s)) + p("ab?") * (langid.ALPHABET - len(set(s))) - 1) < 1e-6
+    return p
+
+
+TEXTS = {"x": "abracadabra cab bad arc abba", "y": "the cat sat on the mat abra", "z": "\u0434\u0430 \u043d\u0435\u0442"}
+
+
+def of(s):
+    return np.array([ord(x) for x in s], np.uint64)
+
+
+def test_scorer_is_plain_kneser_ney_for_seen_and_unseen_n_grams():
+    model, letters = model_of(TEXTS), sorted({*"".join(TEXTS.values()), "q", "\U0001f642"})
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(letters, n)) for n in (2, 3, 4, 5, 9, 40) for _ in range(20)]
+    for j, lang in enumerate(sorted(TEXTS)):
+        p = plain(TEXTS[lang])
+        for line in lines:
+            want = sum(math.log(p(line[max(i - langid.ORDER + 1, 0) : i + 1])) for i in range(1, len(line)))
+            assert math.isclose(model.log_probability(of(line))[j], want, rel_tol=1e-9), (lang, line)
+
+
+def test_mass_after_every_context_is_one():
+    model, letters = model_of(TEXTS), sorted({*"".join(TEXTS.values())})
+    for context in ["a", "ab", "abr", "cad", "bra", "the", "zzz", "q", " ", "at ", "\u043d\u0435"]:
+        skip = len(context)
+        each = np.array([np.exp(model.log_probability(of(context + x), skip)) for x in [*letters, "\u4e00"]])
+        mass = each[:-1].sum(axis=0) + each[-1] * (langid.ALPHABET - len(letters))
+        assert np.allclose(mass, 1, rtol=1e-9), context
 
 
 def test_long_texts_are_read_whole_and_in_chunks_alike(monkeypatch):
     rng = np.random.default_rng(1)
-    text = "".join(rng.choice(list("abcd efgé"), 5000))
-    keys = [np.unique(langid.gram_hashes(langid.codes(text[:2000]), n)) for n in range(1, langid.ORDER + 1)]
-    model = langid.Model(["x"], keys, [np.log(rng.random((len(k), 1))) for k in keys], np.array([-9.0]), np.array([9.0]), 1.0)
+    text = "".join(rng.choice(list("abcd efg\u00e9"), 5000))
+    model = model_of({"x": text[:2000], "y": text[1500:]})
     whole = model.entropies(text)
-    monkeypatch.setattr(langid, "CHUNK", 700)
-    assert np.allclose(whole, model.entropies(text))
+    for size in (1, 2, 3, 700):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert np.allclose(whole, model.entropies(text))
+
+
+def test_letters_are_those_of_unicode():
+    for t in ["\u00b2", "\u00bd", "12 34", "_", "", None, "\u2167", "\U0001f642"]:
+        assert not langid.has_letter(t)
+    for t in ["\u00aa", "\u05d0", "1a", "\u4e00", "\U00020000"]:
+        assert langid.has_letter(t)
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = np.random.default_rng(4)
     parts = {"aa": ["the", "and", "ing", "tion"], "bb": ["der", "und", "sch", "ung"], "cc": ["que", "eau", "les", "oux"]}
     rows = [(i, " ".join("".join(rng.choice(parts[k], 2)) for _ in range(30)), k, "x", 0.0) for i, k in enumerate(rng.choice(list(parts), 300).tolist())]
-    rows += [(300, None, "aa", "x", 0.0), (301, "", None, "x", 0.0), (302, "12 34 !", "bb", "x", 0.0), (303, "the andtion " * 30_000, None, "x", 0.0), (5, rows[5][1], rows[5][2], "x", 0.0), (None, rows[5][1], None, "x", 0.0)]
+    rows += [(300, None, "aa", "x", 0.0), (301, "", None, "x", 0.0), (302, "12 34 ! \u00b2", "bb", "x", 0.0), (303, "the andtion " * 30_000, None, "x", 0.0), (5, rows[5][1], rows[5][2], "x", 0.0), (None, rows[5][1], None, "x", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
     got = langid.predict(docs).collect()
     assert len(got) == len(rows)
