@@ -4,8 +4,9 @@ Targets are words per source. A document of expected copies m gets floor(m) cert
 inclusion probability p, unequal within a source. Documents are ranked by random odds over inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and taken from the smallest on until the source's remaining words are reached.
 
-Random numbers come from a hash of the id, so reruns and other partitionings agree. No source is gathered or sorted as
-a whole: ranks are cut by two levels of histograms, and only the last bucket of a source is looked at row by row.
+Random numbers come from a hash of id and text, so reruns and other partitionings agree; rows that repeat both are
+numbered and drawn apart. No source is gathered or sorted as a whole: ranks are cut by two levels of histograms, and
+only the last bucket of a source is looked at row by row.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ MOST_COPIES = 3
 TILT = 0.25
 BUCKETS = 4096
 SEED = 20
+#: Rows that are numbered in one group.
+RUN = 1 << 13
 
 
 def words(text: Column) -> Column:
@@ -29,6 +32,27 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def drawn(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with draw, a hash by which each row's random number is made.
+
+    It is a hash of id and text. Rows that repeat both are numbered, so that they are drawn apart: as such rows are
+    alike, it doesn't matter which of them gets which number. They are numbered by runs of bounded length, and the runs
+    put one behind the other, so no group of copies meets in a task.
+    """
+    rows = docs.withColumn("draw", F.xxhash64("doc_id", "text"))
+    again = keep(rows.groupBy("draw").agg(F.count("*").alias("times")).where("times > 1").select("draw"))
+    if again.isEmpty():
+        return rows
+    rows = keep(rows.withColumn("at", F.monotonically_increasing_id()))
+    place = rows.select("draw", "at").join(again, "draw", "left_semi").withColumn("run", F.floor(F.col("at") / RUN))
+    runs = keep(place.groupBy("draw", "run").agg(F.count("*").alias("times")))
+    before = F.coalesce(F.sum("times").over(Window.partitionBy("draw").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("draw", "run").orderBy("at"))
+    numbered = place.withColumn("own", own).join(runs.select("draw", "run", before.alias("before")), ["draw", "run"])
+    new = numbered.select("at", F.xxhash64("draw", F.col("before") + F.col("own")).alias("new"))
+    return keep(rows.join(new, "at", "left").withColumn("draw", F.coalesce("new", "draw")).drop("at", "new"))
+
+
 def _ordered(sources: DataFrame) -> DataFrame:
     """sources with their rank by code point, null last: a range sort and counts by partition, so no task sees them all."""
     spread = keep(
@@ -101,10 +125,10 @@ def _rank(p: Column, u: Column) -> Column:
 
 
 def _with_ranks(df: DataFrame, most: float, tilt: float, seed: int) -> DataFrame:
-    """df(doc_id, size, rate) with sure (whole copies) and z (rank among those with a fraction, else null)."""
+    """df(draw, size, rate) with sure (whole copies) and z (rank among those with a fraction, else null)."""
     p = F.col("m") - F.floor("m")
     return df.withColumn("m", _expected(most, tilt)).withColumn("sure", F.floor("m").cast("long")).withColumn(
-        "z", F.when((p > 0) & (F.col("size") > 0), _rank(p, unit(F.col("doc_id").cast("string"), F.lit(seed))))
+        "z", F.when((p > 0) & (F.col("size") > 0), _rank(p, unit(F.col("draw"), F.lit(seed))))
     ).drop("m")
 
 
@@ -120,10 +144,9 @@ def _boundary(rows: DataFrame, cell: Column) -> DataFrame:
 def parameters(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, tilt: float = TILT, seed: int = SEED) -> DataFrame:
     """(source, source_size, target, rate, cut): all that decides a document's copies, a row for each source.
 
-    docs(doc_id, source, size). A document takes its whole copies, and one more where its rank is at most cut. Repeated
-    rows share a rank and so are taken alike.
+    docs(draw, source, size). A document takes its whole copies, and one more where its rank is at most cut.
     """
-    sizes = keep(docs.select("doc_id", "source", "size"))
+    sizes = keep(docs.select("draw", "source", "size"))
     goals = keep(_rates(sizes, targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), most, tilt))
     ranked = keep(_with_ranks(_by_source(sizes, goals), most, tilt, seed).select("source", "size", "sure", "z", "target"))
     sure = ranked.groupBy("source", "target").agg(F.sum(F.col("sure") * F.col("size")).alias("taken"))
@@ -143,16 +166,18 @@ def parameters(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, tilt:
 
 
 def copies(docs: DataFrame, params: DataFrame, most: int = MOST_COPIES, tilt: float = TILT, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, source, size, ...) with source_size, target and copies; one join with a row for each source."""
+    """docs(draw, source, size, ...) with source_size, target and copies; one join with a row for each source."""
     both = _with_ranks(_by_source(docs, params), most, tilt, seed)
-    return both.withColumn("copies", F.col("sure") + F.when(F.col("z") <= F.col("cut"), 1).otherwise(0)).drop("sure", "z", "cut", "rate")
+    return both.withColumn("copies", F.col("sure") + F.when(F.col("z") <= F.col("cut"), 1).otherwise(0)).drop("sure", "z", "cut", "rate", "draw")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
-    Null and blank texts have size 0 and take nothing; a null source is a source of its own, last in order. An empty
-    table gives no rows. Other columns are not read.
+    Null and blank texts have size 0 and take nothing; a null source is a source of its own, last in order. Rows that
+    repeat each are documents of their own, and so are those without an id. An empty table gives no rows. Other columns
+    are not read.
     """
-    sized = keep(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    mine = docs.select("doc_id", "source", "text")
+    sized = drawn(keep(mine.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text"))))
     return copies(sized, parameters(sized, **how)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

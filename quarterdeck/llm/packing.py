@@ -2,13 +2,15 @@
 
 The dual feasible function that is strongest on the lengths of all documents gives each partition its share of the
 lower bound. A partition that best-fit decreasing packs into less than one sequence above its share is certified. Those
-with a gap give up every document of their unfilled sequences; the givers are merged several to one, so that they
-exchange documents, and are packed again if the merged bound allows fewer. A merge is taken only where it saves.
+with a gap give up every document of their unfilled sequences; these are dealt anew into partitions of as many pieces, so
+that the givers exchange documents, and are packed again if the bound allows fewer. A new packing is taken only where it
+saves.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from typing import ClassVar
@@ -20,10 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: Pieces in a partition of the first round; a task never holds more than MERGE ** ROUNDS times as many.
+#: Pieces in a partition, about.
 PART_ROWS = 4000
-MERGE = 4
-ROUNDS = 3
 #: Words whose ids a worker remembers before it starts afresh, and the longest of them.
 MEMO, MEMO_CHARS = 400_000, 40
 #: A space beside other white space: only there may a token of a byte-level BPE reach across the space's left side.
@@ -171,6 +171,7 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
 
 
 COLUMNS = "piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, done boolean"
+_log = logging.getLogger(__name__)
 
 
 def _pack(size: int, turn: int, names: list[str], proof: np.ndarray):
@@ -184,7 +185,7 @@ def _pack(size: int, turn: int, names: list[str], proof: np.ndarray):
         if bound < had:
             bins = best_fit(lengths, size)
             if (made := int(bins.max()) + 1) < had:
-                pdf["sequence_id"] = (int(pdf["part"].iloc[0]) * 1_000_000 + bins) * 8 + turn
+                pdf["sequence_id"] = ((int(pdf["part"].iloc[0]) << 20) + bins) * 64 + turn
                 had = made
         pdf = pdf.sort_values("sequence_id", kind="stable").reset_index(drop=True)
         by = pdf.groupby("sequence_id")["length"]
@@ -195,30 +196,56 @@ def _pack(size: int, turn: int, names: list[str], proof: np.ndarray):
     return run
 
 
-def pack(items: DataFrame, size: int = 2048, part_rows: int = PART_ROWS) -> DataFrame:
+def _lengths(items: DataFrame, size: int) -> np.ndarray:
+    """How many of items have each length up to size; as many rows reach the driver."""
+    counts = items.groupBy("length").count().toPandas()
+    hist = np.zeros(size + 1, np.int64)
+    hist[counts["length"].to_numpy(dtype=np.int64)] = counts["count"]
+    return hist
+
+
+def pack(items: DataFrame, size: int = 2048, part_rows: int = PART_ROWS, exchange: bool = True) -> DataFrame:
     """items(doc_id, piece, start, length, ids_crc32), each at most size, with sequence_id and offset there.
 
-    Partitions hold bounded numbers of rows, so no key can be hot; later rounds handle only what gaps leave.
+    Rows are dealt by their place in the table, so repeated rows and those without id go to as many partitions as any.
+    In each turn the unfilled sequences of partitions with a gap are dealt anew, into partitions of about as many
+    pieces, and packed again. Turns go on until nothing is open, all of it was in one partition, or a turn saved
+    nothing; the gap that is left to the lower bound of the whole table is logged, and report() gives it.
     """
-    items = keep(items)
-    counts = items.groupBy("length").count().toPandas()  # a row for each length up to size
-    hist = np.zeros(size + 1, np.int64)
-    hist[counts["length"].to_numpy(dtype=np.int64)] = counts["count"]
-    _, proof = bound_of(hist, size)
+    items = keep(items.select("*", F.monotonically_increasing_id().alias("at")))
+    hist = _lengths(items, size)
+    bound, proof = bound_of(hist, size)
     parts = max(1, -(-int(hist.sum()) // part_rows))
-    now = items.select("*", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("sequence_id"))
+    now = items.select("*", F.pmod(F.xxhash64("at"), F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("sequence_id")).drop("at")
     out, schema = None, f"doc_id {items.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
     names = [c.split()[0] for c in schema.split(", ")]
-    for turn in range(ROUNDS + 1):
+    closed = had = turn = 0
+    while True:
         now = keep(now.groupBy("part").applyInPandas(_pack(size, turn, names, proof), schema))
         out = now.where("done") if out is None else out.unionByName(now.where("done"))
         open_ = now.where("not done")
-        if turn == ROUNDS or open_.select("part").distinct().count() < 2:
+        first = F.col("offset") == 0
+        full, left, rows = now.agg(F.count_if(F.col("done") & first), F.count_if(~F.col("done") & first), F.count_if(~F.col("done"))).first()
+        saved, closed = had - full - left, closed + full
+        if not left or not exchange or parts == 1 or (turn and saved <= 0):
             break
-        now = open_.drop("offset", "done").withColumn("part", F.floor(F.col("part") / MERGE))
+        had, turn, parts = left, turn + 1, -(-rows // part_rows)
+        now = open_.drop("offset", "done").withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(parts)).cast("long"))
+    _log.info("%d pieces in %d sequences; no packing has under %d; %d turns", hist.sum(), closed + left, bound, turn + 1)
     return out.unionByName(open_).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def report(packed: DataFrame, size: int = 2048) -> DataFrame:
+    """One row: pieces, sequences, the bound that no packing of these pieces is under, and the gap between the two."""
+    bound = bound_of(_lengths(packed, size), size)[0]
+    counts = packed.agg(F.count("*").alias("pieces"), F.count_if(F.col("offset") == 0).alias("sequences"))
+    return counts.select("*", F.lit(bound).alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def best_fit_pack(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
-    """Every document packed: pieces with their sequence and the place in it. An empty table gives no rows."""
+    """Every document packed: pieces with their sequence and the place in it.
+
+    Null and empty texts are the end id alone; repeated rows are packed as often as they stand, and rows without an id
+    as any other. Other columns are not read, whatever their names. An empty table gives no rows.
+    """
     return pack(pieces(docs, tokenizer, size), size)

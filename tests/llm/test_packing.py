@@ -66,10 +66,43 @@ def test_every_piece_once_gapless_and_full_round_trip(spark, rows):
     assert packing.pack(packing.pieces(docs.limit(0), PATH, 64), 64).count() == 0
 
 
-def test_exchange_saves_sequences(spark, monkeypatch):
+def test_exchange_saves_sequences_and_ends_at_the_bound(spark):
     rows = [(i, 0, 0, n, i) for i, n in enumerate([60] * 200 + [40] * 200)]
     items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    count = lambda: packing.pack(items, 100, 40).select("sequence_id").distinct().count()
-    most = count()
-    monkeypatch.setattr(packing, "ROUNDS", 0)
-    assert 200 <= most < count()
+    packed = packing.pack(items, 100, 40)
+    alone = packing.pack(items, 100, 40, exchange=False)
+    r, before = packing.report(packed, 100).first(), packing.report(alone, 100).first()
+    assert r.pieces == before.pieces == 400 and r.bound == before.bound == 200
+    assert r.gap == r.sequences - 200 == packed.select("sequence_id").distinct().count() - 200
+    assert 0 <= r.gap < before.gap
+
+
+def test_repeated_rows_and_rows_without_id_fill_no_partition_beyond_its_share(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    real = packing._pack
+
+    def counting(*args):
+        run = real(*args)
+
+        def checked(pdf):
+            assert len(pdf) < 200
+            seen.add(1)
+            return run(pdf)
+
+        return checked
+
+    monkeypatch.setattr(packing, "_pack", counting)
+    rows = [(None, 0, 0, 33, 5)] * 3000 + [(7, 0, 0, 34, 6)] * 3000
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = packing.pack(items, 100, 100).collect()
+    assert seen.value >= 60
+    assert sorted((r.doc_id is None, r.length) for r in got) == sorted((r[0] is None, r[3]) for r in rows)
+    room = {}
+    for r in got:
+        room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in room.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
