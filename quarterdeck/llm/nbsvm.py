@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, fold
+from .common import by_text, fold, keep
 
 SLOTS = 1 << 18
-#: Labelled rows that are learned from at most, chosen by a hash of their ids; the fit is done on the driver.
-TRAIN_ROWS = 6000
+#: Labelled ids in whose texts slots are counted, and those in the descent, about; all slots of the latter. The descent is
+#: done on the driver.
+COUNT_ROWS, TRAIN_ROWS, TRAIN_SLOTS = 200_000, 6000, 16_000_000
 PASSES = 12
 COST = 1.0
 #: Words whose hashes a task remembers before it starts afresh.
@@ -89,12 +90,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(slots) + self.shift, -60, 60))))
 
 
-def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, slots: int, smooth: float = 1.0) -> np.ndarray:
-    counts = np.full((2, slots), smooth)
-    for x, y in zip(rows, labels, strict=True):
-        counts[int(y)][x] += 1
-    counts /= counts.sum(axis=1, keepdims=True)
-    return np.log(counts[1] / counts[0])
+def log_count_ratio(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """By slot, the log of the ratio of its smoothed shares in class 1 and class 0; counts(class, slot) of rows."""
+    shares = counts + smooth
+    shares = shares / shares.sum(axis=1, keepdims=True)
+    return np.log(shares[1] / shares[0])
 
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, passes: int, seed: int = 3) -> tuple[np.ndarray, float]:
@@ -139,44 +139,81 @@ def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """A model of labels(doc_id, label 0/1) on the texts of docs; at most rows of them are learned from.
+def _share(rows: int, of: int, seed: int):
+    """A condition that holds for about rows of so many ids, by a hash."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(of, 1)))
+
+
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """By class and slot, in how many of rows(y, text) it is: summed in each task first; SLOTS sums a class reach the driver."""
+
+    def run(batches):
+        features, total = Features(), np.zeros((2, SLOTS), np.int64)
+        for b in batches:
+            for y, t in zip(b["y"], b["text"], strict=True):
+                total[y][features(t)] += 1
+        for y in (0, 1):
+            at = np.flatnonzero(total[y])
+            yield pd.DataFrame({"y": y, "slot": at, "n": total[y][at]})
+
+    got = rows.select("y", "text").mapInPandas(run, "y int, slot int, n long").groupBy("y", "slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, SLOTS))
+    out[got["y"].to_numpy(dtype=np.int64), got["slot"].to_numpy(dtype=np.int64)] = got["n"]
+    return out
+
 
-    Rows are chosen by a hash of their ids and joined as a table of that bounded size, so no text is shuffled. Without
-    labels of both classes, every score is the share of label 1 (one half without any).
+def _sample(docs: DataFrame, ids: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(apart, y, slots of each text) of ids(doc_id, y, apart) in order of a hash, until so many slots are reached.
+
+    An id stands for one text: the least, if docs repeat it. What reaches the driver is bounded by slots and by one row.
     """
-    chosen = (
-        labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "apart").agg(F.min("text").alias("text"))
 
     def run(batches):
         features = Features()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "x": [features(t).astype(np.int32) for t in b["text"]]})
-
+            x = [features(t).astype(np.int32) for t in b["text"]]
+            yield pd.DataFrame({"k": b["k"], "y": b["y"], "apart": b["apart"], "n": [len(v) for v in x], "x": x})
+
+    keyed = texts.select(F.xxhash64("doc_id", F.lit(33)).alias("k"), "y", "apart", "text")
+    rows = keep(keyed.mapInPandas(run, "k long, y int, apart boolean, n int, x array<int>"))
+    sizes = rows.select("k", "n").toPandas().sort_values("k")
+    within = sizes["k"][(sizes["n"].cumsum() - sizes["n"] < slots).to_numpy()]
+    got = rows.where(F.col("k") <= int(within.max())).orderBy("k").toArrow().combine_chunks() if len(within) else None
+    if got is None or not got.num_rows:
+        return np.zeros(0, bool), np.zeros(0, np.int64), []
     # all slots in one array, and each row's as a view of it: the driver holds four bytes for a slot
-    got = joined.mapInPandas(run, "doc_id string, y int, x array<int>").toArrow().combine_chunks()
-    ids, y = np.array(got["doc_id"].to_pylist(), dtype=object), np.array(got["y"].to_pylist(), dtype=np.int64)
-    lists = got["x"].combine_chunks() if got.num_rows else None
-    if lists is not None and hasattr(lists, "num_chunks"):
-        lists = lists.chunk(0)
-    flat, ends = (lists.values.to_numpy(), lists.offsets.to_numpy()) if lists is not None else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    order = np.lexsort((y, ids.astype(str))) if len(y) else np.zeros(0, np.int64)
-    x, y, ids = [flat[ends[i] : ends[i + 1]] for i in order], y[order], ids[order]
-    if len(set(y.tolist())) < 2:
-        p = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(SLOTS), 0.0, 1.0, float(np.log(p / (1 - p))))
-    apart = np.array([_hash(d) % 5 == 0 for d in ids]) if len(y) >= 50 else np.zeros(len(y), bool)
-    inner = np.flatnonzero(~apart)
+    lists = got["x"].chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return np.array(got["apart"]), np.array(got["y"], dtype=np.int64), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
+    """A model of labels(doc_id, label 0/1) on the texts of docs.
+
+    Log-count ratios are counted in Spark over the rows of about COUNT_ROWS labelled ids, chosen by a hash; about rows
+    ids are in the descent, and a quarter as many set the curve of scores, which the other two don't see. Ids are joined
+    as tables of these bounded sizes, so no text is shuffled but the descent's. An id labelled twice has the greater
+    label. Without labels of both classes, every score is the share of label 1 (one half without any).
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = keep(known.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(5)) == 0))
+    n = {(r.y, r.apart): r.n for r in known.groupBy("y", "apart").agg(F.count("*").alias("n")).collect()}
+    total = [sum(v for (y, _), v in n.items() if y == k) for k in (0, 1)]
+    plain = Model(np.zeros(SLOTS, np.float32), 0.0, 1.0, float(np.log((total[1] + 1) / (total[0] + 1))))
+    few = sum(total) < 50 or not all(n.get((y, False)) for y in (0, 1))
+    known = known.withColumn("apart", F.col("apart") & F.lit(not few))
+    counted = known.where(~F.col("apart") & _share(COUNT_ROWS, sum(total), 32)).select("doc_id", "y")
+    counts = slot_counts(docs.select("doc_id", "text").join(F.broadcast(counted), "doc_id"))
+    ratio = log_count_ratio(counts)
+    apart, y, x = _sample(docs, known.where(_share(rows * 5 // 4, sum(total), 33)), TRAIN_SLOTS)
+    inner, outer = np.flatnonzero(~apart), np.flatnonzero(apart)
     if len(set(y[inner].tolist())) < 2:
-        inner = np.arange(len(y))
-    ratio = log_count_ratio([x[i] for i in inner], y[inner], SLOTS)
+        return plain
     w, bias = dual_descent([x[i] for i in inner], 2 * y[inner] - 1, ratio, COST, PASSES)
     model = Model(w * ratio, bias, 1.0, 0.0)
-    out = np.flatnonzero(apart) if len(set(y[apart].tolist())) == 2 else inner
-    model.slope, model.shift = _logistic(np.array([model.margin(x[i]) for i in out]), y[out])
+    outer = outer if len(set(y[outer].tolist())) == 2 else inner
+    model.slope, model.shift = _logistic(np.array([model.margin(x[i]) for i in outer]), y[outer])
     model.weights = model.weights.astype(np.float32)
     return model
 
@@ -200,7 +237,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; labels of the held-out third aren't learned from.
 
-    Texts alone decide a score, so repeated texts score alike. An empty table gives no rows; other columns are not read.
+    Texts alone decide a score, so repeated texts score alike; null and empty texts have no features. An empty table gives no rows; other columns are not read.
     """
     model = learn(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
     return score(docs, model, "doc_id").select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
