@@ -10,26 +10,25 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text
+from .common import by_text, keep
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Texts on which the field is fitted, about: with a pattern's match, and as many without; none above TRAIN_CHARS.
-TRAIN_DOCS = 1500
-TRAIN_CHARS = 20_000
-#: Words in a line that is learned from; longer lines are cut. Lines learned from at most.
-STRETCH = 40
-TRAIN_LINES = 3000
+#: The sample that the field is fitted on, by hashes of texts and lines: rows among which texts are looked for, texts with
+#: a pattern's match and as many without, and words of lines with a tag and as many of lines without, all about. Lines are
+#: taken whole, in order of their hashes, until the words are reached.
+LOOK_ROWS, TRAIN_DOCS, TRAIN_WORDS = 2_000_000, 1500, 50_000
 STEPS = 80
 #: Log-odds by which a line's best tags must lead outside throughout, for spans of the field's own.
 LEAD = 2.0
@@ -167,8 +166,41 @@ def descend(value_and_slope, x: np.ndarray, steps: int, memory: int = 8) -> np.n
     return x
 
 
-def fit(lines: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS) -> Field:
-    """Maximum likelihood with a ridge; lines are (shapes, tags, file class)."""
+def lattice(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward and backward log-sums of a chain of steps(word, tag before, tag), and the log-sum of all its paths.
+
+    The chain is cut into blocks: sums over each block's paths first, for all blocks at once, then from block to block,
+    then within blocks. So long lines take no longer than many short ones.
+    """
+    n = len(moves)
+    width = int(np.ceil(np.sqrt(n)))
+    still = np.where(np.eye(3) > 0, 0.0, -1e30)
+    m = np.concatenate([moves, np.broadcast_to(still, (-n % width, 3, 3))]).reshape(-1, width, 3, 3)
+    whole = m[:, 0]
+    for t in range(1, width):
+        whole = _lse(whole[:, :, :, None] + m[:, t, None], 2)
+    blocks = len(m)
+    enter, leave = np.empty((blocks, 3)), np.zeros((blocks, 3))
+    enter[0] = -np.log(3)  # the first word begins a line, so what is before it doesn't matter
+    for b in range(1, blocks):
+        enter[b] = _lse(enter[b - 1][:, None] + whole[b - 1], 0)
+    for b in range(blocks - 1, 0, -1):
+        leave[b - 1] = _lse(whole[b] + leave[b], 1)
+    alpha, beta = np.empty((blocks, width, 3)), np.empty((blocks, width, 3))
+    at, beta[:, -1] = enter, leave
+    for t in range(width):
+        at = alpha[:, t] = _lse(at[:, :, None] + m[:, t], 1)
+    for t in range(width - 1, 0, -1):
+        beta[:, t - 1] = _lse(m[:, t] + beta[:, t, None], 2)
+    return alpha.reshape(-1, 3)[:n], beta.reshape(-1, 3)[:n], float(_lse(alpha[-1, -1], 0))
+
+
+def objective(lines: list[tuple[np.ndarray, np.ndarray, int]]):
+    """(value and slope of the negative log-likelihood with its ridge, number of weights, the field of given weights).
+
+    Lines are (shapes, tags, file class). They stand one behind the other as one chain, in which a line's first word
+    doesn't depend on what is before it; so the log-sum over all paths is that of the lines together.
+    """
     design = _design()
     wide = design.shape[1]
     sizes = {"own": (wide, 3), "before": (wide, 3), "after": (wide, 3), "file": (FILE, 3), "step": (3, 3), "first": (3,)}
@@ -182,45 +214,43 @@ def fit(lines: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS) ->
         step[OUT, INSIDE], first[INSIDE] = FORBID, FORBID
         return Field(design @ w["own"], design @ w["before"], design @ w["after"], w["file"], step, first)
 
-    if not lines:
-        field = whole(np.zeros(ends[-1]))
-        field.own[:, OUT] = 1e3
-        return field
-    count, longest = len(lines), max(len(s) for s, _, _ in lines)
-    shapes, tags = np.full((count, longest), PAD), np.zeros((count, longest), np.int64)
-    files, lengths = np.array([f for *_, f in lines]), np.array([len(s) for s, *_ in lines])
-    for i, (s, t, _) in enumerate(lines):
-        shapes[i, : len(s)], tags[i, : len(s)] = s, t
-    live = np.arange(longest) < lengths[:, None]
-    pad = np.full((count, 1), PAD)
-    places = {"own": shapes, "before": np.hstack([pad, shapes[:, :-1]]), "after": np.hstack([shapes[:, 1:], pad]), "file": np.repeat(files[:, None], longest, 1)}
-    told = np.eye(3)[tags] * live[..., None]
+    lengths = np.array([len(s) for s, _, _ in lines], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    shapes, tags = (np.concatenate([line[i] for line in lines]) if lines else np.zeros(0, np.int64) for i in (0, 1))
+    before, after = _neighbours(shapes, starts) if lines else (shapes, shapes)
+    places = {"own": shapes, "before": before, "after": after, "file": np.repeat(np.array([f for *_, f in lines], dtype=np.int64), lengths)}
+    begins = np.zeros(len(shapes), bool)
+    begins[starts] = True
+    inner = np.flatnonzero(~begins)
+    told = np.eye(3)[tags]
+    pairs = told[inner - 1].T @ told[inner]
 
     def value_and_slope(v: np.ndarray) -> tuple[float, np.ndarray]:
         w = whole(v)
         e = sum(getattr(w, k)[at] for k, at in places.items())
-        alpha, beta = np.zeros((longest, count, 3)), np.zeros((longest, count, 3))
-        alpha[0] = w.first + e[:, 0]
-        for t in range(1, longest):
-            alpha[t] = np.where(live[:, t, None], _lse(alpha[t - 1][:, :, None] + w.step, 1) + e[:, t], alpha[t - 1])
-        for t in range(longest - 2, -1, -1):
-            beta[t] = np.where(live[:, t + 1, None], _lse(w.step + (e[:, t + 1] + beta[t + 1])[:, None, :], 2), 0)
-        norm = _lse(alpha[-1], 1)
-        diff = np.exp(np.minimum(alpha + beta - norm[:, None], 0)).transpose(1, 0, 2) * live[..., None] - told
-        value = norm.sum() - (e * told).sum() - w.first[tags[:, 0]].sum()
-        slope = {"step": np.zeros((3, 3)), "first": diff[:, 0].sum(axis=0)}
+        moves = np.where(begins[:, None, None], w.first, w.step) + e[:, None, :]
+        alpha, beta, norm = lattice(moves)
+        diff = np.exp(np.minimum(alpha + beta - norm, 0)) - told
+        value = norm - (e * told).sum() - w.first[tags[starts]].sum() - (pairs * w.step).sum()
+        slope = {"first": diff[starts].sum(axis=0)}
         for k, at in places.items():
-            by = np.column_stack([np.bincount(at[live], diff[..., j][live], FILE if k == "file" else SHAPES + 1) for j in range(3)])
+            by = np.column_stack([np.bincount(at, diff[:, j], FILE if k == "file" else SHAPES + 1) for j in range(3)])
             slope[k] = by if k == "file" else design.T @ by
-        for t in range(1, longest):
-            on = live[:, t]
-            together = told[on, t - 1].T @ told[on, t]
-            value -= (together * w.step).sum()
-            slope["step"] += np.exp(np.minimum(alpha[t - 1][on][:, :, None] + w.step + (e[on, t] + beta[t][on])[:, None, :] - norm[on][:, None, None], 0)).sum(axis=0) - together
+        slope["step"] = np.exp(np.minimum(alpha[inner - 1][:, :, None] + moves[inner] + beta[inner][:, None, :] - norm, 0)).sum(axis=0) - pairs
         slope["step"][OUT, INSIDE] = slope["first"][INSIDE] = 0
         return float(value + (pull * v * v).sum() / 2), np.concatenate([slope[k].ravel() for k in sizes]) + pull * v
 
-    return whole(descend(value_and_slope, np.zeros(ends[-1]), steps))
+    return value_and_slope, int(ends[-1]), whole
+
+
+def fit(lines: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS) -> Field:
+    """Maximum likelihood with a ridge; lines are (shapes, tags, file class), none of them empty."""
+    value_and_slope, n, whole = objective(lines)
+    if not lines:
+        field = whole(np.zeros(n))
+        field.own[:, OUT] = 1e3
+        return field
+    return whole(descend(value_and_slope, np.zeros(n), steps))
 
 
 class Lines:
@@ -272,36 +302,37 @@ def training_lines(text: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
             if not tags[i]:
                 tags[i] = INSIDE
             i += 1
-    file, out = file_class(text), []
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shapes)], strict=True):
-        for c in range(a, b, STRETCH):
-            t = tags[c : min(b, c + STRETCH)].copy()
-            if t.any() or c % 5 == 0:
-                t[0] = BEGIN if t[0] == INSIDE else t[0]
-                out.append((shapes[c : c + len(t)], t, file))
-    return out
+    file, bounds = file_class(text), [*starts.tolist(), len(shapes)]
+    return [(shapes[a:b], tags[a:b], file) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
-    """A field fitted on about rows texts with a pattern in them and as many others, by a hash of the text.
+def learn(docs: DataFrame, rows: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> Field:
+    """A field fitted on about rows texts with a pattern in them and as many others, whole texts of any length.
 
-    The two samples are bounded; the fit is done on the driver on at most TRAIN_LINES lines.
+    They are chosen by a hash of the text among about LOOK_ROWS rows, in one scan; equal texts are one, under whatever
+    ids. The lines of these texts, tagged and untagged ones apart, are learned from in order of a hash until the words
+    are reached. Null texts are left out; of an empty table the field finds nothing.
     """
-    texts = docs.where(f"text is not null and length(text) <= {TRAIN_CHARS}").select("text")
+    n = docs.count()
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
     marked = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    keyed = texts.select(F.xxhash64("text").alias("k"), marked.alias("m"), "text")
-    share = {r.m: min(1.0, rows / r.n) for r in keyed.groupBy("m").agg(F.count("*").alias("n")).collect()}
-    chosen = keyed.where(F.pmod("k", F.lit(1_000_000)) < F.when(F.col("m"), int(1e6 * share.get(True, 0))).otherwise(int(1e6 * share.get(False, 0))))
+    looked = docs.where("text is not null").select(place.alias("k"), "text").where(F.col("k") < LOOK_ROWS / max(n, 1)).withColumn("m", marked)
+    looked = keep(looked.where(F.col("m") | (F.col("k") < 2 * rows / max(n, 1))))
+    times = {r.m: r.n for r in looked.groupBy("m").agg(F.countDistinct("k").alias("n")).collect()}
+    highest = {r.m: r.k for r in looked.groupBy("m").agg(F.max("k").alias("k")).collect()}
+    share = lambda m: highest.get(m, 0.0) * min(1.0, rows / max(times.get(m, 0), 1)) + 1e-12
+    texts = looked.where(F.col("k") < F.when(F.col("m"), share(True)).otherwise(share(False))).groupBy("k").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
-            out = [(k, s.tolist(), t.tolist(), f) for k, text in zip(b["k"], b["text"], strict=True) for s, t, f in training_lines(text)]
-            yield pd.DataFrame(out, columns=["k", "s", "t", "f"])
-
-    got = chosen.mapInPandas(run, "k long, s array<int>, t array<int>, f int").toPandas()
-    lines = [(np.asarray(s), np.asarray(t), int(f)) for s, t, f in zip(got["s"], got["t"], got["f"], strict=True)]
-    lines.sort(key=lambda x: (len(x[0]), x[0].tolist(), x[1].tolist(), x[2]))
-    return fit(lines[:: -(-len(lines) // TRAIN_LINES)] if lines else lines)
+            out = [(bool(t.any()), len(s), zlib.crc32(s.tobytes() + t.tobytes()), s.tolist(), t.tolist(), f) for text in b["text"] for s, t, f in training_lines(text)]
+            yield pd.DataFrame(out, columns=["tagged", "n", "h", "s", "t", "f"])
+
+    lines = keep(texts.mapInPandas(run, "tagged boolean, n long, h long, s array<int>, t array<int>, f int"))
+    upto = F.sum("n").over(Window.partitionBy("tagged").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, -1))  # of the sample alone
+    got = lines.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < words).select("s", "t", "f").toPandas()
+    chosen = [(np.asarray(s), np.asarray(t), int(f)) for s, t, f in zip(got["s"], got["t"], got["f"], strict=True)]
+    return fit(sorted(chosen, key=lambda x: (len(x[0]), x[0].tolist(), x[1].tolist(), x[2])))
 
 
 def field_spans(field: Field, lines: Lines, text: str, lead: float = LEAD) -> list[tuple[int, int, str]]:

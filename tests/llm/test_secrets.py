@@ -73,6 +73,59 @@ def test_viterbi_is_the_best_of_all_paths_and_the_bound_loses_none():
         assert tuple(tags) == best and abs(gain - (score(best) - score((0,) * 5))) < 1e-9
 
 
+def _lines(rng, lengths):
+    out = []
+    for n in lengths:
+        tags = np.zeros(n, np.int64)
+        for i in range(n):
+            tags[i] = rng.choice(3 if i and tags[i - 1] else 2)
+        out.append((rng.integers(0, secrets.SHAPES, n), tags, int(rng.integers(4))))
+    return out
+
+
+def test_likelihood_is_that_of_all_paths_and_its_slope_that_of_differences():
+    from itertools import product
+
+    rng = np.random.default_rng(11)
+    lines = _lines(rng, [1, 4, 2, 6, 3])
+    value_and_slope, n, whole = secrets.objective(lines)
+    v = rng.normal(size=n) * 0.3
+    value, slope = value_and_slope(v)
+    f, want = whole(v), 0.0
+    for shapes, tags, file in lines:
+        e = [f.own[s] + f.before[shapes[i - 1] if i else secrets.PAD] + f.after[shapes[i + 1] if i + 1 < len(shapes) else secrets.PAD] + f.file[file] for i, s in enumerate(shapes)]
+        score = lambda p: f.first[p[0]] + sum(e[i][x] for i, x in enumerate(p)) + sum(f.step[a, b] for a, b in zip(p[:-1], p[1:], strict=True))  # noqa: B023, E731
+        want += np.log(sum(np.exp(score(p)) for p in product(range(3), repeat=len(shapes)))) - score(tags)
+    ridge = value_and_slope(np.zeros(n))[0] - sum(len(s) * np.log(3) for s, *_ in lines)
+    assert ridge < 0  # forbidden tags leave fewer paths
+    pull = np.concatenate([np.full(k, secrets.RIDGES[name]) for name, k in (("own", (n - 24) // 3), ("before", (n - 24) // 3), ("after", (n - 24) // 3), ("file", 12), ("step", 9), ("first", 3))])
+    assert abs(value - want - (pull * v * v).sum() / 2) < 1e-6
+    for i in [*rng.choice(n, 60), *range(n - 24, n)]:
+        d = np.zeros(n)
+        d[i] = 1e-5
+        assert abs((value_and_slope(v + d)[0] - value_and_slope(v - d)[0]) / 2e-5 - slope[i]) < 1e-4, i
+
+
+def test_a_long_line_counts_like_any_other():
+    rng = np.random.default_rng(12)
+    long, short = _lines(rng, [5000]), _lines(rng, [1, 7])
+    v = rng.normal(size=secrets.objective(long)[1]) * 0.2
+    both, one, two = (secrets.objective(x)[0](v) for x in (long + short, long, short))
+    assert np.isfinite(both[0])
+    pull = both[0] - one[0] - two[0]  # the ridge is in each of them
+    again = secrets.objective(short + short)[0](v)[0] - 2 * two[0]
+    assert abs(pull - again) < 1e-6
+
+
+def test_repeated_texts_are_learned_from_once(spark):
+    docs, _ = _docs(spark)
+    once, often = docs.select("text").distinct(), docs.select("text").distinct()
+    for _ in range(3):
+        often = often.unionByName(often)
+    a, b = secrets.learn(once), secrets.learn(often)
+    assert np.allclose(a.own, b.own) and np.allclose(a.step, b.step)
+
+
 def test_field_spans_that_go_on_past_a_pattern_are_kept(spark):
     weights = np.zeros((secrets.SHAPES + 1, 3))
     first, step = np.array([0.0, 9.0, secrets.FORBID]), np.zeros((3, 3))
