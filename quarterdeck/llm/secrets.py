@@ -126,11 +126,6 @@ def viterbi(field: Field, e: np.ndarray) -> tuple[np.ndarray, float]:
     return tags, float(score.max() - outside)
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 #: Strength of the ridge on each group of weights: what surrounds a word counts less than the word itself.
 RIDGES = {"own": 0.2, "before": 8.0, "after": 8.0, "file": 8.0, "step": 1.0, "first": 1.0}
 
@@ -167,32 +162,41 @@ def descend(value_and_slope, x: np.ndarray, steps: int, memory: int = 8) -> np.n
 
 
 def lattice(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward and backward log-sums of a chain of steps(word, tag before, tag), and the log-sum of all its paths.
+    """Of a chain of steps(word, tag before, tag): each word's shares of tags and of pairs of tags, and the log-sum of all paths.
 
-    The chain is cut into blocks: sums over each block's paths first, for all blocks at once, then from block to block,
-    then within blocks. So long lines take no longer than many short ones.
+    The chain is cut into blocks: products over each block's paths first, for all blocks at once, then from block to
+    block, then within blocks. So long lines take no longer than many short ones. Every product is scaled to one.
     """
     n = len(moves)
     width = int(np.ceil(np.sqrt(n)))
-    still = np.where(np.eye(3) > 0, 0.0, -1e30)
-    m = np.concatenate([moves, np.broadcast_to(still, (-n % width, 3, 3))]).reshape(-1, width, 3, 3)
+    most = moves.max(axis=(1, 2))
+    m = np.concatenate([np.exp(moves - most[:, None, None]), np.broadcast_to(np.eye(3), (-n % width, 3, 3))]).reshape(-1, width, 3, 3)
     whole = m[:, 0]
     for t in range(1, width):
-        whole = _lse(whole[:, :, :, None] + m[:, t, None], 2)
+        whole = whole @ m[:, t]
+        whole = whole / whole.reshape(-1, 9).max(axis=1)[:, None, None]
     blocks = len(m)
-    enter, leave = np.empty((blocks, 3)), np.zeros((blocks, 3))
-    enter[0] = -np.log(3)  # the first word begins a line, so what is before it doesn't matter
+    at, after = np.full((blocks, 3), 1 / 3), np.ones((blocks, 3))  # the first word begins a line: what is before it doesn't matter
     for b in range(1, blocks):
-        enter[b] = _lse(enter[b - 1][:, None] + whole[b - 1], 0)
+        step = at[b - 1] @ whole[b - 1]
+        at[b] = step / step.sum()
     for b in range(blocks - 1, 0, -1):
-        leave[b - 1] = _lse(whole[b] + leave[b], 1)
-    alpha, beta = np.empty((blocks, width, 3)), np.empty((blocks, width, 3))
-    at, beta[:, -1] = enter, leave
+        step = whole[b] @ after[b]
+        after[b - 1] = step / step.max()
+    before, alpha, beta, scale = (np.empty((blocks, width, *k)) for k in ((3,), (3,), (3,), ()))
     for t in range(width):
-        at = alpha[:, t] = _lse(at[:, :, None] + m[:, t], 1)
+        before[:, t] = at
+        at = (at[:, None] @ m[:, t])[:, 0]
+        scale[:, t] = at @ np.ones(3)
+        at = alpha[:, t] = at / scale[:, t, None]
+    beta[:, -1] = after
     for t in range(width - 1, 0, -1):
-        beta[:, t - 1] = _lse(m[:, t] + beta[:, t, None], 2)
-    return alpha.reshape(-1, 3)[:n], beta.reshape(-1, 3)[:n], float(_lse(alpha[-1, -1], 0))
+        after = (m[:, t] @ after[:, :, None])[:, :, 0]
+        after = beta[:, t - 1] = after / after.max(axis=1)[:, None]
+    one, two = alpha * beta, before[..., None] * m * beta[:, :, None]
+    one, two = one.reshape(-1, 3)[:n], two.reshape(-1, 9)[:n]
+    total = float(most.sum() + np.log(scale).sum())
+    return one / one.sum(axis=1)[:, None], (two / two.sum(axis=1)[:, None]).reshape(-1, 3, 3), total
 
 
 def objective(lines: list[tuple[np.ndarray, np.ndarray, int]]):
@@ -229,14 +233,14 @@ def objective(lines: list[tuple[np.ndarray, np.ndarray, int]]):
         w = whole(v)
         e = sum(getattr(w, k)[at] for k, at in places.items())
         moves = np.where(begins[:, None, None], w.first, w.step) + e[:, None, :]
-        alpha, beta, norm = lattice(moves)
-        diff = np.exp(np.minimum(alpha + beta - norm, 0)) - told
+        one, two, norm = lattice(moves)
+        diff = one - told
         value = norm - (e * told).sum() - w.first[tags[starts]].sum() - (pairs * w.step).sum()
         slope = {"first": diff[starts].sum(axis=0)}
         for k, at in places.items():
             by = np.column_stack([np.bincount(at, diff[:, j], FILE if k == "file" else SHAPES + 1) for j in range(3)])
             slope[k] = by if k == "file" else design.T @ by
-        slope["step"] = np.exp(np.minimum(alpha[inner - 1][:, :, None] + moves[inner] + beta[inner][:, None, :] - norm, 0)).sum(axis=0) - pairs
+        slope["step"] = two[inner].sum(axis=0) - pairs
         slope["step"][OUT, INSIDE] = slope["first"][INSIDE] = 0
         return float(value + (pull * v * v).sum() / 2), np.concatenate([slope[k].ravel() for k in sizes]) + pull * v
 
