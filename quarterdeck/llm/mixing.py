@@ -32,14 +32,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def drawn(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with draw, a hash by which each row's random number is made.
+def drawn(docs: DataFrame, text_hash: Column | None = None) -> DataFrame:
+    """docs(doc_id, text or its hash, ...) with draw, a hash by which each row's random number is made.
 
     It is a hash of id and text. Rows that repeat both are numbered, so that they are drawn apart: as such rows are
     alike, it doesn't matter which of them gets which number. They are numbered by runs of bounded length, and the runs
     put one behind the other, so no group of copies meets in a task.
     """
-    rows = docs.withColumn("draw", F.xxhash64("doc_id", "text"))
+    rows = docs.withColumn("draw", F.xxhash64(F.col("doc_id"), F.xxhash64("text") if text_hash is None else text_hash))
     again = keep(rows.groupBy("draw").agg(F.count("*").alias("times")).where("times > 1").select("draw"))
     if again.isEmpty():
         return rows
@@ -168,7 +168,8 @@ def parameters(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, tilt:
 def copies(docs: DataFrame, params: DataFrame, most: int = MOST_COPIES, tilt: float = TILT, seed: int = SEED) -> DataFrame:
     """docs(draw, source, size, ...) with source_size, target and copies; one join with a row for each source."""
     both = _with_ranks(_by_source(docs, params), most, tilt, seed)
-    return both.withColumn("copies", F.col("sure") + F.when(F.col("z") <= F.col("cut"), 1).otherwise(0)).drop("sure", "z", "cut", "rate", "draw")
+    times = F.when(F.col("size") > 0, F.col("sure") + F.when(F.col("z") <= F.col("cut"), 1).otherwise(0)).otherwise(F.lit(0))
+    return both.withColumn("copies", times.cast("long")).drop("sure", "z", "cut", "rate", "draw")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -179,5 +180,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     are not read.
     """
     mine = docs.select("doc_id", "source", "text")
-    sized = drawn(keep(mine.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text"))))
+    sized = drawn(keep(mine.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))), F.col("mark"))
     return copies(sized, parameters(sized, **how)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

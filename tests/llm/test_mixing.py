@@ -108,7 +108,7 @@ def test_selection_is_that_of_the_definition(spark):
 
     rows = [(i, "w " * (1 + i * 7919 % 90), ["hot", "hot", "a", "b", None][i % 5]) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sized = mixing.drawn(df.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("text")))
+    sized = mixing.drawn(df.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.col("text")))
     plain = sized.withColumn("u", mixing.unit(F.col("draw"), F.lit(mixing.SEED))).collect()
     UNIT.update({r.draw: r.u for r in plain})
     sizes = {}
