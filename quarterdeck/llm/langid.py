@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, fold, keep
+from .common import by_text, fold, keep, local
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
     sample = known.join(shares, "lang").where(place < F.col("share")).select("lang", "text").distinct()
     chosen = keep(sample).withColumn("apart", F.pmod(F.xxhash64("text", F.lit(12)), F.lit(5)) == 0)
     languages = sorted(sizes["lang"])
-    model = _model(_count(chosen.where("not apart")).toPandas(), languages)
+    model = _model(local(_count(chosen.where("not apart"))), languages)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, fold, keep
+from .common import by_text, fold, keep, local
 
 SLOTS = 1 << 18
 #: Labelled ids in whose texts slots are counted, and those in the descent, about; all slots of the latter. The descent is
@@ -104,15 +104,16 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     """
     w, bias, rng = np.zeros(len(ratio)), 0.0, np.random.default_rng(seed)
     ratio = ratio.astype(np.float32)
-    values = [ratio[x] / np.float32(max(len(x), 1) ** 0.5) for x in rows]
-    norms = np.array([float(v @ v) + 1 for v in values])
+    scaled = lambda x: ratio[x] / np.float32(max(len(x), 1) ** 0.5)
+    norms = np.array([float(v @ v) + 1 for v in map(scaled, rows)])
     share = {1: 0.5 * len(y) / max((y > 0).sum(), 1), -1: 0.5 * len(y) / max((y < 0).sum(), 1)}
     top = np.array([cost * share[int(t)] for t in y])
     dual = np.zeros(len(y))
     for _ in range(passes):
         most = 0.0
         for i in rng.permutation(len(y)):
-            x, v, t = rows[i], values[i], y[i]
+            x, t = rows[i], y[i]
+            v = scaled(x)
             gradient = t * (float(w[x] @ v) + bias) - 1
             new = min(max(dual[i] - gradient / norms[i], 0.0), top[i])
             if (step := new - dual[i]) != 0:
@@ -152,13 +153,14 @@ def slot_counts(rows: DataFrame) -> np.ndarray:
         for b in batches:
             for y, t in zip(b["y"], b["text"], strict=True):
                 total[y][features(t)] += 1
-        for y in (0, 1):
-            at = np.flatnonzero(total[y])
-            yield pd.DataFrame({"y": y, "slot": at, "n": total[y][at]})
+        at = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"slot": at, "n0": total[0][at], "n1": total[1][at]})
 
-    got = rows.select("y", "text").mapInPandas(run, "y int, slot int, n long").groupBy("y", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("y", "text").mapInPandas(run, "slot int, n0 long, n1 long")
+    got = counted.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     out = np.zeros((2, SLOTS))
-    out[got["y"].to_numpy(dtype=np.int64), got["slot"].to_numpy(dtype=np.int64)] = got["n"]
+    for y in (0, 1):
+        out[y][got["slot"].to_numpy()] = got[f"n{y}"].to_numpy()
     return out
 
 
@@ -177,15 +179,15 @@ def _sample(docs: DataFrame, ids: DataFrame, slots: int) -> tuple[np.ndarray, np
 
     keyed = texts.select(F.xxhash64("doc_id", F.lit(33)).alias("k"), "y", "apart", "text")
     rows = keep(keyed.mapInPandas(run, "k long, y int, apart boolean, n int, x array<int>"))
-    sizes = rows.select("k", "n").toPandas().sort_values("k")
+    sizes = local(rows.select("k", "n")).sort_values("k")
     within = sizes["k"][(sizes["n"].cumsum() - sizes["n"] < slots).to_numpy()]
-    got = rows.where(F.col("k") <= int(within.max())).orderBy("k").toArrow().combine_chunks() if len(within) else None
-    if got is None or not got.num_rows:
+    if not len(within):
         return np.zeros(0, bool), np.zeros(0, np.int64), []
-    # all slots in one array, and each row's as a view of it: the driver holds four bytes for a slot
-    lists = got["x"].chunk(0)
-    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return np.array(got["apart"]), np.array(got["y"], dtype=np.int64), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    got = rows.where(F.col("k") <= int(within.max())).toArrow()
+    order = np.argsort(got["k"].to_numpy())
+    # each row's slots are a view of the arrays that came: the driver holds four bytes for a slot
+    x = [values[a:b] for c in got["x"].chunks for values, ends in [(c.values.to_numpy(), c.offsets.to_numpy())] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return got["apart"].to_numpy()[order], got["y"].to_numpy()[order].astype(np.int64), [x[i] for i in order]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, keep
+from .common import by_text, keep, local
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -334,7 +334,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_DOCS, words: int = TRAIN_WORDS) ->
 
     lines = keep(texts.mapInPandas(run, "tagged boolean, n long, h long, s array<int>, t array<int>, f int"))
     upto = F.sum("n").over(Window.partitionBy("tagged").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, -1))  # of the sample alone
-    got = lines.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < words).select("s", "t", "f").toPandas()
+    got = local(lines.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < words).select("s", "t", "f"))
     chosen = [(np.asarray(s), np.asarray(t), int(f)) for s, t, f in zip(got["s"], got["t"], got["f"], strict=True)]
     return fit(sorted(chosen, key=lambda x: (len(x[0]), x[0].tolist(), x[1].tolist(), x[2])))
 
