@@ -64,11 +64,14 @@ def map_tickers(book: DataFrame, *maps: DataFrame) -> DataFrame:
 def link_quarters(books: DataFrame) -> DataFrame:
     """Shares of the calendar quarter before, and whether a name is new, added to (+25 %) or cut (-25 %).
 
-    Flags are false where the manager has no book in that quarter. Quarters can be missing, so this is a join, no lag.
+    Flags are false where the manager has no book in that quarter. The line before counts only if it is of the quarter
+    before: quarters can be missing.
     """
-    before = books.select("slug", F.col("period").alias("prev_period"), "cusip", F.col("shares").alias("shares_prev"), F.col("w_all").alias("w_prev"))
+    line = Window.partitionBy("slug", "cusip").orderBy("period")
     filed = books.select("slug", F.col("period").alias("prev_period")).distinct().withColumn("has_prev", F.lit(True))
-    linked = books.withColumn("prev_period", previous_quarter(F.col("period"))).join(before, ["slug", "prev_period", "cusip"], "left").join(filed, ["slug", "prev_period"], "left")
+    dated = books.withColumn("prev_period", previous_quarter(F.col("period"))).withColumn("was", F.lag(F.struct("period", "shares", "w_all")).over(line))
+    near = F.col("was.period") == F.col("prev_period")
+    linked = dated.withColumn("shares_prev", F.when(near, F.col("was.shares"))).withColumn("w_prev", F.when(near, F.col("was.w_all"))).drop("was").join(filed, ["slug", "prev_period"], "left")
     has, was = F.coalesce("has_prev", F.lit(False)), F.col("shares_prev")
     flag = lambda c: F.coalesce(has & c, F.lit(False))
     return linked.withColumn("has_prev", has).withColumn("new", flag(was.isNull())).withColumn("add", flag(F.col("shares") >= 1.25 * was)).withColumn("cut", flag(F.col("shares") <= 0.75 * was))
@@ -101,12 +104,14 @@ def filing_features(books: DataFrame) -> DataFrame:
         F.max(has).alias("has_prev"), F.sum(F.col("new").cast("double")).alias("n_new"), F.sum(F.least("w_all", F.coalesce("w_prev", F.lit(0.0)))).alias("common"), F.sum("value").alias("book"),
         F.sum((~F.col("new")).cast("int")).alias("kept"),
     )
-    before = shape.select("slug", F.col("period").alias("prev_period"), F.col("n").alias("n_prev"), F.col("book").alias("book_prev"))
+    own = Window.partitionBy("slug").orderBy("period")  # a row for each filing
+    near = F.lag("period").over(own) == F.col("prev_period")
+    shape = shape.withColumn("n_prev", F.when(near, F.lag("n").over(own))).withColumn("book_prev", F.when(near, F.lag("book").over(own)))
     step = F.log(F.col("book") / F.col("book_prev"))
     unit = F.log(F.lit(1000.0))
     growth = F.when(F.abs(F.abs(step) - unit) < 0.7, step - F.signum(step) * unit).otherwise(step)
     when = lambda c: F.when(F.col("has_prev"), c)
-    return shape.join(before, ["slug", "prev_period"], "left").select(
+    return shape.select(
         "slug", "period", "formation", "n", "hhi", "top1", "top10", "crowding",
         when(F.col("n_new") / F.col("n")).alias("new_fraction"), when(1 - F.col("common")).alias("turnover"),
         when((F.col("n_prev") - F.col("kept")) / F.col("n_prev")).alias("sold_fraction"), when(F.least(F.greatest(growth, F.lit(-2.0)), F.lit(2.0))).alias("growth"),

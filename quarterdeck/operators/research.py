@@ -32,18 +32,21 @@ def covariance_rows(series: DataFrame, value: str = "u", shrink: float = 0.5) ->
     return v.withColumn("v", F.when(F.col("a") == F.col("b"), F.col("v")).otherwise(F.col("v") * (1 - shrink)))
 
 
-def diversification(alphas: DataFrame, cov: DataFrame, most: int = 25) -> DataFrame:
-    """Equal blends of the first n managers by alpha, n = 1 to most. The ranked table is cut to most rows first."""
+def diversification(alphas: DataFrame, residuals: DataFrame, most: int = 25) -> DataFrame:
+    """Equal blends of the first n managers by alpha, n = 1 to most. Only their covariances are worked out.
+
+    alphas(slug, alpha), residuals(slug, month, u).
+    """
     best = alphas.orderBy(F.desc("alpha"), "slug").limit(most).withColumn("k", F.row_number().over(Window.orderBy(F.desc("alpha"), "slug")))
     spread = best.withColumn("blend", F.explode(F.sequence(F.col("k"), F.lit(most)))).withColumn("w", 1.0 / F.col("blend"))
-    return blend_stats(spread.select("blend", "slug", "w"), alphas.select("slug", "alpha"), cov)
+    return blend_stats(spread.select("blend", "slug", "w"), best.select("slug", "alpha"), covariance_rows(residuals.join(F.broadcast(best.select("slug")), "slug")))
 
 
 def half_sample_ranks(first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
     """Mean later alpha of the k best and worst managers by earlier t. first(slug, t), second(slug, later)."""
-    order = lambda up: F.row_number().over(Window.orderBy(F.asc("t") if up else F.desc("t"), "slug"))  # noqa: E731  a row for each manager
-    j = first.withColumn("hi", order(False)).withColumn("lo", order(True)).join(second, "slug")
-    return j.select(F.when(F.col("hi") <= k, "best").when(F.col("lo") <= k, "worst").alias("group"), "later").where("group is not null").groupBy("group").agg(F.count("*").alias("n"), F.avg("later").alias("later"))
+    known = first.where("t is not null")
+    ends = [known.orderBy(F.desc("t"), "slug").limit(k).select("slug", F.lit("best").alias("group")), known.orderBy("t", "slug").limit(k).select("slug", F.lit("worst").alias("group"))]
+    return ends[0].unionByName(ends[1]).join(second, "slug").groupBy("group").agg(F.count("*").alias("n"), F.avg("later").alias("later"))
 
 
 def blend_returns(returns: DataFrame, weights: DataFrame, fee: float = 0.0) -> DataFrame:

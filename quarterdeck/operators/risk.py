@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -323,44 +324,91 @@ def auc(scored: DataFrame, label: str, score: str, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("rk") * F.col(label)) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
+def auc_pooled(scored: DataFrame, label: str, score: str, ranges: int = 256) -> DataFrame:
+    """R24 over a whole table: exact with ties, and no task sees all rows.
+
+    Numbers of both classes by distinct score first; then sums of what is below, by ranges of scores and within them.
+    """
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    by = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    edges = sorted(set(by.approxQuantile("s", [i / ranges for i in range(1, max(ranges, 2))], 0.001))) or [0.0]
+    placed = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="s", outputCol="range").transform(by)
+    sums = placed.groupBy("range").agg(F.sum("neg").alias("own"))  # as many rows as ranges
+    below = sums.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    inner = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = placed.withColumn("inner", inner).join(F.broadcast(below), "range").select("pos", "neg", (F.col("pos") * (F.col("below") + F.col("inner") + F.col("neg") / 2)).alias("wins"))
+    return wins.agg(F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).alias("n"), F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
 def brier(scored: DataFrame, label: str, p: str) -> DataFrame:
     """Brier score and skill against the base rate."""
     rate = scored.agg(F.avg(F.col(label).cast("double")).alias("rate"))
     return scored.crossJoin(F.broadcast(rate)).agg(F.count("*").alias("n"), F.avg(F.pow(F.col(p) - F.col(label), F.lit(2))).alias("brier"), F.avg(F.pow(F.col("rate") - F.col(label), F.lit(2))).alias("base")).withColumn("skill", 1 - F.try_divide("brier", "base"))
 
 
-def bootstrap(aligned: DataFrame, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """For each manager the observed CAPM t of alpha and how it stands among resamples of a null without alpha.
+def _resampled(aligned: DataFrame, work, fields: str, seed: int) -> DataFrame:
+    """A row for each manager from work(y, y_b, rng) over the months of its record, in order.
+
+    A record is bounded by the calendar, and so is what a task holds. The draws of a manager depend on its name and the
+    seed alone.
+    """
+    months = aligned.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("month", "y", "y_b"))).alias("m"))
+    records = months.select("slug", F.xxhash64(F.lit(seed), F.col("slug").cast("string")).alias("key"), F.col("m.y").alias("y"), F.col("m.y_b").alias("y_b"))
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = [work(np.asarray(y, float), np.asarray(x, float), np.random.default_rng(key & (1 << 63) - 1)) for y, x, key in zip(b["y"], b["y_b"], b["key"], strict=True)]
+            yield pd.concat([b["slug"].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    return records.mapInPandas(run, f"slug {aligned.schema['slug'].dataType.simpleString()}, {fields}")
+
+
+def _alphas(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intercept and its t of each row's regression of y on x; NaN where x doesn't vary or three months lack."""
+    n = y.shape[-1]
+    xm, ym = x.mean(axis=-1, keepdims=True), y.mean(axis=-1, keepdims=True)
+    sxx, sxy, syy = ((x - xm) ** 2).sum(axis=-1), ((x - xm) * (y - ym)).sum(axis=-1), ((y - ym) ** 2).sum(axis=-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = ym[..., 0] - sxy / sxx * xm[..., 0]
+        rss = np.maximum(syy - sxy**2 / sxx, 0)
+        return alpha, alpha / np.sqrt(rss / (n - 2) * (1 / n + xm[..., 0] ** 2 / sxx)) if n > 2 else np.full(y.shape[:-1], np.nan)
+
 
-    A table of (manager, replicate, draw): each draw's month comes from a hash of the three, so results don't depend on
-    partitioning. Moments of a replicate are sums, and its t follows in closed form.
+def bootstrap(aligned: DataFrame, replicates: int = 1500, seed: int = 7) -> DataFrame:
+    """For each manager the observed CAPM t of alpha, its place among resamples of a null without alpha, and a pairs interval.
+
+    The null keeps the record without its alpha; months are drawn with replacement. The interval (alpha_low, alpha_high,
+    95 %, by month) comes from the same draws of the months as they are.
     """
-    w = Window.partitionBy("slug").orderBy("month")
-    fit = aligned.groupBy("slug").agg(F.regr_intercept("y", "y_b").alias("alpha"))
-    rows = aligned.join(fit, "slug").select("slug", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("slug")).alias("n"), "y_b", "y", (F.col("y") - F.col("alpha")).alias("y0"))
-    draws = rows.select("slug", "i", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    drawn = draws.select("slug", "b", F.pmod(F.xxhash64(F.lit(seed), "slug", "b", "i"), F.col("n")).cast("int").alias("i"))
-    picked = drawn.join(rows.select("slug", "i", "y_b", "y0"), ["slug", "i"])
 
-    def t_of(y):
-        n, sxx, b = F.count("*"), F.regr_sxx(y, "y_b"), F.regr_slope(y, "y_b")
-        rss = F.greatest(F.regr_syy(y, "y_b") - b * b * sxx, F.lit(0.0))
-        return F.try_divide(F.regr_intercept(y, "y_b"), F.sqrt(rss / (n - 2) * (1 / n + F.pow(F.avg("y_b"), F.lit(2)) / sxx)))
+    def work(y, x, rng):
+        alpha, seen = _alphas(y, x)
+        i = rng.integers(0, len(y), (replicates, len(y)))
+        pairs, _ = _alphas(y[i], x[i])
+        _, t = _alphas((y - alpha)[i], x[i])
+        t, pairs = t[np.isfinite(t)], pairs[np.isfinite(pairs)]
+        if not np.isfinite(seen) or not len(t):
+            return None, len(y), None, None, None, None, None, None
+        return (float(seen), len(y), float((t >= seen).mean()), float((np.abs(t) >= abs(seen)).mean()), *map(float, np.quantile(t, [0.025, 0.975])), *map(float, np.quantile(pairs, [0.025, 0.975])))
 
-    null = picked.groupBy("slug", "b").agg(t_of("y0").alias("t"))
-    seen = rows.groupBy("slug").agg(t_of("y").alias("t_observed"), F.count("*").alias("n"))
-    return null.join(seen, "slug").groupBy("slug", "t_observed", "n").agg(F.avg((F.col("t") >= F.col("t_observed")).cast("double")).alias("p_one_sided"), F.avg((F.abs("t") >= F.abs("t_observed")).cast("double")).alias("p_two_sided"), F.percentile("t", F.lit(0.025)).alias("t_low"), F.percentile("t", F.lit(0.975)).alias("t_high"))
+    fields = "t_observed double, n long, p_one_sided double, p_two_sided double, t_low double, t_high double, alpha_low double, alpha_high double"
+    return _resampled(aligned, work, fields, seed)
 
 
-def null_cohort(aligned: DataFrame, managers: int = 200, seed: int = 9) -> DataFrame:
+def null_cohort(aligned: DataFrame, managers: int = 3000, seed: int = 9) -> DataFrame:
     """Where each record's mean excess falls among no-skill managers of the same beta and residuals."""
-    w = Window.partitionBy("slug").orderBy("month")
-    fit = aligned.groupBy("slug").agg(F.regr_slope("y", "y_b").alias("beta"), F.regr_intercept("y", "y_b").alias("alpha"))
-    rows = aligned.join(fit, "slug").select("slug", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("slug")).alias("n"), (F.col("y") - F.col("alpha") - F.col("beta") * F.col("y_b")).alias("u"), (F.col("beta") * F.col("y_b")).alias("fair"), "y")
-    made = rows.select("slug", "n", "fair", "i", F.explode(F.sequence(F.lit(1), F.lit(managers))).alias("b")).withColumn("j", F.pmod(F.xxhash64(F.lit(seed), "slug", "b", "i"), F.col("n")).cast("int"))
-    joined = made.join(rows.select("slug", F.col("i").alias("j"), "u"), ["slug", "j"]).groupBy("slug", "b").agg(F.avg(F.col("fair") + F.col("u")).alias("luck"))
-    own = rows.groupBy("slug").agg(F.avg("y").alias("actual"))
-    return joined.join(own, "slug").groupBy("slug", "actual").agg(F.avg((F.col("luck") < F.col("actual")).cast("double")).alias("percentile"), F.percentile("luck", F.lit(0.95)).alias("luck95"))
+
+    def work(y, x, rng):
+        alpha, _ = _alphas(y, x)
+        if not np.isfinite(alpha):
+            return float(y.mean()), None, None
+        beta = float((y.mean() - alpha) / x.mean()) if abs(x.mean()) > 1e-12 else float(np.cov(x, y)[0, 1] / x.var(ddof=1))
+        fair = beta * x
+        luck = fair.mean() + (y - alpha - fair)[rng.integers(0, len(y), (managers, len(y)))].mean(axis=1)
+        return float(y.mean()), float((luck < y.mean()).mean()), float(np.quantile(luck, 0.95))
+
+    return _resampled(aligned, work, "actual double, percentile double, luck95 double", seed)
 
 
 def skill(metrics: DataFrame, fits: DataFrame) -> DataFrame:

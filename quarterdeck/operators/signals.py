@@ -148,16 +148,18 @@ def signal_correlations(panel: DataFrame, signals: list[str]) -> DataFrame:
 
 
 def as_of(queries: DataFrame, facts: DataFrame, stale_days: int = 456) -> DataFrame:
-    """For each (ticker, t) the value with the latest (filed, end) known at t whose period ended within the limit.
+    """For each (ticker, t) the value with the latest (filed, end) among those known at t whose period ended within the limit.
 
-    The two tables are put in one order and the last fact carried forward: one shuffle on ticker, whatever their sizes.
+    A late filing for an old period hides nothing: stale periods are left out first. A fact counts in the months from
+    its filing until its period is stale, some 16 at most, so the join is by ticker and month and grows with the facts.
     """
-    f = facts.where("value is not null and filed is not null and end is not null").select("ticker", F.col("filed").alias("t"), F.lit(0).alias("kind"), F.struct("filed", "end", "value").alias("fact"))
-    q = queries.select("ticker", "t", F.lit(1).alias("kind"), F.lit(None).cast(f.schema["fact"].dataType).alias("fact"))
-    w = Window.partitionBy("ticker").orderBy("t", "kind", "fact.end").rowsBetween(Window.unboundedPreceding, 0)
-    seen = f.unionByName(q).withColumn("last", F.last("fact", ignorenulls=True).over(w)).where("kind = 1")
-    fresh = F.datediff("t", F.col("last.end")) <= stale_days
-    return seen.select("ticker", "t", F.when(fresh, F.col("last.value")).alias("value"), F.when(fresh, F.col("last.end")).alias("end"))
+    until = F.date_add("end", stale_days)
+    f = facts.where("value is not null and filed is not null and end is not null").where(F.col("filed") <= until)
+    held = f.select("ticker", "filed", "end", "value", F.explode(F.sequence(F.trunc("filed", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))).alias("month"))
+    asked = queries.select("ticker", "t").distinct().withColumn("month", F.trunc("t", "month"))
+    known = asked.join(held, ["ticker", "month"]).where((F.col("filed") <= F.col("t")) & (F.col("end") >= F.date_sub("t", stale_days)))
+    last = known.groupBy("ticker", "t").agg(F.max(F.struct("filed", "end", "value")).alias("last"))
+    return queries.select("ticker", "t").join(last, ["ticker", "t"], "left").select("ticker", "t", F.col("last.value").alias("value"), F.col("last.end").alias("end"))
 
 
 def facts_of_kind(facts: DataFrame, kind: str) -> DataFrame:

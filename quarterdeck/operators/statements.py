@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,21 +261,39 @@ def segment_cashflows(segment: DataFrame, flows: DataFrame) -> DataFrame:
     return first.unionByName(inner).unionByName(last)
 
 
-def xirr(cashflows: DataFrame, *key: str, steps: int = 100) -> DataFrame:
-    """The rate at which each key's dated flows are worth nothing, by bisection within -0.9999 and 10.
-
-    The search is a fold over the key's own flows inside one expression; null without a change of sign.
+def _rate(days: np.ndarray, amounts: np.ndarray, lo: float = -0.9999, hi: float = 10.0) -> float | None:
+    """The rate within the bracket at which dated amounts are worth nothing: Newton's steps, halved where one would leave it."""
+    t = (days - days[0]) / 365.25
+    worth = lambda r: float((amounts * (1 + r) ** -t).sum())
+    sign = np.sign(worth(lo))
+    if not ((amounts > 0).any() and (amounts < 0).any()) or sign == np.sign(worth(hi)):
+        return None
+    x = 0.05
+    for _ in range(100):
+        f = worth(x)
+        lo, hi = (x, hi) if np.sign(f) == sign else (lo, x)
+        slope = float((-t * amounts * (1 + x) ** (-t - 1)).sum())
+        to = x - f / slope if slope else lo
+        to = to if lo <= to <= hi else (lo + hi) / 2
+        if abs(to - x) < 1e-13 or f == 0:
+            return x
+        x = to
+    return x
+
+
+def xirr(cashflows: DataFrame, *key: str) -> DataFrame:
+    """The rate at which each key's dated flows are worth nothing, within -0.9999 and 10; null without a change of sign.
+
+    Flows are added up by day first, so what a key brings to a task is bounded by its days.
     """
-    day = cashflows.groupBy(*key, "date").agg(F.sum("amount").alias("amount"))
-    by = day.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("date", "amount"))).alias("flows"))
-    timed = by.select(*key, F.transform("flows", lambda x: F.struct((F.datediff(x["date"], F.col("flows")[0]["date"]) / 365.25).alias("t"), x["amount"].alias("a"))).alias("flows"))
-    value = lambda rate: F.aggregate("flows", F.lit(0.0), lambda s, x: s + x["a"] / F.pow(1 + rate, x["t"]))
-    lo, hi = F.lit(-0.9999), F.lit(10.0)
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.struct(lo.alias("lo"), hi.alias("hi"), value(lo).alias("f")),
-        lambda s, _: F.when(
-            F.signum(value((s["lo"] + s["hi"]) / 2)) == F.signum(s["f"]), F.struct(((s["lo"] + s["hi"]) / 2).alias("lo"), s["hi"].alias("hi"), s["f"].alias("f"))
-        ).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).alias("hi"), s["f"].alias("f"))),
-    )
-    sure = F.exists("flows", lambda x: x["a"] > 0) & F.exists("flows", lambda x: x["a"] < 0) & (F.signum(value(lo)) != F.signum(value(hi)))
-    return timed.select(*key, F.when(sure, (found["lo"] + found["hi"]) / 2).alias("irr"))
+    day = cashflows.groupBy(*key, "date").agg(F.sum("amount").cast("double").alias("amount"))
+    by = day.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.unix_date("date").alias("day"), "amount"))).alias("flows"))
+    listed = by.select(*key, F.col("flows.day").alias("days"), F.col("flows.amount").alias("amounts"))
+
+    def run(batches):
+        for b in batches:
+            b["irr"] = [_rate(np.asarray(d, float), np.asarray(a, float)) for d, a in zip(b["days"], b["amounts"], strict=True)]
+            yield b[[*key, "irr"]].astype({"irr": "float64"})
+
+    kinds = ", ".join(f"`{k}` {cashflows.schema[k].dataType.simpleString()}" for k in key)
+    return listed.mapInPandas(run, f"{kinds}, irr double" if key else "irr double")

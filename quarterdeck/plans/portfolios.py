@@ -341,7 +341,7 @@ def labelled(tb):
 @query("r24_auc", FEATURES + """, ok as (select case when fwd_excess > excess12 then 1 else 0 end y, excess12 s from x where fwd_excess is not null and excess12 is not null),
   k as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 rk from ok) select count(*) as n, round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) as auc from k""")
 def _(tb):
-    return tidy(r.auc(labelled(tb).withColumn("one", F.lit(1)), "y", "excess12", "one").drop("one"))
+    return tidy(r.auc_pooled(labelled(tb), "y", "excess12"))
 
 
 @query("r24_auc_by_month", FEATURES + """, ok as (select month, case when fwd_excess > excess12 then 1 else 0 end y, excess12 s from x where fwd_excess is not null and excess12 is not null),
@@ -372,14 +372,14 @@ def _(tb):
 
 ASOF = """
 with f as (select distinct concat(p_brand, '/', p_type) ticker, cast(o_orderdate as date) filed, cast(cast(o_orderdate as date) - cast(o_orderkey % 400 as int) as date) "end", o_totalprice as value
-  from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey where o_orderkey % 7 = 0 and p_partkey % 20 <> 0),
+  from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey where p_partkey % 20 <> 0),
 g as (select ticker, filed, "end", max(value) as value from f group by 1, 2, 3)"""
 
 
-@query("j14_as_of", ASOF + """, c as (select p.ticker, p.month, g.value, g."end", row_number() over (partition by p.ticker, p.month order by filed desc, "end" desc) k from prices p join g on g.ticker = p.ticker and g.filed <= p.month)
-  select p.ticker as ticker, p.month as t, round(case when date_diff('day', c."end", p.month) <= 456 then c.value end, 2) as value from prices p left join c on p.ticker = c.ticker and p.month = c.month and k = 1""")
+@query("j14_as_of", ASOF + """, c as (select p.ticker, p.month, g.value, g."end", row_number() over (partition by p.ticker, p.month order by filed desc, "end" desc) k from prices p join g on g.ticker = p.ticker and g.filed <= p.month and date_diff('day', g."end", p.month) <= 456)
+  select p.ticker as ticker, p.month as t, round(c.value, 2) as value from prices p left join c on p.ticker = c.ticker and p.month = c.month and k = 1""")
 def _(tb):
-    o = tb.orders.where("o_orderkey % 7 = 0").join(tb.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(tb.part.where("p_partkey % 20 <> 0"), F.col("l_partkey") == F.col("p_partkey"))
+    o = tb.orders.join(tb.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(tb.part.where("p_partkey % 20 <> 0"), F.col("l_partkey") == F.col("p_partkey"))
     f = o.select(F.concat("p_brand", F.lit("/"), "p_type").alias("ticker"), F.to_date("o_orderdate").alias("filed"), F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400).cast("int")).alias("end"), F.col("o_totalprice").alias("value"))
     facts = f.groupBy("ticker", "filed", "end").agg(F.max("value").alias("value"))
     return tidy(g.as_of(tb.prices.select("ticker", F.col("month").alias("t")), facts).select("ticker", "t", "value"), ("value",))

@@ -65,8 +65,16 @@ def latest_positions(stream: DataFrame, months: int = 4) -> DataFrame:
     return newest.withColumn("expires", F.last_day(F.add_months(F.to_date("filed"), months)))
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that is there now, into a table of the session; for small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, mode: str, place: str) -> DataFrame:
+    """Everything that is there now, as Parquet in place, a folder that all executors share; nothing meets on the driver.
+
+    Each batch has a folder of its own, so one that is run again replaces itself; a complete result replaces the last.
+    """
+    spark, out = stream.sparkSession, f"{place}/out"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+
+    put(spark.createDataFrame([], stream.schema), 0)
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

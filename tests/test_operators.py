@@ -190,3 +190,55 @@ def test_infotable_xml_and_csv(spark, tmp_path):
     got = readers.read_table(spark, str(tmp_path / "flows.csv"), "flows").orderBy("account_id").collect()
     assert got[0].amount == 1000.5 and got[0].date == D(2001, 2, 3) and got[1].date is None and got[1].amount is None and got[1].description is None
     assert readers.load_dataset(spark, str(tmp_path), ("flows", "accounts"))["accounts"].count() == 0
+
+
+def test_a_late_filing_of_an_old_period_hides_nothing(spark):
+    facts = spark.createDataFrame([("x", D(2021, 2, 20), D(2020, 12, 31), 1.0), ("x", D(2021, 3, 1), D(2019, 6, 30), 9.0)], "ticker string, filed date, end date, value double")
+    q = spark.createDataFrame([("x", D(2021, 3, 31)), ("x", D(2021, 2, 1)), ("x", D(2023, 1, 1)), ("y", D(2021, 3, 31))], "ticker string, t date")
+    assert {(r.ticker, r.t): r.value for r in signals.as_of(q, facts).collect()} == {("x", D(2021, 3, 31)): 1.0, ("x", D(2021, 2, 1)): None, ("x", D(2023, 1, 1)): None, ("y", D(2021, 3, 31)): None}
+
+
+def test_found_rates_leave_no_value(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        flows = [(k, D(2000 + rng.randrange(8), 1 + rng.randrange(12), 5), -rng.uniform(1, 100)) for _ in range(6)]
+        rows += flows + [(k, D(2009, 6, 30), -sum(a for *_, a in flows) * rng.uniform(0.3, 3))]
+    got = {r.k: r.irr for r in statements.xirr(spark.createDataFrame(rows, "k long, date date, amount double"), "k").collect()}
+    for k, rate in got.items():
+        own = [(d, a) for key, d, a in rows if key == k]
+        first = min(d for d, _ in own)
+        worth = [a / (1 + rate) ** ((d - first).days / 365.25) for d, a in own]
+        assert abs(sum(worth)) < 1e-9 * sum(map(abs, worth))
+    assert len(got) == 60
+
+
+def test_pooled_area_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(2), float(rng.randrange(40))) for _ in range(500)] + [(None, 1.0), (1, None)]
+    own = [r for r in rows if None not in r]
+    pos, neg = [s for y, s in own if y], [s for y, s in own if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    for n in (1, 7, 256):
+        r = risk.auc_pooled(spark.createDataFrame(rows, "y int, s double"), "y", "s", n).first()
+        assert r.n == 500 and abs(r.auc - want) < 1e-12
+
+
+def test_resamples_find_planted_skill(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0.005, 0.04, 96)
+    rows = [(name, D(2000 + i // 12, i % 12 + 1, 28), float(a + 0.9 * x[i] + e), float(x[i])) for name, a in (("good", 0.01), ("none", 0.0)) for i, e in enumerate(rng.normal(0, 0.01, 96))]
+    df = spark.createDataFrame(rows, "slug string, month date, y double, y_b double")
+    b = {r.slug: r for r in risk.bootstrap(df).collect()}
+    y = np.array([r[2] for r in rows[:96]])
+    design = np.column_stack([np.ones(96), x])
+    beta, se = risk.ols(design, y)[:2]
+    assert abs(b["good"].t_observed - beta[0] / se[0]) < 1e-6 and b["good"].n == 96
+    assert b["good"].p_one_sided < 0.01 < b["none"].p_two_sided and b["good"].alpha_low < beta[0] < b["good"].alpha_high and b["good"].alpha_low > 0
+    again = {r.slug: r for r in risk.bootstrap(df.repartition(3)).collect()}
+    assert again == b
+    c = {r.slug: r for r in risk.null_cohort(df).collect()}
+    assert c["good"].percentile > 0.99 and 0.0 < c["none"].percentile < 1.0
