@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 _own: dict[str, str] = {}
+#: Tables kept so far within each settled() that is open.
+_on_the_way: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +32,26 @@ def keep(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors, gives Spark the true size."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _on_the_way:
+        _on_the_way[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """keep(make()), after which the tables that were kept on the way to it are deleted."""
+    _on_the_way.append([])
+    try:
+        made = make()
+    finally:
+        passed = _on_the_way.pop()
+    out = keep(made)
+    spark = made.sparkSession
+    for path in passed:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
