@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 _own: dict[str, str] = {}
 #: Tables kept so far within each settled() that is open.
 _on_the_way: list[list[str]] = []
+#: Spark deletes a query's shuffle files at its end; what keep() has written doesn't need them.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def keep(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors, gives Spark the true size."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     if _on_the_way:
         _on_the_way[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
