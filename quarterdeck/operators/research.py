@@ -155,3 +155,32 @@ def tracking_error(active: DataFrame, cov: DataFrame) -> DataFrame:
     return q.select("portfolio", F.sqrt(12 * F.greatest("q", F.lit(0.0))).alias("tracking_error"))
 
 
+
+
+def sleeve_returns(prices: DataFrame, sleeves: DataFrame, rf: DataFrame) -> DataFrame:
+    """(sleeve, month, r): monthly returns of each sleeve's proxy, and of cash from rf(month, rf).
+
+    prices(ticker, month, price) by month end; sleeves(sleeve, ticker) is a small list. A month has a return only if
+    its price and that of the month before are there: gaps aren't bridged.
+    """
+    w = Window.partitionBy("ticker").orderBy("month")
+    held = prices.join(sleeves.select("ticker").distinct(), "ticker", "left_semi")
+    moved = held.withColumn("before", F.lag("price").over(w)).withColumn("then", F.lag("month").over(w))
+    moved = moved.where(F.col("then") == F.last_day(F.add_months("month", -1))).select("ticker", "month", (F.col("price") / F.nullif("before", F.lit(0)) - 1).alias("r"))
+    return sleeves.join(moved, "ticker").where("r is not null").select("sleeve", "month", "r").unionByName(rf.select(F.lit("cash").alias("sleeve"), "month", F.col("rf").alias("r")))
+
+
+def home_weights(markets: DataFrame, key: str, window: int = 12) -> DataFrame:
+    """(key, year, home, abroad): the home share of a world index, as known at the start of each year.
+
+    markets(key, month, world, home, abroad) are returns; the share is the least-squares weight of
+    world = w home + (1 - w) abroad over the last months that have all three, in 0 to 1. A year takes the latest share
+    of a year before it; without so many months before, or where both parts moved alike throughout, it is null.
+    """
+    full = markets.dropna(subset=["world", "home", "abroad"]).withColumn("x", F.col("home") - F.col("abroad")).withColumn("y", F.col("world") - F.col("abroad"))
+    w = Window.partitionBy(key).orderBy("month").rowsBetween(1 - window, 0)
+    share = F.sum(F.col("x") * F.col("y")).over(w) / F.nullif(F.sum(F.col("x") * F.col("x")).over(w), F.lit(0.0))
+    rolled = full.select(key, "month", F.when(F.count("*").over(w) == window, F.when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)).alias("w"))
+    yearly = rolled.groupBy(key, F.year("month").alias("year")).agg(F.max_by("w", "month").alias("last"))
+    known = F.lag("last").over(Window.partitionBy(key).orderBy("year"))
+    return yearly.select(key, "year", known.alias("home"), (1 - known).alias("abroad"))

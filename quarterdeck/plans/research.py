@@ -171,3 +171,25 @@ def _(tb):
 
     f = tb.orders.select("o_orderkey", F.to_date("o_orderdate").alias("end"), F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 500).cast("int")).alias("start"))
     return facts_of_kind(f, "annual").select("o_orderkey", F.datediff("end", "start").alias("days"))
+
+
+@query("s24_sleeve_returns", """with p as (select sector, min(ticker) ticker from sectors group by 1)
+  select sector as sleeve, month, round(r, 6) as r from ticker_returns r join p on r.ticker = p.ticker union all select 'cash', month, round(rf, 6) from factors""")
+def _(tb):
+    proxies = tb.sectors.groupBy(F.col("sector").alias("sleeve")).agg(F.min("ticker").alias("ticker"))
+    return tidy(m.sleeve_returns(tb.prices, proxies, tb.factors))
+
+
+@query("w14_home_weights", """with h as (select region, month, sum(r) s, count(*) n from manager_returns m join funds f on m.slug = f.slug group by 1, 2),
+  t as (select month, sum(s) s, sum(n) n from h group by 1),
+  x as (select region, h.month, h.s / h.n - (t.s - h.s) / (t.n - h.n) x, t.s / t.n - (t.s - h.s) / (t.n - h.n) y from h join t on h.month = t.month where t.n > h.n),
+  w as (select region, month, case when count(*) over v = 12 then least(1, greatest(0, sum(x * y) over v / nullif(sum(x * x) over v, 0))) end w from x
+    window v as (partition by region order by month rows between 11 preceding and current row)),
+  k as (select region, cast(year(month) as int) as year, w, row_number() over (partition by region, year(month) order by month desc) nth from w),
+  o as (select region, year, lag(w) over (partition by region order by year) home from k where nth = 1)
+  select region, year, round(home, 6) as home, round(1 - home, 6) as abroad from o""")
+def _(tb):
+    h = tb.manager_returns.join(tb.funds.select("slug", "region"), "slug").groupBy("region", "month").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
+    both = h.join(h.groupBy("month").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n")), "month").where("all_n > n")
+    world, home, abroad = F.col("all_s") / F.col("all_n"), F.col("s") / F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))
+    return tidy(m.home_weights(both.select("region", "month", world.alias("world"), home.alias("home"), abroad.alias("abroad")), "region"))

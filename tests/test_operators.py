@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import columns as c
-from quarterdeck.operators import books, composite, risk, signals, statements
+from quarterdeck.operators import books, composite, research, risk, signals, statements
 from quarterdeck.sources import readers
 
 D = dt.date
@@ -242,3 +242,24 @@ def test_resamples_find_planted_skill(spark):
     assert again == b
     c = {r.slug: r for r in risk.null_cohort(df).collect()}
     assert c["good"].percentile > 0.99 and 0.0 < c["none"].percentile < 1.0
+
+
+def test_sleeves_skip_gaps_and_cash_earns_the_rate(spark):
+    px = [("A", D(2020, 1, 31), 10.0), ("A", D(2020, 2, 29), 11.0), ("A", D(2020, 4, 30), 12.0), ("A", D(2020, 5, 31), None), ("B", D(2020, 1, 31), 1.0), ("B", D(2020, 2, 29), 2.0)]
+    prices = spark.createDataFrame(px, "ticker string, month date, price double")
+    rf = spark.createDataFrame([(D(2020, 3, 31), 0.002)], "month date, rf double")
+    got = research.sleeve_returns(prices, spark.createDataFrame([("stocks", "A"), ("bonds", "none")], "sleeve string, ticker string"), rf)
+    assert sorted((r.sleeve, r.month, round(r.r, 9)) for r in got.collect()) == [("cash", D(2020, 3, 31), 0.002), ("stocks", D(2020, 2, 29), 0.1)]
+
+
+def test_home_weight_is_found_from_earlier_years_only(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for key, share in (("mixed", 0.6), ("beyond", 1.4)):
+        for i, (h, a) in enumerate(rng.normal(0, 0.04, (30, 2)).tolist()):
+            w = share if i < 24 else 0.1  # a change in the third year isn't known at its start
+            rows.append((key, D(2020 + i // 12, i % 12 + 1, 28), w * h + (1 - w) * a, h, a))
+    rows.append(("short", D(2020, 1, 28), 0.1, 0.1, 0.2))
+    got = research.home_weights(spark.createDataFrame(rows, "key string, month date, world double, home double, abroad double"), "key").collect()
+    assert sorted((r.key, r.year, r.home and round(r.home, 9)) for r in got) == [
+        ("beyond", 2020, None), ("beyond", 2021, 1.0), ("beyond", 2022, 1.0), ("mixed", 2020, None), ("mixed", 2021, 0.6), ("mixed", 2022, 0.6), ("short", 2020, None)]
