@@ -184,3 +184,15 @@ def home_weights(markets: DataFrame, key: str, window: int = 12) -> DataFrame:
     yearly = rolled.groupBy(key, F.year("month").alias("year")).agg(F.max_by("w", "month").alias("last"))
     known = F.lag("last").over(Window.partitionBy(key).orderBy("year"))
     return yearly.select(key, "year", known.alias("home"), (1 - known).alias("abroad"))
+
+
+def curves(series: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, month, growth, total): what one unit grew to, and the running sum, of a return series by key.
+
+    Months without a value carry both on; before the first value both are null. A loss of all or more ends the growth
+    at zero.
+    """
+    w = Window.partitionBy(key).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.max((F.col(value) <= -1).cast("int")).over(w) == 1
+    grown = F.exp(F.sum(F.when(F.col(value) > -1, F.log1p(value))).over(w))
+    return series.select(key, "month", F.when(lost, 0.0).otherwise(grown).alias("growth"), F.sum(value).over(w).alias("total"))

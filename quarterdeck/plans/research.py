@@ -193,3 +193,9 @@ def _(tb):
     both = h.join(h.groupBy("month").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n")), "month").where("all_n > n")
     world, home, abroad = F.col("all_s") / F.col("all_n"), F.col("s") / F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))
     return tidy(m.home_weights(both.select("region", "month", world.alias("world"), home.alias("home"), abroad.alias("abroad")), "region"))
+
+
+@query("a33_curves", """select slug, month, round(exp(sum(ln(1 + r_p)) over w), 6) as growth, round(sum(r_p) over w, 6) as total from aligned
+  window w as (partition by slug order by month rows unbounded preceding)""")
+def _(tb):
+    return tidy(m.curves(tb.aligned, "slug", "r_p"))

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["a03_filing_features", "k10_formation_weights", "k02_reconcile", "a07_variants", "w08_drawdowns", "r25_hac_mean", "j14_as_of", "s15_statement_fields", "k26_sector_exposure"]
+SOME = ["a03_filing_features", "k10_formation_weights", "k02_reconcile", "a07_variants", "w08_drawdowns", "r25_hac_mean", "j14_as_of", "s15_statement_fields", "k26_sector_exposure", "s24_sleeve_returns", "w14_home_weights", "a33_curves"]
 
 
 def test_entry_has_rows(spark):

@@ -263,3 +263,10 @@ def test_home_weight_is_found_from_earlier_years_only(spark):
     got = research.home_weights(spark.createDataFrame(rows, "key string, month date, world double, home double, abroad double"), "key").collect()
     assert sorted((r.key, r.year, r.home and round(r.home, 9)) for r in got) == [
         ("beyond", 2020, None), ("beyond", 2021, 1.0), ("beyond", 2022, 1.0), ("mixed", 2020, None), ("mixed", 2021, 0.6), ("mixed", 2022, 0.6), ("short", 2020, None)]
+
+
+def test_curves_carry_gaps_and_end_at_a_total_loss(spark):
+    rows = [("a", 1, None), ("a", 2, 0.1), ("a", 3, None), ("a", 4, 0.2), ("b", 1, 0.5), ("b", 2, -1.0), ("b", 3, 0.5)]
+    df = spark.createDataFrame([(k, D(2020, n, 28), r) for k, n, r in rows], "k string, month date, r double")
+    got = [(x.k, x.month.month, x.growth and round(x.growth, 9), x.total and round(x.total, 9)) for x in research.curves(df, "k", "r").orderBy("k", "month").collect()]
+    assert got == [("a", 1, None, None), ("a", 2, 1.1, 0.1), ("a", 3, 1.1, 0.1), ("a", 4, 1.32, 0.3), ("b", 1, 1.5, 0.5), ("b", 2, 0.0, -0.5), ("b", 3, 0.0, 0.0)]
