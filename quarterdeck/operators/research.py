@@ -196,3 +196,15 @@ def curves(series: DataFrame, key: str, value: str) -> DataFrame:
     lost = F.max((F.col(value) <= -1).cast("int")).over(w) == 1
     grown = F.exp(F.sum(F.when(F.col(value) > -1, F.log1p(value))).over(w))
     return series.select(key, "month", F.when(lost, 0.0).otherwise(grown).alias("growth"), F.sum(value).over(w).alias("total"))
+
+
+def merged_matches(prints: DataFrame, moves: DataFrame) -> DataFrame:
+    """Every match by price path, and by holders where the paths are silent; corroborated says if holders agree.
+
+    prints(cusip, ticker, accepted), moves(cusip, now, moved, holders): of several moves of a line that with most
+    managers counts, then the least name. A line without a price match, accepted or not, is taken from the moves.
+    """
+    best = moves.groupBy("cusip").agg(F.min_by(F.struct("now", "moved", "holders"), F.struct(-F.col("moved"), "now")).alias("m")).select("cusip", "m.*")
+    first = prints.select("cusip", "ticker", "accepted", F.lit("price path").alias("how")).join(best, "cusip", "left")
+    second = best.join(prints.select("cusip"), "cusip", "left_anti").select("cusip", F.lit(None).cast(prints.schema["ticker"].dataType).alias("ticker"), F.lit(True).alias("accepted"), F.lit("holder migration").alias("how"), "now", "moved", "holders")
+    return first.unionByName(second).withColumn("corroborated", F.coalesce(F.col("moved") > 0, F.lit(False)))

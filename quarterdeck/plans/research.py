@@ -57,7 +57,7 @@ def _(tb):
 
 
 @query("k13_price_fingerprints")
-def _(tb):
+def fingerprints(tb):
     lines = tb.holdings.where("cusip % 20 = 0").groupBy("cusip", "period").agg((F.sum("value") / F.sum("shares")).alias("implied"))
     prices = tb.prices.where("month = last_day(add_months(trunc(month, 'quarter'), 2))").select("ticker", F.col("month").alias("period"), "price")
     return tidy(m.price_fingerprints(lines, prices, least=4, gap=0.3))
@@ -199,3 +199,11 @@ def _(tb):
   window w as (partition by slug order by month rows unbounded preceding)""")
 def _(tb):
     return tidy(m.curves(tb.aligned, "slug", "r_p"))
+
+
+@query("u05_merged_matches")
+def _(tb):
+    from ..operators.books import common_holders
+
+    moves = common_holders(books(tb), least=1, share=0.5).select(F.col("old").alias("cusip"), F.col("new").alias("now"), "moved", "holders")
+    return m.merged_matches(fingerprints(tb), moves)

@@ -270,3 +270,10 @@ def test_curves_carry_gaps_and_end_at_a_total_loss(spark):
     df = spark.createDataFrame([(k, D(2020, n, 28), r) for k, n, r in rows], "k string, month date, r double")
     got = [(x.k, x.month.month, x.growth and round(x.growth, 9), x.total and round(x.total, 9)) for x in research.curves(df, "k", "r").orderBy("k", "month").collect()]
     assert got == [("a", 1, None, None), ("a", 2, 1.1, 0.1), ("a", 3, 1.1, 0.1), ("a", 4, 1.32, 0.3), ("b", 1, 1.5, 0.5), ("b", 2, 0.0, -0.5), ("b", 3, 0.0, 0.0)]
+
+
+def test_second_search_is_kept_only_where_the_first_is_silent(spark):
+    prints = spark.createDataFrame([(1, "AA", True), (2, "BB", False), (3, "CC", True)], "cusip long, ticker string, accepted boolean")
+    moves = spark.createDataFrame([(1, 10, 2, 3), (1, 11, 3, 3), (2, 20, 1, 1), (4, 41, 2, 2), (4, 40, 2, 2)], "cusip long, now long, moved long, holders long")
+    got = sorted((r.cusip, r.ticker, r.accepted, r.how, r.now, r.corroborated) for r in research.merged_matches(prints, moves).collect())
+    assert got == [(1, "AA", True, "price path", 11, True), (2, "BB", False, "price path", 20, True), (3, "CC", True, "price path", None, False), (4, None, True, "holder migration", 40, True)]
