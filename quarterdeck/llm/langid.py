@@ -208,8 +208,8 @@ def _model(counts: pd.DataFrame, languages: list[str]) -> Model:
 
 
 def _laid(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Grams:
-    h, gain, rest = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-    lang = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    h, gain, rest = (np.concatenate([np.zeros(0, kind), *[p[i] for p in parts]]) for i, kind in enumerate((np.uint64, float, float)))
+    lang = np.repeat(np.arange(len(parts)), np.array([len(p[0]) for p in parts], np.int64))
     order = np.lexsort((lang, h))
     keys, first = np.unique(h[order], return_index=True)
     return Grams(keys, np.append(first, len(h)), lang[order], gain[order], rest[order])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, langid, licenses, mixing, nbsvm, packing, quality_rules, secrets, simhash
+from . import alignment, chat, embeddings, langid, licenses, mixing, nbsvm, packing, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_embeddings": op10_embeddings,
+    "op11_token_alignment": op11_token_alignment,
 }
 #: The others can't be put in SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {"op3_chat_formatting": chat.oracle()}
