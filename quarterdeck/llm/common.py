@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -79,6 +79,45 @@ def unit(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+#: Cells of each level of the histogram by which sampled() cuts, and the share of the characters that a text may hold before others are preferred.
+CELLS, LARGE = 4096, 20
+
+
+def sampled(known: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
+    """(by, text): distinct texts of each group of known(by, text), about the given number of each and of characters.
+
+    Whole texts, taken by a hash of theirs until rows or chars are reached; how often a text repeats doesn't count. Texts
+    of more than a LARGEth of chars come last, so one long text doesn't take the others' room. Every group with a text
+    gets one at least. No group is sorted: two levels of histograms, of CELLS rows a group at most, give the cut.
+    """
+    length = F.length("text")
+    known = known.where(F.col(by).isNotNull() & F.col("text").isNotNull()).select(by, "text")
+    known = known.withColumn("mark", F.xxhash64("text", F.lit(11))).withColumn("place", (unit(F.col("mark")) + (length > chars // LARGE).cast("int")) / 2)
+    marks = keep(known.groupBy(by, "mark", "place").agg(F.max(length).cast("long").alias("size")))
+
+    def edge(cells: DataFrame, taken: DataFrame | None) -> DataFrame:
+        """(by, cell, n, size): the first cell that doesn't fit, and what fits before it."""
+        upto = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        run = cells.withColumn("un", F.sum("n").over(upto)).withColumn("us", F.sum("size").over(upto))
+        had = (F.lit(0), F.lit(0))
+        if taken is not None:
+            run, had = run.join(taken.select(by, F.col("n").alias("hn"), F.col("size").alias("hs")), by), (F.col("hn"), F.col("hs"))
+        over = run.where((F.col("un") + had[0] > rows) | (F.col("us") + had[1] > chars))
+        return over.groupBy(by).agg(F.min_by(F.struct("cell", (F.col("un") - F.col("n")).alias("n"), (F.col("us") - F.col("size")).alias("size")), "cell").alias("e")).select(by, "e.*")
+
+    coarse = F.floor(F.col("place") * CELLS)
+    sums = F.count("*").alias("n"), F.sum("size").alias("size")
+    first = keep(edge(marks.groupBy(by, coarse.alias("cell")).agg(*sums), None))
+    fine = F.floor((F.col("place") * CELLS - coarse) * CELLS)
+    inner = marks.join(first.select(by, F.col("cell").alias("outer")), by).where(coarse == F.col("outer"))
+    second = edge(inner.groupBy(by, "outer", fine.alias("cell")).agg(*sums), first)
+    least = marks.groupBy(by).agg(F.min("place").alias("least"))
+    cuts = least.join(first.select(by, F.col("cell").alias("outer")), by, "left").join(second.select(by, F.col("cell").alias("within")), by, "left")
+    cut = F.when(F.col("outer").isNull(), F.lit(2.0)).otherwise(F.greatest((F.col("outer") + F.coalesce("within", F.lit(CELLS)) / CELLS) / CELLS, F.col("least") + 1e-15))
+    chosen = known.join(keep(cuts.select(by, cut.alias("cut"))), by).where(F.col("place") < F.col("cut"))
+    return chosen.groupBy(by, "mark").agg(F.min("text").alias("text")).select(by, "text")
+
+
 def by_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], fields: str, *kept: str) -> DataFrame:
     """The kept columns of docs, untouched, and the given fields, worked out from the whole texts of a batch.
 

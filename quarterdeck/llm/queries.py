@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, embeddings, langid, licenses, mixing, nbsvm, packing, quality_rules, secrets, simhash
+from . import alignment, chat, embeddings, langid, licenses, mixing, nbsvm, negatives, packing, quality_rules, secrets, simhash, toxicity
 from .common import table
 
 
@@ -54,6 +54,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,6 +74,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_embeddings": op10_embeddings,
     "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
 }
 #: The others can't be put in SQL; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op3_chat_formatting": chat.oracle()}
+ORACLES: dict[str, str] = {"op3_chat_formatting": chat.oracle(), "op12_hard_negatives": negatives.oracle()}
