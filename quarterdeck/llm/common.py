@@ -79,21 +79,20 @@ def unit(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-#: Cells of each level of the histogram by which sampled() cuts, and the share of the characters that a text may hold before others are preferred.
+#: Cells of each level of the histogram of a sample, and the share of the characters that a text may hold before others come first.
 CELLS, LARGE = 4096, 20
 
 
-def sampled(known: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
-    """(by, text): distinct texts of each group of known(by, text), about the given number of each and of characters.
+def place(mark: str, size: str, chars: int) -> Column:
+    """Where in (0, 1) a text stands in the order of a sample: by the hash in mark; texts of over a LARGEth of chars come last."""
+    return (unit(F.col(mark)) + (F.col(size) > chars // LARGE).cast("int")) / 2
+
+
+def cuts(marks: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
+    """(by, cut): marks(by, place, size) under the cut are about rows texts of each group, or about chars characters.
 
-    Whole texts, taken by a hash of theirs until rows or chars are reached; how often a text repeats doesn't count. Texts
-    of more than a LARGEth of chars come last, so one long text doesn't take the others' room. Every group with a text
-    gets one at least. No group is sorted: two levels of histograms, of CELLS rows a group at most, give the cut.
+    Every group gets one text at least. No group is sorted: two levels of histograms, of CELLS rows a group at most.
     """
-    length = F.length("text")
-    known = known.where(F.col(by).isNotNull() & F.col("text").isNotNull()).select(by, "text")
-    known = known.withColumn("mark", F.xxhash64("text", F.lit(11))).withColumn("place", (unit(F.col("mark")) + (length > chars // LARGE).cast("int")) / 2)
-    marks = keep(known.groupBy(by, "mark", "place").agg(F.max(length).cast("long").alias("size")))
 
     def edge(cells: DataFrame, taken: DataFrame | None) -> DataFrame:
         """(by, cell, n, size): the first cell that doesn't fit, and what fits before it."""
@@ -110,11 +109,19 @@ def sampled(known: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
     first = keep(edge(marks.groupBy(by, coarse.alias("cell")).agg(*sums), None))
     fine = F.floor((F.col("place") * CELLS - coarse) * CELLS)
     inner = marks.join(first.select(by, F.col("cell").alias("outer")), by).where(coarse == F.col("outer"))
-    second = edge(inner.groupBy(by, "outer", fine.alias("cell")).agg(*sums), first)
+    second = edge(inner.groupBy(by, fine.alias("cell")).agg(*sums), first)
     least = marks.groupBy(by).agg(F.min("place").alias("least"))
-    cuts = least.join(first.select(by, F.col("cell").alias("outer")), by, "left").join(second.select(by, F.col("cell").alias("within")), by, "left")
+    both = least.join(first.select(by, F.col("cell").alias("outer")), by, "left").join(second.select(by, F.col("cell").alias("within")), by, "left")
     cut = F.when(F.col("outer").isNull(), F.lit(2.0)).otherwise(F.greatest((F.col("outer") + F.coalesce("within", F.lit(CELLS)) / CELLS) / CELLS, F.col("least") + 1e-15))
-    chosen = known.join(keep(cuts.select(by, cut.alias("cut"))), by).where(F.col("place") < F.col("cut"))
+    return keep(both.select(by, cut.alias("cut")))
+
+
+def sampled(known: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
+    """(by, text): distinct whole texts of each group of known(by, text), chosen by cuts(); how often one repeats doesn't count."""
+    known = known.where(F.col(by).isNotNull() & F.col("text").isNotNull()).select(by, "text", F.xxhash64("text", F.lit(11)).alias("mark"), F.length("text").cast("long").alias("size"))
+    known = known.withColumn("place", place("mark", "size", chars))
+    marks = keep(known.groupBy(by, "mark", "place").agg(F.max("size").alias("size")))
+    chosen = known.join(cuts(marks, by, rows, chars), by).where(F.col("place") < F.col("cut"))
     return chosen.groupBy(by, "mark").agg(F.min("text").alias("text")).select(by, "text")
 
 

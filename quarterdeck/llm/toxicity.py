@@ -18,90 +18,71 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, fold, keep, local, sampled
+from .common import by_text, cuts, fold, keep, local, place
 
 #: The labelled sample that is learned from: distinct texts, and characters, of each class, about.
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 10_000_000
 #: Words of the passage that is compared by itself, and single words that are.
 PASSAGE, WORDS = 2, 3
-#: Words whose hashes a worker remembers, and that it counts, before it starts afresh.
-MEMO = 300_000
-#: Different words that a word has to follow in the sample to be known; others are one word, RARE.
-CONTEXTS, RARE = 10, 1
+#: Words, or pairs of them, that a task counts before it hands them on.
+COUNTED = 300_000
+#: Different words that a word has to follow in the sample to be known; others are one word, RARE. START is before the first.
+CONTEXTS, START, RARE = 10, 0, 1
 #: Share of the corpus that is left to words never seen in it.
 UNSEEN = 1e-9
 _WORD = re.compile(r"[^\W\d_]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """A dict of words to 64-bit hashes, the same as Spark's xxhash64 of them."""
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    return _WORD.findall(text.lower()) if text else []
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
 
-    def of(self, text: str) -> np.ndarray:
-        """Of the words of a text: runs of letters, in lower case."""
-        return np.array([self[w] for w in _WORD.findall(text.lower())], np.uint64)
+def _counted(texts, names: list[str], of):
+    """Batches of distinct items of(text) with their numbers, handed on before they are too many for a task."""
+    seen: Counter = Counter()
 
+    def out():
+        keys = [pa.array(c, pa.string()) for c in (zip(*seen, strict=True) if seen else [()] * len(names))]
+        batch = pa.RecordBatch.from_arrays([*keys, pa.array(list(seen.values()), pa.int64())], names=[*names, "n"])
+        seen.clear()
+        return batch
 
-def pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, the hash of the word before it (0 at the start), and of both."""
-    before = np.concatenate([np.zeros(min(len(h), 1), np.uint64), h[:-1]])
-    return before, mixed(before, h)
-
-
-def mixed(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        both = (before * _MIX) ^ h
-        both = (both ^ (both >> np.uint64(29))) * _MIX
-    return both ^ (both >> np.uint64(32))
+    for text in texts:
+        seen.update(of(text))
+        if len(seen) >= COUNTED:
+            yield out()
+    yield out()
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """(word, n): how often each word, by its hash, stands in all documents. Counted in each task before the shuffle."""
 
     def run(batches):
-        seen: Counter[str] = Counter()
-
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return batch
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(_WORD.findall((text or "").lower()))
-                if len(seen) >= MEMO:
-                    yield out()
-        yield out()
+        yield from _counted((t for b in batches for t in b.column(0).to_pylist()), ["word"], lambda t: zip(words_of(t), strict=True))
 
     counted = docs.select("text").mapInArrow(run, "word string, n long")
     return counted.select(F.xxhash64("word").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """(toxic, both, before, word, n): pairs of neighbouring words of sample(toxic, text), by class."""
+    """(toxic, before, word, n): pairs of neighbouring words of sample(toxic, text), by class; before is '' at the start."""
+
+    def pairs(t):
+        w = words_of(t)
+        return zip(["", *w[:-1]], w, strict=False)
 
     def run(batches):
-        hashes = Hashes()
-        for b in batches:
-            for toxic, texts in b.groupby("toxic")["text"]:
-                h = [hashes.of(t) for t in texts]
-                word = np.concatenate([np.zeros(0, np.uint64), *h])
-                before, both = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in zip(*map(pairs, h), strict=True))
-                both, first, n = np.unique(both, return_index=True, return_counts=True)
-                yield pd.DataFrame({"toxic": toxic, "both": both.view(np.int64), "before": before[first].view(np.int64), "word": word[first].view(np.int64), "n": n})
+        yield from _counted((t for b in batches for t in b.column(0).to_pylist()), ["before", "word"], pairs)
 
-    counted = sample.select("toxic", "text").mapInPandas(run, "toxic int, both long, before long, word long, n long")
-    return counted.groupBy("toxic", "both", "before", "word").agg(F.sum("n").alias("n"))
+    both = None
+    for toxic in (0, 1):
+        one = sample.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "before string, word string, n long").select(F.lit(toxic).alias("toxic"), "*")
+        both = one if both is None else both.unionByName(one)
+    return both.groupBy("toxic", "before", "word").agg(F.sum("n").alias("n"))
 
 
 def discount(n: np.ndarray) -> tuple[float, float, float]:
@@ -121,42 +102,39 @@ def _smoothed(n: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray)
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes
-    word_gain: np.ndarray  # log of toxic over ordinary probability, without a context
+    words: dict[str, int]  # number of each known word; START and RARE come before them
+    word_gain: np.ndarray  # by number: log of toxic over ordinary probability, without a context
     rest: np.ndarray  # the same of what a word leaves, as a context, to single words
-    both: np.ndarray  # sorted hashes of pairs
-    both_gain: np.ndarray
+    pairs: np.ndarray  # sorted: number of a word, times as many as there are, and of that after it
+    pair_gain: np.ndarray
     weights: np.ndarray  # logistic weights of features(); empty where not both classes are known
     share: float  # of toxic labels
 
-    @staticmethod
-    def places(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Where each hash stands, -1 where it doesn't."""
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, at, -1) if len(keys) else np.full(len(h), -1)
-
-    def gains(self, h: np.ndarray) -> np.ndarray:
+    def gains(self, text: str | None) -> np.ndarray:
         """For each word, the log of its toxic over its ordinary probability after the word before it."""
-        every, back = np.unique(h, return_inverse=True)
-        at = self.places(self.words, every)
-        at = np.where(at >= 0, at, np.searchsorted(self.words, np.uint64(RARE)))[back]
-        before, both = pairs(self.words[at])
-        pair = self.places(self.both, both)
-        return np.where(pair >= 0, np.append(self.both_gain, 0)[pair], self.word_gain[at] + self.rest[np.append(np.searchsorted(self.words, before[:1]), at[:-1])])
-
-    def features(self, h: np.ndarray) -> np.ndarray:
+        get = self.words.get
+        word = np.array([get(w, RARE) for w in words_of(text)], np.int64)
+        before = np.concatenate([[START], word[:-1]])[: len(word)].astype(np.int64)
+        out = self.word_gain[word] + self.rest[before]
+        if len(self.pairs):
+            key = before * len(self.word_gain) + word
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            out = np.where(self.pairs[at] == key, self.pair_gain[at], out)
+        return out
+
+    def features(self, text: str | None) -> np.ndarray:
         """Difference of both log-likelihoods by word: of the whole text, its most toxic passage and words; and its length."""
-        if not len(h):
+        x = self.gains(text)
+        if not len(x):
             return np.zeros(4)
-        x = self.gains(h)
-        sums, size = np.cumsum(np.append(0, x)), min(PASSAGE, len(h))
+        sums, size = np.cumsum(np.append(0, x)), min(PASSAGE, len(x))
         top = np.partition(x, -WORDS)[-WORDS:] if len(x) > WORDS else x
-        return np.array([sums[-1] / len(h), (sums[size:] - sums[:-size]).max() / size, top.sum() / WORDS, np.log1p(len(h))])
+        return np.array([sums[-1] / len(x), (sums[size:] - sums[:-size]).max() / size, top.sum() / WORDS, np.log1p(len(x))])
 
-    def score(self, h: np.ndarray) -> float:
+    def score(self, text: str | None) -> float:
         if not len(self.weights):
             return self.share
-        z = float(np.append(self.features(h), 1.0) @ self.weights)
+        z = float(np.append(self.features(text), 1.0) @ self.weights)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -173,54 +151,48 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * centre / scale).sum())
 
 
-def known_words(counts: pd.DataFrame, least: int) -> np.ndarray:
-    """Sorted hashes of the words that follow at least so many different words in the sample, over both classes."""
-    follows = counts[["word", "before"]].drop_duplicates()["word"].value_counts()
-    return np.sort(follows.index[follows >= least].to_numpy(dtype=np.int64, copy=True).view(np.uint64))
-
-
-def narrowed(counts: pd.DataFrame, words: np.ndarray) -> pd.DataFrame:
-    """counts with all other words as one, RARE."""
-    u = lambda column: column.to_numpy().view(np.uint64)
-    word, before = (np.where(Model.places(words, u(counts[c])) >= 0, u(counts[c]), np.uint64(RARE)) for c in ("word", "before"))
-    before = np.where(u(counts["before"]) == 0, np.uint64(0), before)
-    out = pd.DataFrame({"toxic": counts["toxic"].to_numpy(), "both": mixed(before, word).view(np.int64), "before": before.view(np.int64), "word": word.view(np.int64), "n": counts["n"].to_numpy()})
-    return out.groupby(["toxic", "both", "before", "word"], as_index=False)["n"].sum()
-
-
-def fitted(counts: pd.DataFrame, corpus: pd.DataFrame, total: int, least: int = CONTEXTS) -> Model:
-    """Both classes' probabilities for every pair and known word of counts; corpus has the corpus counts of their words."""
-    u = lambda column: column.to_numpy().view(np.uint64)
-    known = known_words(counts, least)
-    counts = narrowed(counts, known)
-    words = np.unique(np.concatenate([known, np.array([0, RARE], np.uint64)]))
-    both, first = np.unique(u(counts["both"]), return_index=True)
-    word, before = (np.searchsorted(words, u(counts[c])) for c in ("word", "before"))
-    shared = np.full(len(words), UNSEEN)
-    at = Model.places(words, u(corpus["word"]))
-    shared[at[at >= 0]] += corpus["n"].to_numpy()[at >= 0] / max(total, 1)
-    rare = int(np.searchsorted(words, np.uint64(RARE)))
-    shared[rare] = max(1 - shared.sum() + shared[rare], UNSEEN)
+def fitted(counts: pd.DataFrame, words: list[str], corpus: np.ndarray, total: int) -> Model:
+    """Both classes' probabilities from counts(toxic, before, word, n) of numbers, and the corpus counts of known words."""
+    size = len(words) + 2
+    shared = np.full(size, UNSEEN)
+    shared[2:] += corpus / max(total, 1)
+    shared[RARE] = max(1 - shared[2:].sum(), UNSEEN)
+    toxic, before, word, n = (counts[c].to_numpy(dtype=np.int64) for c in ("toxic", "before", "word", "n"))
+    key = before * size + word
+    pairs, first = np.unique(key, return_index=True)
     single, double, rest = [], [], []
-    for toxic in (1, 0):
-        own = counts["toxic"].to_numpy() == toxic
-        n = np.bincount(word[own], minlength=len(words))  # different words before
-        n[rare] = counts["n"].to_numpy()[own & (word == rare)].sum()  # many words, which follow many
-        seen = np.flatnonzero(n)
-        p, share = _smoothed(n[seen], np.zeros(len(seen), np.int64), 1, shared[seen])
+    for kind in (1, 0):
+        own = toxic == kind
+        heads = np.bincount(word[own], minlength=size)  # different words before
+        heads[RARE] = n[own & (word == RARE)].sum()  # many words, which follow many
+        seen = np.flatnonzero(heads)
+        p, share = _smoothed(heads[seen], np.zeros(len(seen), np.int64), 1, shared[seen])
         every = share[0] * shared
         every[seen] = p
         single.append(every)
-        q, shares = _smoothed(counts["n"].to_numpy()[own], before[own], len(words), every[word[own]])
+        q, shares = _smoothed(n[own], before[own], size, every[word[own]])
         pair = shares[before[first]] * every[word[first]]
-        pair[np.searchsorted(both, u(counts["both"])[own])] = q
+        pair[np.searchsorted(pairs, key[own])] = q
         double.append(pair)
         rest.append(shares)
     log = lambda x: np.log(x[0]) - np.log(x[1])
-    return Model(words, log(single), log(rest), both, log(double), np.zeros(0), 0.0)
+    return Model({w: k for k, w in enumerate(words, 2)}, log(single), log(rest), pairs, log(double), np.zeros(0), 0.0)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> DataFrame:
+    """(toxic, text) of labels(doc_id, toxic): distinct texts of each class, about as many, and characters, as given.
+
+    Labels meet hashes and lengths of texts, not texts; the few hashes chosen then go to where the texts are.
+    """
+    marked = docs.select("doc_id", "text", F.xxhash64("text", F.lit(11)).alias("mark"), F.length("text").cast("long").alias("size"))
+    known = marked.where("text is not null").select("doc_id", "mark", "size").join(labels, "doc_id")
+    marks = keep(known.groupBy("toxic", "mark").agg(F.max("size").alias("size")).withColumn("place", place("mark", "size", chars)))
+    chosen = keep(marks.join(cuts(marks, "toxic", rows, chars), "toxic").where("place < cut").select("toxic", "mark"))
+    texts = marked.join(F.broadcast(chosen), "mark")  # about twice the given rows
+    return texts.groupBy("toxic", "mark").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, contexts: int = CONTEXTS) -> Model:
     """A model from labels(doc_id, toxic) and the texts of docs(doc_id, text); corpus counts are of all of docs.
 
     Learned from is a bounded sample of labelled texts, each once in a class. A third of it is kept out of the counts and
@@ -229,26 +201,31 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     """
     mine = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     toxic, every = mine.agg(F.sum("toxic"), F.count("*")).first()
-    known = docs.select("doc_id", "text").join(mine, "doc_id").select("toxic", "text")
-    chosen = keep(sampled(known, "toxic", rows, chars).withColumn("apart", F.pmod(F.xxhash64("text", F.lit(13)), F.lit(3)) == 0))
-    counts = local(class_counts(chosen.where("not apart")))
+    chosen = keep(labelled_sample(docs, mine, rows, chars).withColumn("apart", F.pmod(F.xxhash64("text", F.lit(13)), F.lit(3)) == 0))
+    found = keep(class_counts(chosen.where("not apart")))
+    # known words, their pairs and corpus counts are bounded by the sample
+    heads = keep(found.groupBy("word").agg(F.countDistinct("before").alias("heads")).where(F.col("heads") >= contexts).select("word"))
     corpus = keep(corpus_counts(docs))
     total = corpus.agg(F.sum("n")).first()[0] or 0
-    asked = docs.sparkSession.createDataFrame(pd.DataFrame({"word": counts["word"].unique()}), "word long")  # words of the sample
-    model = fitted(counts, local(corpus.join(asked, "word")), total)
+    counted = local(heads.join(corpus.withColumnRenamed("word", "h"), F.xxhash64(heads["word"]) == F.col("h"), "left").select(heads["word"], F.coalesce("n", F.lit(0)).alias("n"))).sort_values("word")
+    words = counted["word"].tolist()
+    number = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"known": words, "at": np.arange(2, len(words) + 2)}), "known string, at long"))
+    numbered = found
+    for c in ("before", "word"):
+        numbered = numbered.join(number, F.col(c) == F.col("known"), "left").withColumn(c, F.when(F.col(c) == "", F.lit(START)).otherwise(F.coalesce("at", F.lit(RARE)))).drop("known", "at")
+    pairs = local(numbered.groupBy("toxic", "before", "word").agg(F.sum("n").alias("n")))
+    model = fitted(pairs.sort_values(["toxic", "before", "word"]), words, counted["n"].to_numpy(dtype=float), total)
     model.share = (toxic or 0) / every if every else 0.0
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        hashes = Hashes()
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "x": [held.value.features(hashes.of(t)).tolist() for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "x": [held.value.features(t).tolist() for t in b["text"]]})
 
     tried = chosen.where("apart").select("toxic", "text").mapInPandas(run, "toxic int, x array<double>").toPandas()
-    sizes = chosen.where("not apart").groupBy("toxic").count().count()
-    if sizes == 2 and tried["toxic"].nunique() == 2:
-        x, y = np.array(tried["x"].tolist()), tried["toxic"].to_numpy()
-        model.weights = logistic(x, y)
+    if pairs["toxic"].nunique() == tried["toxic"].nunique() == 2:
+        order = np.lexsort((tried["x"].map(sum), tried["toxic"]))
+        model.weights = logistic(np.array(tried["x"].tolist())[order], tried["toxic"].to_numpy()[order])
     held.unpersist()
     return model
 
@@ -258,8 +235,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's characters
 
     def make():
-        own, hashes = held.value, Hashes()
-        return lambda texts: [(own.score(hashes.of(t or "")),) for t in texts]
+        own = held.value
+        return lambda texts: [(own.score(t),) for t in texts]
 
     return by_text(docs, make, "score double", "doc_id")
 

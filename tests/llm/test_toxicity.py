@@ -22,33 +22,33 @@ def _documents(n, seed=1):
 
 def test_class_models_against_the_formula():
     rows = [(1, "a b a c"), (1, "a b"), (0, "b c a a")]
-    hashes, counts = toxicity.Hashes(), []
-    for toxic in (0, 1):
-        for text in {t for y, t in rows if y == toxic}:
-            h = hashes.of(text)
-            before, both = toxicity.pairs(h)
-            counts += [(toxic, int(k), int(v), int(w)) for k, v, w in zip(both.view(np.int64), before.view(np.int64), h.view(np.int64), strict=True)]
-    counts = pd.DataFrame(counts, columns=["toxic", "both", "before", "word"]).value_counts().rename("n").reset_index()
-    corpus = pd.DataFrame({"word": [hashes[w] for w in "abc"], "n": [5, 3, 2]}).astype({"word": "uint64"})
-    corpus["word"] = corpus["word"].to_numpy().view(np.int64)
-    model = toxicity.fitted(counts, corpus, 10, least=1)
+    words = ["a", "b", "c"]
+    number = {w: k for k, w in enumerate(words, 2)}
+    pairs = [(y, number.get(v, toxicity.START), number[w]) for y, t in rows for v, w in zip(["", *t.split()], t.split(), strict=False)]
+    counts = pd.DataFrame(pairs, columns=["toxic", "before", "word"]).value_counts().rename("n").reset_index()
+    corpus = np.array([5.0, 3.0, 1.0])
+    model = toxicity.fitted(counts, words, corpus, 10)
 
     def probability(toxic, word, before):
-        shared = corpus.set_index("word")["n"].get(np.uint64(word).view(np.int64), 0) / 10 + toxicity.UNSEEN
+        shared = {toxicity.RARE: 0.1 - 3 * toxicity.UNSEEN}.get(word, corpus[word - 2] / 10 + toxicity.UNSEEN)
         own = counts[counts["toxic"] == toxic]
         heads = own.groupby("word")["before"].nunique()
         off = lambda n, every: (0, *toxicity.discount(np.asarray(every)))[min(int(n), 3)]
-        n = heads.get(np.uint64(word).view(np.int64), 0)
+        n = heads.get(word, 0)
         p = (n - off(n, heads)) / heads.sum() + sum(off(x, heads) for x in heads) / heads.sum() * shared
-        after = own[own["before"] == np.uint64(before).view(np.int64)]
+        after = own[own["before"] == before]
         if not len(after):
             return p
-        c = after[after["word"] == np.uint64(word).view(np.int64)]["n"].sum()
+        c = after[after["word"] == word]["n"].sum()
         return (c - off(c, own["n"])) / after["n"].sum() + sum(off(x, own["n"]) for x in after["n"]) / after["n"].sum() * p
 
-    h = hashes.of("a b c unknown a a c b b")
-    want = [np.log(probability(1, w, b)) - np.log(probability(0, w, b)) for w, b in zip(h.tolist(), toxicity.pairs(h)[0].tolist(), strict=True)]
-    assert np.allclose(model.gains(h), want)
+    text = "A b, c unknown a-a c b b"
+    own = [number.get(w, toxicity.RARE) for w in toxicity.words_of(text)]
+    want = [np.log(probability(1, w, b)) - np.log(probability(0, w, b)) for b, w in zip([toxicity.START, *own], own, strict=False)]
+    assert np.allclose(model.gains(text), want)
+    for y in (0, 1):  # of a class, all words after any other come to 1
+        for b in (toxicity.START, toxicity.RARE, 2, 3, 4):
+            assert abs(sum(probability(y, w, b) for w in (toxicity.RARE, 2, 3, 4)) - 1) < 1e-6
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
