@@ -42,8 +42,12 @@ def _directions(vectors: DataFrame) -> DataFrame:
 
 
 def _points(directions: DataFrame) -> DataFrame:
-    """(label, u, id, n): distinct directions of a label, with the smallest id and the number of rows."""
-    return directions.where("u is not null").groupBy("label", "u").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n"))
+    """(label, u, least, n, id): distinct directions of a label, the smallest vec_id and the number of rows, and a number each.
+
+    The number is what the tree and the links go by, as a vec_id may stand at several directions. It holds once written.
+    """
+    found = directions.where("u is not null").groupBy("label", "u").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("n"))
+    return found.withColumn("id", F.monotonically_increasing_id())
 
 
 def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,7 +241,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF
     n_links counts the other rows of the label at cosine >= the threshold; component_id is the smallest vec_id
     reachable by links. Vectors that are null, empty, zero or hold a null or non-finite component, and those without
     label or id, link with nothing; so do vectors of different length. Vectors of equal direction are one point with a
-    count, so copies cost nothing more. An empty table gives no rows; other columns are not read.
+    count, so copies cost nothing more. Rows that repeat an id with another vector or label are rows of their own, which
+    link with each other like any two. An empty table gives no rows; other columns are not read.
     """
     rows = keep(_directions(vectors))
     points = keep(_points(rows))
@@ -250,18 +255,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF
     pair = pairs.where("not every").withColumn("pair", F.concat_ws(":", "x", "y"))
     dealt = pair.select("pair", F.col("x").alias("node"), F.lit(0).alias("side")).unionByName(pair.where("x <> y").select("pair", F.col("y").alias("node"), F.lit(1).alias("side")))
     found = keep(dealt.join(members, "node").groupBy("pair").applyInPandas(_compare(cosine, threshold), "id long, links long, other long"))
-    # leaves all of whose points link: sizes do for the counts, and one edge for the connection
+    # leaves all of whose points link: sizes do for the counts; an edge joins each two leaves, and one each point to a leaf
     whole = members.groupBy("node").agg(F.sum("n").alias("rows"), F.min("id").alias("least"))
     both = pairs.where("every")
     both = both.select("x", "y").unionByName(both.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y")))
-    beside = both.join(whole.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max(F.col("x") == F.col("y")).alias("inner"))
+    met = both.join(whole.withColumnRenamed("node", "y"), "y")
+    leaf_edges = met.select("x", F.col("least").alias("b")).join(whole.select(F.col("node").alias("x"), F.col("least").alias("a")), "x").select("a", "b")
+    beside = met.groupBy("x").agg(F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max(F.col("x") == F.col("y")).alias("inner"))
     joined = members.select(F.col("node").alias("x"), "id", "n").join(beside, "x")
     counts = found.where("other is null").select("id", "links").unionByName(joined.select("id", (F.col("rows") - F.when(F.col("inner"), F.col("n")).otherwise(0)).alias("links")))
-    edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b"))).unionByName(leaf_edges)
     counts = counts.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(edges).withColumnRenamed("node", "id")
-    named = points.select("label", "u", "id", "n").join(counts, "id", "left").join(roots, "id", "left")
-    named = named.select(F.col("label").alias("of"), F.col("u").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    rooted = points.join(counts, "id", "left").join(roots, "id", "left").withColumn("at", F.coalesce("root", "id")).drop("root")
+    named = rooted.join(rooted.groupBy("at").agg(F.min("least").alias("root")), "at")
+    named = named.select(F.col("label").alias("of"), F.col("u").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root")
     out = rows.join(named, (F.col("label") == F.col("of")) & (F.col("u") == F.col("v")), "left")
     component = F.coalesce(F.col("root"), F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

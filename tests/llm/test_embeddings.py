@@ -54,5 +54,13 @@ def test_points_of_one_direction_and_large_rests_lose_no_link(spark, monkeypatch
     assert got == sorted(plain(rows, 0.98))
 
 
+def test_an_id_with_several_vectors_or_labels(spark):
+    near = lambda x: [1.0, x, 0.0]
+    rows = [(1, near(0.0), 0), (1, near(0.0), 1), (2, near(0.01), 0), (3, near(0.02), 0), (4, near(0.01), 1)]
+    rows += [(7, [0.0, 1.0, 0.0], 2), (7, [0.0, 0.0, 1.0], 2), (8, [0.0, 1.0, 0.01], 2), (6, [0.0, 0.01, 1.0], 2), (8, [0.0, 1.0, 0.01], 2), (8, [0.0, 1.0, 0.01], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == sorted(plain(rows, 0.98))
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
