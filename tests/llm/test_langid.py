@@ -97,3 +97,19 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert [by[i].lang_pred for i in (300, 301, 302, 303)] == ["und", "und", "und", "aa"]
     assert langid.predict(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs.where("lang is null")).collect()} == {"und"}
+
+
+def test_no_language_is_lost_to_repeated_or_long_texts(spark):
+    rng = np.random.default_rng(6)
+    word = lambda parts: "".join(rng.choice(parts, 2))
+    english, german, french = ["the", "and", "ing", "tion"], ["der", "und", "sch", "ung"], ["que", "eau", "les", "oux"]
+    text = lambda parts, n: " ".join(word(parts) for _ in range(n))
+    one = text(german, 60)
+    rows = [(text(english, 30), "en") for _ in range(200)] + [(one, "de")] * 3000 + [(text(french, 40_000), "fr")] + [(text(french, 30), "fr") for _ in range(100)]
+    docs = spark.createDataFrame([(5 * i + 1, t, k, "x") for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    model = langid.learn(docs, 60, 300_000)
+    assert model.languages == ["de", "en", "fr"] and (model.floor > np.log(1e-12)).all()
+    asked = spark.createDataFrame([(1, one), (2, text(english, 30)), (3, text(french, 30))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, model).collect()} == {1: "de", 2: "en", 3: "fr"}
+    none = langid.predict(docs.withColumn("lang", langid.F.lit(None).cast("string")).limit(20)).collect()
+    assert len(none) == 20 and {r.lang_pred for r in none} == {"und"}
