@@ -35,22 +35,24 @@ def words(text: Column) -> Column:
 def drawn(docs: DataFrame, text_hash: Column | None = None) -> DataFrame:
     """docs(doc_id, text or its hash, ...) with draw, a hash by which each row's random number is made.
 
-    It is a hash of id and text. Rows that repeat both are numbered, so that they are drawn apart: as such rows are
-    alike, it doesn't matter which of them gets which number. They are numbered by runs of bounded length, and the runs
-    put one behind the other, so no group of copies meets in a task.
+    It is a hash of id and text. Rows that repeat both are numbered, so that they are drawn apart: those that differ in
+    another column, as their source, by a hash of it; the rest are alike, so it doesn't matter which of them gets which
+    number, in whatever order they stand. They are numbered by runs of bounded length, and the runs put one behind the
+    other, so no group of copies meets in a task.
     """
-    rows = docs.withColumn("draw", F.xxhash64(F.col("doc_id"), F.xxhash64("text") if text_hash is None else text_hash))
+    mark = F.xxhash64("text") if text_hash is None else text_hash
+    rows = docs.withColumn("draw", F.xxhash64(F.col("doc_id"), mark)).withColumn("kind", F.xxhash64(*[F.col(c) for c in docs.columns if c != "text"], mark))
     again = keep(rows.groupBy("draw").agg(F.count("*").alias("times")).where("times > 1").select("draw"))
     if again.isEmpty():
-        return rows
+        return rows.drop("kind")
     rows = keep(rows.withColumn("at", F.monotonically_increasing_id()))
-    place = rows.select("draw", "at").join(again, "draw", "left_semi").withColumn("run", F.floor(F.col("at") / RUN))
-    runs = keep(place.groupBy("draw", "run").agg(F.count("*").alias("times")))
-    before = F.coalesce(F.sum("times").over(Window.partitionBy("draw").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("draw", "run").orderBy("at"))
-    numbered = place.withColumn("own", own).join(runs.select("draw", "run", before.alias("before")), ["draw", "run"])
-    new = numbered.select("at", F.xxhash64("draw", F.col("before") + F.col("own")).alias("new"))
-    return keep(rows.join(new, "at", "left").withColumn("draw", F.coalesce("new", "draw")).drop("at", "new"))
+    place = rows.select("draw", "kind", "at").join(again, "draw", "left_semi").withColumn("run", F.floor(F.col("at") / RUN))
+    runs = keep(place.groupBy("kind", "run").agg(F.count("*").alias("times")))
+    before = F.coalesce(F.sum("times").over(Window.partitionBy("kind").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("kind", "run").orderBy("at"))
+    numbered = place.withColumn("own", own).join(runs.select("kind", "run", before.alias("before")), ["kind", "run"])
+    new = numbered.select("at", F.xxhash64("draw", "kind", F.col("before") + F.col("own")).alias("new"))
+    return keep(rows.join(new, "at", "left").withColumn("draw", F.coalesce("new", "draw")).drop("at", "new", "kind"))
 
 
 def _ordered(sources: DataFrame) -> DataFrame:
@@ -176,7 +178,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
     Null and blank texts have size 0 and take nothing; a null source is a source of its own, last in order. Rows that
-    repeat each are documents of their own, and so are those without an id. An empty table gives no rows. Other columns
+    repeat each are documents of their own, and so are those without an id, and those that repeat id and text in another
+    source; the order of rows doesn't matter. An empty table gives no rows. Other columns
     are not read.
     """
     mine = docs.select("doc_id", "source", "text")

@@ -117,3 +117,15 @@ def test_selection_is_that_of_the_definition(spark):
     want = plain_selection([(r.draw, r.source, r["size"]) for r in plain], plain_targets(sizes))
     times = {r.doc_id: r.taken // r["size"] for r in mixing.mix(df).collect()}
     assert times == {r.doc_id: want[r.draw] for r in plain}
+
+
+def test_the_order_of_rows_does_not_matter(spark):
+    rows = [(i % 50, f"text {i % 50} " * (1 + i % 50 % 7), f"s{i % 3}") for i in range(1500)]
+    taken = []
+    for own in (rows, rows[::-1], sorted(rows, key=lambda r: (r[2], -r[0]))):
+        df = spark.createDataFrame(own, "doc_id long, text string, source string").repartition(2)
+        by = {}
+        for r, times in [((r.doc_id, r.size, r.source_size, r.taken), 1) for r in mixing.mix(df).collect()]:
+            by[r] = by.get(r, 0) + times
+        taken.append(by)
+    assert taken[0] == taken[1] == taken[2]
