@@ -24,6 +24,8 @@ from .common import keep
 
 #: Pieces in a partition, about.
 PART_ROWS = 4000
+#: A sequence's number holds its bin below BIN_BITS, its partition below TURN_BITS, and its turn, which ends at LAST_TURN.
+BIN_BITS, TURN_BITS, LAST_TURN = 18, 44, (1 << 19) - 1
 #: Words whose ids a worker remembers before it starts afresh, and the longest of them.
 MEMO, MEMO_CHARS = 400_000, 40
 #: A space beside other white space: only there may a token of a byte-level BPE reach across the space's left side.
@@ -185,7 +187,7 @@ def _pack(size: int, turn: int, names: list[str], proof: np.ndarray):
         if bound < had:
             bins = best_fit(lengths, size)
             if (made := int(bins.max()) + 1) < had:
-                pdf["sequence_id"] = ((int(pdf["part"].iloc[0]) << 20) + bins) * 64 + turn
+                pdf["sequence_id"] = (turn << TURN_BITS) + (int(pdf["part"].iloc[0]) << BIN_BITS) + bins
                 had = made
         pdf = pdf.sort_values("sequence_id", kind="stable").reset_index(drop=True)
         by = pdf.groupby("sequence_id")["length"]
@@ -216,6 +218,8 @@ def pack(items: DataFrame, size: int = 2048, part_rows: int = PART_ROWS, exchang
     hist = _lengths(items, size)
     bound, proof = bound_of(hist, size)
     parts = max(1, -(-int(hist.sum()) // part_rows))
+    if parts > 1 << (TURN_BITS - BIN_BITS) or 2 * part_rows > 1 << BIN_BITS:
+        raise ValueError("part_rows is too small or too large for the numbers of sequences")
     now = items.select("*", F.pmod(F.xxhash64("at"), F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("sequence_id")).drop("at")
     out, schema = None, f"doc_id {items.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -227,7 +231,7 @@ def pack(items: DataFrame, size: int = 2048, part_rows: int = PART_ROWS, exchang
         first = F.col("offset") == 0
         full, left, rows = now.agg(F.count_if(F.col("done") & first), F.count_if(~F.col("done") & first), F.count_if(~F.col("done"))).first()
         saved, closed = had - full - left, closed + full
-        if not left or not exchange or parts == 1 or (turn and saved <= 0):
+        if not left or not exchange or parts == 1 or (turn and saved <= 0) or turn == LAST_TURN:
             break
         had, turn, parts = left, turn + 1, -(-rows // part_rows)
         now = open_.drop("offset", "done").withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(parts)).cast("long"))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -106,3 +107,14 @@ def test_repeated_rows_and_rows_without_id_fill_no_partition_beyond_its_share(sp
             assert offset == at
             at += length
         assert at <= 100
+
+
+def test_numbers_of_sequences_differ_in_all_turns():
+    pdf = pd.DataFrame({"doc_id": range(40), "piece": 0, "start": 0, "length": 60, "ids_crc32": 1, "sequence_id": 0})
+    names, ids = [*pdf.columns, "part", "offset", "done"], set()
+    for turn in range(70):
+        for part in (0, 1, 5):
+            own = pdf.assign(part=part, sequence_id=range(100, 140) if turn else 0)  # more than it takes, so that a turn saves
+            own.loc[:, "length"] = 30
+            ids |= set(packing._pack(100, turn, names, np.arange(101) / 100)(own)["sequence_id"])
+    assert len(ids) == 70 * 3 * 14
