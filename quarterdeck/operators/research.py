@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,37 +114,6 @@ def years_needed(ratios: DataFrame) -> DataFrame:
     return ratios.withColumn("years_t2", need(2.0)).withColumn("years_t3", need(3.0))
 
 
-FEATURES = ["excess12", "vol12", "drawdown12"]
-
-
-def walk_forward(panel: DataFrame, dates: list, kind: str = "logistic", features: list[str] | None = None, least: int = 100) -> DataFrame:
-    """(slug, month, y, p) at each date, from a model of rows whose label was known by then: a year's embargo.
-
-    One fit for each of a few dates; a missing feature is the training mean. Rows are spread over the cluster throughout.
-    """
-    features = features or FEATURES
-    out = None
-    for at in dates:
-        train = panel.where((F.add_months("month", 12) <= F.lit(at)) & F.col("y").isNotNull())
-        test = panel.where(F.col("month") == F.lit(at))
-        means = train.agg(*[F.avg(f).alias(f) for f in features], F.count("*").alias("n"), F.countDistinct("y").alias("kinds")).first()
-        if means["n"] < least or means["kinds"] < 2:
-            continue
-        fill = {f: means[f] or 0.0 for f in features}
-        build = VectorAssembler(inputCols=features, outputCol="raw")
-        scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(build.transform(train.fillna(fill)))
-        ready = lambda d, b=build, s=scale, m=fill: s.transform(b.transform(d.fillna(m)))
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.0) if kind == "logistic" else GBTClassifier(featuresCol="x", labelCol="y", maxIter=10, maxDepth=3, seed=7)
-        got = model.fit(ready(train)).transform(ready(test)).select("slug", "month", "y", vector_to_array("probability")[1].alias("p"))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def folds(panel: DataFrame, n: int = 5) -> DataFrame:
-    """A fold for each manager, by a hash, so all of its rows are left out together."""
-    return panel.withColumn("fold", F.pmod(F.xxhash64("slug"), F.lit(n)).cast("int"))
-
-
 def tracking_error(active: DataFrame, cov: DataFrame) -> DataFrame:
     """Yearly tracking error of active(portfolio, slug, w) under monthly cov(a, b, v)."""
     x, z = active.select("portfolio", F.col("slug").alias("a"), F.col("w").alias("wa")), active.select("portfolio", F.col("slug").alias("b"), F.col("w").alias("wb"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import backtest as t
 from ..operators import books as b
 from ..operators import risk as r
 from ..operators import signals as g
@@ -397,3 +398,40 @@ def _(tb):
     from ..functions.columns import split_ratio
 
     return tb.lineitem.select(F.col("l_linenumber").cast("double").alias("jump")).distinct().withColumn("ratio", split_ratio(F.col("jump")))
+
+
+DRAWS = PANEL + """, scored as (select z.month, z.ticker from z join sectors s on z.ticker = s.ticker where fwd is not null and momentum is not null and reversal is not null and low_vol is not null),
+  enough as (select month from scored group by 1 having count(*) >= 100), every as (select f.month, f.ticker, d.draw from scored f join enough e on f.month = e.month cross join range(0, 100) d(draw)),
+  drawn as (select month, draw, ticker, row_number() over (partition by month, draw order by md5(concat_ws('|', '0', cast(month as varchar), cast(draw as varchar), ticker)), ticker) k from every)"""
+
+
+@query("r14_random_portfolios", DRAWS + " select month, cast(draw as int) as draw, count(*) as names, min(ticker) as first, max(ticker) as last from drawn where k <= 50 group by 1, 2")
+def _(tb):
+    names = panel(tb).join(tb.sectors, "ticker").select("month", "ticker", "sector", "fwd", *STYLES).dropna().select("month", "ticker")
+    return t.random_portfolios(names).groupBy("month", "draw").agg(F.count("*").alias("names"), F.min("ticker").alias("first"), F.max("ticker").alias("last"))
+
+
+@query("r14_bias_statistic")
+def _(tb):
+    return tidy(t.bias_statistic(panel(tb).join(tb.sectors, "ticker"), STYLES))
+
+
+def signal_backtest(tb):
+    bench = t.aggregate_book(books(tb), tb.prices, least=2)
+    return t.signal_backtest(bench, signals(tb).select("month", "ticker", F.col("momentum").alias("s")), returns(tb), months(tb))
+
+
+@query("k20_signal_backtest")
+def _(tb):
+    return tidy(signal_backtest(tb)[0])
+
+
+@query("k20_aggregate_book", LONG + """, held as (select formation, ticker, count(distinct slug) n, sum(value) v from books where ticker is not null group by 1, 2 having count(distinct slug) >= 2),
+  ok as (select h.* from held h join prices p on h.ticker = p.ticker and h.formation = p.month where p.price >= 1) select formation, ticker, round(v / sum(v) over (partition by formation), 6) as w from ok""")
+def _(tb):
+    return tidy(t.aggregate_book(books(tb), tb.prices, least=2))
+
+
+@query("k27_rebalance_log")
+def _(tb):
+    return tidy(signal_backtest(tb)[1])

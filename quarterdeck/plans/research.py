@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
+from ..operators import models as o
 from ..operators import research as m
 from ..operators import risk as r
+from ..operators import signals as g
 from .holdings import LONG, books
-from .portfolios import labelled, months, panel
+from .portfolios import PANEL, STYLES, months, panel
 from .registry import query, tidy
 
 
@@ -100,29 +100,76 @@ def _(tb):
     return tidy(m.years_needed(r.risk_metrics(tb.aligned, "slug").select("slug", F.col("information_ratio").alias("ir"))).drop("ir"))
 
 
-def _walk(tb, kind):
-    dates = [dt.date(y, 6, 30) for y in (1998, 1999, 2000)]
-    return m.walk_forward(labelled(tb).drop("fwd_excess"), dates, kind)
+def _ranked(signal):
+    return f"""select month, corr(a, b) ic from (select month, rank() over (partition by month order by {signal}) + (count(*) over (partition by month, {signal}) - 1) / 2.0 a,
+      rank() over (partition by month order by fwd) + (count(*) over (partition by month, fwd) - 1) / 2.0 b from z where {signal} is not null and fwd is not null) x group by 1 having count(*) >= 10"""
+
+
+IC_PAIR = PANEL + f""", one as ({_ranked("momentum")}), two as ({_ranked("reversal")}), gap as (select one.ic - two.ic d from one join two on one.month = two.month where one.ic - two.ic is not null)
+  select count(d) as months, round(avg(d), 6) as mean, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) as t, round(avg(case when d > 0 then 1.0 else 0.0 end), 6) as won from gap"""
+
+DECAY = ["excess12", "vol12", "drawdown12"]
+
+
+def decay_panel(tb):
+    return g.trailing_features(tb.aligned).withColumn("y", (F.col("fwd_excess") < 0).cast("int"))
+
+
+def walk(tb):
+    return o.walk_forward(decay_panel(tb), DECAY, "excess12")
 
 
 @query("m02_logistic_walk_forward")
 def _(tb):
-    return tidy(_walk(tb, "logistic"))
+    return tidy(walk(tb).select("slug", "month", "y", F.col("logistic").alias("p"), "base"))
 
 
 @query("m03_boosted_walk_forward")
 def _(tb):
-    return tidy(_walk(tb, "boosted"))
+    return tidy(walk(tb).select("slug", "month", "y", F.col("boosted").alias("p"), "persist"))
+
+
+@query("m04_walk_forward_dates")
+def _(tb):
+    return tidy(o.by_date(walk(tb), "fwd_excess"))
 
 
 @query("m04_walk_forward_auc")
 def _(tb):
-    return tidy(r.auc(_walk(tb, "logistic"), "y", "p", "month"))
+    return tidy(o.evaluate(walk(tb), "fwd_excess"))
 
 
 @query("m05_folds")
 def _(tb):
-    return m.folds(labelled(tb)).groupBy("fold").agg(F.countDistinct("slug").alias("managers"), F.count("y").alias("labelled"))
+    return tidy(o.fold_areas(o.out_of_fold(decay_panel(tb), DECAY), "excess12"))
+
+
+def ranked_by_trees(tb):
+    return o.walk_forward_trees(panel(tb), STYLES)
+
+
+@query("m01_walk_forward_trees")
+def _(tb):
+    return tidy(ranked_by_trees(tb)[0].select("ticker", "month", "boosted"))
+
+
+@query("m01_importances")
+def _(tb):
+    return tidy(ranked_by_trees(tb)[1])
+
+
+@query("m06_head_to_head")
+def _(tb):
+    trees = ranked_by_trees(tb)[0]
+    linear = g.linear_composite(panel(tb), STYLES).select("ticker", "month", "fwd", "composite").join(trees.select("month").distinct(), "month")
+    ics = lambda d, c: r.information_coefficients(d, c, "fwd", "month")
+    return tidy(o.head_to_head(ics(trees, "boosted"), ics(linear, "composite"), "month"))
+
+
+@query("m06_signals_head_to_head", IC_PAIR)
+def _(tb):
+    ics = lambda c: r.information_coefficients(panel(tb), c, "fwd", "month")
+    return tidy(o.head_to_head(ics("momentum"), ics("reversal"), "month"))
 
 
 @query("a33_yearly_sums", "select cast(year(month) as int) as year, round(sum(smb), 6) as total, round(min(smb), 6) as worst, round(max(smb), 6) as best from factors group by 1")
