@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import models as o
@@ -112,7 +113,9 @@ DECAY = ["excess12", "vol12", "drawdown12"]
 
 
 def decay_panel(tb):
-    return g.trailing_features(tb.aligned).withColumn("y", (F.col("fwd_excess") < 0).cast("int"))
+    """Every manager of the test bed trails the market each year, so the label is to trail the month's middle manager."""
+    f = g.trailing_features(tb.aligned)
+    return f.withColumn("y", (F.col("fwd_excess") < F.percentile("fwd_excess", F.lit(0.5)).over(Window.partitionBy("month"))).cast("int"))
 
 
 def walk(tb):
