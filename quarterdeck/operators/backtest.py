@@ -103,7 +103,8 @@ def signal_backtest(bench: DataFrame, signal: DataFrame, returns: DataFrame, mon
     formation buys all.
 
     Returns (month, portfolio, benchmark, names) and (formation, universe, names, turnover, drag, active_share,
-    realized_ic): realized_ic is the rank correlation of signal and return until the next formation.
+    transfer, realized_ic): transfer is the correlation of active weight and signal over the universe, realized_ic the
+    rank correlation of signal and return until the next formation.
     """
     live = bench.join(signal.where("s is not null").select(F.col("month").alias("formation"), "ticker", "s"), ["formation", "ticker"])
     own = Window.partitionBy("formation")
@@ -123,11 +124,25 @@ def signal_backtest(bench: DataFrame, signal: DataFrame, returns: DataFrame, mon
     trades = top.select("formation", "ticker", F.col("w").alias("new")).join(after.select(F.col("next").alias("formation"), "ticker", "old"), ["formation", "ticker"], "full_outer")
     moved = trades.groupBy("formation").agg((F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))) / 2).alias("half"), F.count("old").alias("n_old"), F.count("new").alias("names"))
     turned = moved.select("formation", "names", F.when(F.col("n_old") > 0, F.col("half")).otherwise(1.0).alias("turnover")).withColumn("drag", 2 * F.col("turnover") * cost)
-    share = kept.join(top.select("formation", "ticker", F.col("w").alias("p")), ["formation", "ticker"], "left").groupBy("formation").agg(F.max("n").alias("universe"), (F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.col("b"))) / 2).alias("active_share"))
+    share = kept.join(top.select("formation", "ticker", F.col("w").alias("p")), ["formation", "ticker"], "left").groupBy("formation").agg(F.max("n").alias("universe"), (F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.col("b"))) / 2).alias("active_share"), F.corr(F.coalesce("p", F.lit(0.0)) - F.col("b"), "s").alias("transfer"))
     spans = held.where("kind = 'benchmark'").select("formation", "month")
     ahead = kept.select("formation", "ticker", "s").join(spans, "formation").join(returns.where("r is not null").select("ticker", "month", "r"), ["ticker", "month"]).groupBy("formation", "ticker", "s").agg((F.product(1 + F.col("r")) - 1).alias("f"))
     ranked = ahead.withColumn("rs", average_rank("s", "formation")).withColumn("rf", average_rank("f", "formation")).groupBy("formation").agg(F.when(F.count("*") >= least, F.corr("rs", "rf")).alias("realized_ic"))
-    log = turned.join(share, "formation").join(ranked, "formation", "left").select("formation", "universe", "names", "turnover", "drag", "active_share", "realized_ic")
+    log = turned.join(share, "formation").join(ranked, "formation", "left").select("formation", "universe", "names", "turnover", "drag", "active_share", "transfer", "realized_ic")
     first = F.col("month") == F.min("month").over(Window.partitionBy("formation"))
     net = by.where("kind = 'portfolio'").join(turned.select("formation", "drag"), "formation").select("month", (F.col("r") - F.when(first, F.col("drag")).otherwise(0.0)).alias("portfolio"), "names")
     return net.join(by.where("kind = 'benchmark'").select("month", F.col("r").alias("benchmark")), "month", "full_outer").select("month", "portfolio", "benchmark", "names"), log
+
+
+def fundamental_law(monthly: DataFrame, log: DataFrame, rebalances: int = 4) -> DataFrame:
+    """One row: what the law of active management implies for a backtest, and what it delivered.
+
+    From signal_backtest(): the mean realised rank correlation and its t, the mean transfer, bets a year (names times
+    rebalances, counted as if independent), the ratio they imply, the delivered information ratio, its standard error and t.
+    """
+    ic = log.agg(F.avg("realized_ic").alias("ic"), F.try_divide(F.avg("realized_ic"), F.stddev_samp("realized_ic") / F.sqrt(F.count("realized_ic"))).alias("ic_t"), F.avg("transfer").alias("transfer"), (F.avg("universe") * rebalances).alias("breadth"))
+    a = F.col("portfolio") - F.col("benchmark")
+    real = monthly.where("portfolio is not null and benchmark is not null").agg((F.count("*") / 12).alias("years"), (F.try_divide(F.avg(a), F.stddev_samp(a)) * F.sqrt(F.lit(12.0))).alias("ir_actual"))
+    both = ic.join(real, how="inner").withColumn("ir_implied", F.col("transfer") * F.col("ic") * F.sqrt("breadth"))  # one row each
+    se = F.sqrt(F.try_divide(1 + F.col("ir_actual") * F.col("ir_actual") / 2, F.col("years")))
+    return both.select("ic", "ic_t", "transfer", "breadth", "ir_implied", "ir_actual", "years", se.alias("ir_se"), (F.col("ir_actual") * F.sqrt("years")).alias("ir_t"))

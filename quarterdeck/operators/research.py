@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .risk import average_rank
+from .risk import average_rank, ols
 
 
 def blend_stats(weights: DataFrame, alphas: DataFrame, cov: DataFrame) -> DataFrame:
@@ -46,6 +48,62 @@ def half_sample_ranks(first: DataFrame, second: DataFrame, k: int = 10) -> DataF
     return ends[0].unionByName(ends[1]).join(second, "slug").groupBy("group").agg(F.count("*").alias("n"), F.avg("later").alias("later"))
 
 
+def split_month(aligned: DataFrame, first: int = 36, last: int = 24) -> DataFrame:
+    """(month, managers): how many have first months before it and last months from it on, for every month that may split.
+
+    A manager serves from the month after its first-th to its last-th from the end: a step up and a step down, which are
+    added up along the months.
+    """
+    w = Window.partitionBy("slug")
+    placed = aligned.select("slug", "month").distinct().withColumn("k", F.row_number().over(w.orderBy("month"))).withColumn("n", F.count("*").over(w))
+    ends = placed.where(F.col("n") >= first + last).groupBy("slug").agg(F.max(F.when(F.col("k") == first, F.col("month"))).alias("after"), F.max(F.when(F.col("k") == F.col("n") - last + 1, F.col("month"))).alias("until"))
+    steps = ends.select(F.date_add("after", 1).alias("at"), F.lit(1).alias("step")).unionByName(ends.select(F.date_add("until", 1).alias("at"), F.lit(-1).alias("step"))).groupBy("at").agg(F.sum("step").alias("step"))
+    months = aligned.select(F.col("month").alias("at")).distinct().withColumn("step", F.lit(0))
+    run = months.withColumn("kind", F.lit(1)).unionByName(steps.withColumn("kind", F.lit(0)))
+    total = F.sum("step").over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))  # a few rows for each month
+    return run.withColumn("managers", total).where("kind = 1 and managers > 0").select(F.col("at").alias("month"), "managers")
+
+
+def out_of_sample(aligned: DataFrame, split, first: int = 36, last: int = 24) -> DataFrame:
+    """(slug, month, alpha1, t1, u): each month from the split on, net of the betas of the months before it.
+
+    y on the three factors, plain errors; alpha1 is yearly. Managers with fewer months on either side are left out. A
+    manager's rows are months of one record: a group of bounded size.
+    """
+    factors = ["mkt_rf", "smb", "hml"]
+    schema = f"slug {aligned.schema['slug'].dataType.simpleString()}, month date, alpha1 double, t1 double, u double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month")
+        a, b = pdf[pdf["month"] < split], pdf[pdf["month"] >= split]
+        if len(a) < first or len(b) < last:
+            return pd.DataFrame(columns=["slug", "month", "alpha1", "t1", "u"], dtype=object)
+        beta, se, *_ = ols(np.column_stack([np.ones(len(a)), a[factors].to_numpy(float)]), a["y"].to_numpy(float), None)
+        u = b["y"].to_numpy(float) - b[factors].to_numpy(float) @ beta[1:]
+        return pd.DataFrame({"slug": b["slug"], "month": b["month"], "alpha1": beta[0] * 12, "t1": beta[0] / se[0] if se[0] > 0 else None, "u": u})
+
+    return aligned.select("slug", "month", "y", *factors).dropna().groupBy("slug").applyInPandas(run, schema)
+
+
+def out_of_sample_groups(later: DataFrame, k: int = 10) -> DataFrame:
+    """(group, managers, months, first_alpha, alpha, vol, t, rank_corr, positive): the k best and worst by t1, best less worst, and all.
+
+    Monthly means over a group's managers of out_of_sample(); rank_corr is that of first and later alphas over all
+    managers, positive the share of later ones above nothing. With fewer than 2 k managers there are no rows.
+    """
+    one = later.groupBy("slug").agg(F.max("t1").alias("t1"), F.max("alpha1").alias("alpha1"), (12 * F.avg("u")).alias("alpha2"))
+    count = one.agg(F.count("*").alias("candidates"))
+    best, worst = one.orderBy(F.desc_nulls_last("t1"), "slug").limit(k), one.orderBy(F.asc_nulls_first("t1"), F.desc("slug")).limit(k)
+    groups = best.select("slug", F.lit("best").alias("group")).unionByName(worst.select("slug", F.lit("worst").alias("group"))).unionByName(one.select("slug", F.lit("all").alias("group")))
+    rows = later.join(groups, "slug")
+    sizes = groups.join(one, "slug").groupBy("group").agg(F.count("*").alias("managers"), F.avg("alpha1").alias("first_alpha"))
+    monthly = rows.groupBy("group", "month").agg(F.avg("u").alias("r"))
+    gap = monthly.where("group = 'best'").select("month", "r").join(monthly.where("group = 'worst'").select("month", F.col("r").alias("w")), "month").select(F.lit("best less worst").alias("group"), "month", (F.col("r") - F.col("w")).alias("r"))
+    stats = monthly.unionByName(gap).groupBy("group").agg(F.count("*").alias("months"), (12 * F.avg("r")).alias("alpha"), (F.stddev_samp("r") * math.sqrt(12)).alias("vol"), F.try_divide(F.avg("r"), F.stddev_samp("r") / F.sqrt(F.count("*"))).alias("t"))
+    ranks = one.withColumn("a", average_rank("alpha1")).withColumn("b", average_rank("alpha2")).agg(F.corr("a", "b").alias("rank_corr"), F.avg((F.col("alpha2") > 0).cast("double")).alias("positive"))
+    return stats.join(sizes, "group", "left").join(count.where(F.col("candidates") >= 2 * k), how="inner").join(ranks, how="inner").select("group", "managers", "months", "first_alpha", "alpha", "vol", "t", "rank_corr", "positive")  # one row each
+
+
 def blend_returns(returns: DataFrame, weights: DataFrame, fee: float = 0.0) -> DataFrame:
     """Monthly-rebalanced and drifting returns of blends(blend, slug, w), with a yearly fee taken monthly, and the months all hold."""
     j = returns.join(weights, "slug").withColumn("net", F.col("r") - fee / 12)

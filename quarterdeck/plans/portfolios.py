@@ -435,3 +435,8 @@ def _(tb):
 @query("k27_rebalance_log")
 def _(tb):
     return tidy(signal_backtest(tb)[1])
+
+
+@query("r29_fundamental_law")
+def _(tb):
+    return tidy(t.fundamental_law(*signal_backtest(tb)))

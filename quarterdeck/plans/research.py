@@ -34,6 +34,22 @@ def _(tb):
     return tidy(m.half_sample_ranks(s.select("slug", F.col("t1").alias("t")), s.select("slug", F.col("alpha2").alias("later"))))
 
 
+SPLIT = """with k as (select slug, month, row_number() over (partition by slug order by month) k, count(*) over (partition by slug) n from aligned),
+  e as (select slug, max(case when k = 36 then month end) a, max(case when k = n - 23 then month end) u from k where n >= 60 group by 1)
+  select m.month as month, count(*) as managers from (select distinct month from aligned) m join e on m.month > e.a and m.month <= e.u group by 1"""
+
+
+@query("r18_split_months", SPLIT)
+def _(tb):
+    return m.split_month(tb.aligned)
+
+
+@query("r18_out_of_sample")
+def _(tb):
+    best = m.split_month(tb.aligned).orderBy(F.desc("managers"), "month").first()
+    return tidy(m.out_of_sample_groups(m.out_of_sample(tb.aligned, best.month if best else None)))
+
+
 BLEND = """with w as (select s_suppkey slug, s_nationkey blend, 1.0::double w from supplier), k as (select blend, count(*) k from w group by 1),
 c as (select blend, month from manager_returns m join w on m.slug = w.slug group by 1, 2 having count(*) = (select k from k where k.blend = w.blend))"""
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarterdeck.operators import backtest
+from quarterdeck.operators import backtest, research
 
 
 def _end(k):
@@ -98,6 +98,8 @@ def test_signal_backtest_against_a_loop(spark):
         turned = 1.0 if old is None else sum(abs(p.get(x, 0) - old.get(x, 0)) for x in {*p, *old}) / 2
         r = rows[f]
         assert (r.universe, r.names) == (len(uni), len(top)) and r.turnover == pytest.approx(turned) and r.drag == pytest.approx(0.02 * turned)
+        act = pd.Series({x: p.get(x, 0) - b[x] for x in uni})
+        assert r.transfer == pytest.approx(act.corr(pd.Series({x: signal[f][x] for x in uni})))
         assert r.active_share == pytest.approx(sum(abs(p.get(x, 0) - b[x]) for x in uni) / 2)
         ahead = {x: np.prod([1 + returns[x, m] for m in months if f < m <= end and (x, m) in returns]) - 1 for x in uni if any((x, m) in returns for m in months if f < m <= end)}
         s, a = pd.Series({x: signal[f][x] for x in ahead}).rank(), pd.Series(ahead).rank()
@@ -115,6 +117,56 @@ def test_signal_backtest_against_a_loop(spark):
     assert len(got) == 9
 
 
+def test_fundamental_law(spark):
+    monthly = spark.createDataFrame([(_end(k), 0.02 + 0.01 * (k % 3), 0.01) for k in range(24)] + [(_end(24), None, 0.5)], "month date, portfolio double, benchmark double")
+    log = spark.createDataFrame([(1, 100, 0.5, 0.10), (2, 200, 0.7, 0.20), (3, 300, 0.6, None)], "formation int, universe int, transfer double, realized_ic double")
+    r = backtest.fundamental_law(monthly, log).first()
+    a = pd.Series([0.01 + 0.01 * (k % 3) for k in range(24)])
+    ir = a.mean() / a.std() * np.sqrt(12)
+    assert r.ic == pytest.approx(0.15) and r.ic_t == pytest.approx(0.15 / (np.std([0.1, 0.2], ddof=1) / np.sqrt(2))) and r.breadth == 800 and r.ir_implied == pytest.approx(0.6 * 0.15 * np.sqrt(800))
+    assert r.years == 2 and r.ir_actual == pytest.approx(ir) and r.ir_se == pytest.approx(np.sqrt((1 + ir * ir / 2) / 2)) and r.ir_t == pytest.approx(ir * np.sqrt(2))
+
+
+def test_out_of_sample_keeps_the_first_betas(spark):
+    rng = np.random.default_rng(8)
+    f = {k: rng.normal(size=3) * 0.04 for k in range(30)}
+    rows = []
+    for s in range(8):
+        start = s % 3
+        for k in range(start, 30 if s else 14):
+            beta = np.array([1.0 + 0.1 * s, 0.2, -0.1])
+            rows.append((s, _end(k), float(0.001 * s + beta @ f[k] + 0.002 * rng.normal()), *map(float, f[k])))
+    df = spark.createDataFrame(rows, "slug long, month date, y double, mkt_rf double, smb double, hml double")
+    got = {r.month: r.managers for r in research.split_month(df, 10, 6).collect()}
+    d = pd.DataFrame(rows, columns=["slug", "month", "y", "mkt_rf", "smb", "hml"])
+    want = {}
+    for m in sorted(set(d["month"])):
+        n = sum((g["month"] < m).sum() >= 10 and (g["month"] >= m).sum() >= 6 for _, g in d.groupby("slug"))
+        want |= {m: n} if n else {}
+    assert got == want
+    split = max(want, key=lambda m: (want[m], -m.toordinal()))
+    later = research.out_of_sample(df, split, 10, 6).toPandas()
+    first = {}
+    for s, g in d.groupby("slug"):
+        a, b = g[g["month"] < split], g[g["month"] >= split]
+        if len(a) >= 10 and len(b) >= 6:
+            x = np.column_stack([np.ones(len(a)), a[["mkt_rf", "smb", "hml"]]])
+            beta = np.linalg.lstsq(x, a["y"].to_numpy(), rcond=None)[0]
+            u = a["y"].to_numpy() - x @ beta
+            se = np.sqrt(u @ u / (len(a) - 4) * np.linalg.inv(x.T @ x)[0, 0])
+            own = later[later["slug"] == s].sort_values("month")
+            assert np.allclose(own["u"], b["y"].to_numpy() - b[["mkt_rf", "smb", "hml"]].to_numpy() @ beta[1:]) and np.allclose(own["t1"], beta[0] / se) and np.allclose(own["alpha1"], 12 * beta[0])
+            first[s] = beta[0] / se
+    assert set(first) == set(later["slug"])
+    groups = {r.group: r for r in research.out_of_sample_groups(spark.createDataFrame(later), 2).collect()}
+    order = sorted(first, key=lambda s: -first[s])
+    r = later[later["slug"].isin(order[:2])].groupby("month")["u"].mean() - later[later["slug"].isin(order[-2:])].groupby("month")["u"].mean()
+    assert groups["best less worst"].alpha == pytest.approx(12 * r.mean()) and groups["best less worst"].t == pytest.approx(r.mean() / r.std() * np.sqrt(len(r)))
+    assert groups["all"].managers == len(first) and groups["all"].rank_corr > 0.8 and groups["best"].alpha > groups["worst"].alpha
+    assert research.out_of_sample_groups(spark.createDataFrame(later), 9).count() == 0
+    assert research.split_month(df, 40, 6).count() == 0
+
+
 def test_aggregate_book(spark):
     books = spark.createDataFrame([(1, _end(0), "a", 10.0), (2, _end(0), "a", 30.0), (1, _end(0), "b", 5.0), (1, _end(0), "c", 60.0), (2, _end(0), "c", 0.0), (1, _end(0), None, 9.0), (2, _end(0), None, 9.0)], "slug int, formation date, ticker string, value double")
     prices = spark.createDataFrame([("a", _end(0), 3.0), ("b", _end(0), 3.0), ("c", _end(0), 0.5)], "ticker string, month date, price double")
