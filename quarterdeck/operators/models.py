@@ -311,3 +311,16 @@ def fold_areas(scored: DataFrame, trailing: str) -> DataFrame:
         one = auc_pooled(rows, "y", m).select(F.lit(m).alias("model"), F.col("n").alias("rows"), "auc")
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(rows.agg(F.countDistinct("slug").alias("managers"))))  # one row
+
+
+def watch_list(scored: DataFrame, names: DataFrame) -> DataFrame:
+    """(slug, manager, style, logistic, boosted, rank_logistic, rank_boosted) at the latest date of scored.
+
+    names(slug, manager, style); a manager without a name stays. rank_boosted is by place, ties by slug; rank_logistic is
+    shared by ties at their mean, null without a score.
+    """
+    latest = scored.join(F.broadcast(scored.agg(F.max("month").alias("month"))), "month")  # one row
+    w = Window.partitionBy("month")
+    high = latest.withColumn("low", -F.col("logistic")).withColumn("rank_logistic", F.when(F.col("logistic").isNotNull(), average_rank("low", "month") - F.count_if(F.col("low").isNull()).over(w)))
+    placed = high.withColumn("rank_boosted", F.row_number().over(w.orderBy(F.desc("boosted"), "slug")))
+    return placed.join(names.select("slug", "manager", "style"), "slug", "left").select("slug", "manager", "style", "logistic", "boosted", "rank_logistic", "rank_boosted")

@@ -187,6 +187,52 @@ def clean_shares(filed: DataFrame) -> DataFrame:
     return good.withColumn("ratio", F.coalesce(jump, F.lit(1.0))).withColumn("value", F.col("value") * F.product("ratio").over(later)).drop("ratio")
 
 
+#: Forms of filers whose share counts and prices are of one unit; others report ordinary shares beside a price per receipt.
+DOMESTIC = ("10-K", "10-Q", "10-K/A", "10-Q/A")
+
+
+def usable_shares(facts: DataFrame) -> DataFrame:
+    """(ticker, end, filed, value): share counts of facts(ticker, end, filed, value, form) fit for market values.
+
+    Domestic forms, the last filing for each period end, clean_shares(), and nothing 20 times off the series' median.
+    """
+    last = facts.where(F.col("form").isin(*DOMESTIC) & (F.col("value") > 0)).groupBy("ticker", "end").agg(F.max(F.struct("filed", "value")).alias("x")).select("ticker", "end", "x.*")
+    kept = clean_shares(last.select("ticker", "end", "value")).withColumn("mid", F.percentile("value", F.lit(0.5)).over(Window.partitionBy("ticker")))
+    kept = kept.where((F.col("value") <= 20 * F.col("mid")) & (F.col("value") >= F.col("mid") / 20)).drop("mid")
+    return kept.join(last.select("ticker", "end", "filed"), ["ticker", "end"])
+
+
+def facts_as_of(queries: DataFrame, facts: DataFrame, kinds: list[str], stale_days: int = 456) -> DataFrame:
+    """J14 for several facts in one join: queries(ticker, t) with a column for each kind of facts(ticker, fact, filed, end, value)."""
+    until = F.date_add("end", stale_days)
+    f = facts.where(F.col("fact").isin(*kinds) & F.col("value").isNotNull() & F.col("filed").isNotNull() & F.col("end").isNotNull()).where(F.col("filed") <= until)
+    held = f.select("ticker", "fact", "filed", "end", "value", F.explode(F.sequence(F.trunc("filed", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))).alias("month"))
+    asked = queries.select("ticker", "t").distinct().withColumn("month", F.trunc("t", "month"))
+    known = asked.join(held, ["ticker", "month"]).where((F.col("filed") <= F.col("t")) & (F.col("end") >= F.date_sub("t", stale_days)))
+    last = known.groupBy("ticker", "t").agg(*[F.max(F.when(F.col("fact") == k, F.struct("filed", "end", "value"))).alias(k) for k in kinds])
+    return queries.join(last, ["ticker", "t"], "left").select(*queries.columns, *[F.col(f"{k}.value").alias(k) for k in kinds])
+
+
+FUNDAMENTAL = ["size", "value", "profitability", "cash_flow", "earnings_yield"]
+
+
+def fundamental_signals(closes: DataFrame, facts: DataFrame) -> DataFrame:
+    """closes(ticker, month, close) with size, value, profitability, cash flow and earnings yield, as filed by then.
+
+    facts(ticker, fact, start, end, filed, value, form): equity, assets and shares of a day, net income and operating cash
+    flow of a year. The market value is of cleaned share counts; a signal without a positive base is null.
+    """
+    flows = ["net_income", "op_cf"]
+    plain = facts_of_kind(facts.where(F.col("fact").isin("equity", "assets")), "instant").unionByName(facts_of_kind(facts.where(F.col("fact").isin(*flows)), "annual")).select("ticker", "fact", "filed", "end", "value")
+    shares = usable_shares(facts_of_kind(facts.where("fact = 'shares'"), "instant")).select("ticker", F.lit("shares").alias("fact"), "filed", "end", "value")
+    x = facts_as_of(closes.withColumnRenamed("month", "t"), plain.unionByName(shares), ["equity", "assets", "shares", *flows]).withColumn("cap", F.col("shares") * F.col("close"))
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return x.select(
+        "ticker", F.col("t").alias("month"), F.when(F.col("cap") > 0, -F.log("cap")).alias("size"), F.when(F.col("equity") > 0, over("equity", "cap")).alias("value"),
+        over("net_income", "assets").alias("profitability"), over("op_cf", "assets").alias("cash_flow"), over("net_income", "cap").alias("earnings_yield"),
+    )
+
+
 # ---- risk model
 
 

@@ -220,3 +220,18 @@ def _(tb):
 def _(tb):
     h = _written(tb, tb.holdings.select("slug", "filed"))
     return j.run_to_files(j.latest_positions(h), "complete", _place(tb))
+
+
+@query("f11_market_impact", "select l_orderkey, l_linenumber, round(0.001 + 0.02 * sqrt(l_quantity / 5000.0), 6) as cost from lineitem")
+def _(tb):
+    from ..functions.columns import market_impact
+
+    return tidy(tb.lineitem.select("l_orderkey", "l_linenumber", market_impact(F.col("l_quantity") / 5000.0, F.lit(0.02)).alias("cost")))
+
+
+@query("f08_dot_products", "select slug, count(*) as n, round(sum(r_p * mkt_rf), 6) as dot from aligned group by 1")
+def _(tb):
+    from ..functions.columns import dot
+
+    rows = tb.aligned.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("month", "r_p", "mkt_rf"))).alias("x"))  # a record's months
+    return tidy(rows.select("slug", F.size("x").cast("long").alias("n"), dot(F.col("x.r_p"), F.col("x.mkt_rf")).alias("dot")))

@@ -400,6 +400,66 @@ def _(tb):
     return tb.lineitem.select(F.col("l_linenumber").cast("double").alias("jump")).distinct().withColumn("ratio", split_ratio(F.col("jump")))
 
 
+SHARES = """
+sf as (select ticker, ends, filed, value from facts where fact = 'shares' and start is null and value > 0 and form in ('10-K', '10-Q', '10-K/A', '10-Q/A') qualify row_number() over (partition by ticker, ends order by filed desc, value desc) = 1),
+sl as (select *, ln(value) lv, list_concat(coalesce(list(ln(value)) over (partition by ticker order by ends rows between 4 preceding and 1 preceding), []), coalesce(list(ln(value)) over (partition by ticker order by ends rows between 1 following and 4 following), [])) near from sf),
+sb as (select *, coalesce(len(near) >= 2 and abs(lv - list_median(near)) >= ln(5), false) bad from sl),
+sg as (select *, sum(case when was is null or bad <> was then 1 else 0 end) over (partition by ticker order by ends) run from (select *, lag(bad) over (partition by ticker order by ends) was from sb) y),
+sk as (select ticker, ends, filed, value from (select *, count(*) over (partition by ticker, run) long from sg) y where not (bad and long <= 3)),
+sj as (select *, lead(value) over (partition by ticker order by ends) / value jump from sk),
+sr as (select *, coalesce([case when abs(jump / k - 1) <= 0.04 then k else 1 / k end for k in [1.5, 2, 3, 4, 5, 6, 7, 8, 10, 15, 20, 25, 30, 50]::double[] if abs(jump / k - 1) <= 0.04 or abs(jump * k - 1) <= 0.04][1], 1.0) ratio from sj),
+sa as (select ticker, ends, filed, value * product(ratio) over (partition by ticker order by ends rows between current row and unbounded following) v from sr),
+sm as (select ticker, ends, filed, v from (select *, median(v) over (partition by ticker) mid from sa) y where v <= 20 * mid and v >= mid / 20)"""
+FUNDAMENTALS = SHARES + """,
+ff as (select ticker, fact, filed, ends, value from facts where (fact in ('equity', 'assets') and start is null) or (fact in ('net_income', 'op_cf') and date_diff('day', start, ends) between 330 and 400) union all select ticker, 'shares', filed, ends, v from sm),
+fk as (select p.ticker, p.month, f.fact, f.value from prices p join ff f on f.ticker = p.ticker and f.filed <= p.month and date_diff('day', f.ends, p.month) <= 456 qualify row_number() over (partition by p.ticker, p.month, f.fact order by f.filed desc, f.ends desc, f.value desc) = 1),
+fp as (select ticker, month, max(case when fact = 'equity' then value end) eq, max(case when fact = 'assets' then value end) at_, max(case when fact = 'shares' then value end) sh, max(case when fact = 'net_income' then value end) ni, max(case when fact = 'op_cf' then value end) cf from fk group by 1, 2),
+fc as (select p.ticker, p.month, eq, at_, ni, cf, sh * price cap from prices p left join fp on fp.ticker = p.ticker and fp.month = p.month),
+fs as (select ticker, month, case when cap > 0 then -ln(cap) end size, case when eq > 0 and cap > 0 then eq / cap end value, case when at_ > 0 then ni / at_ end profitability, case when at_ > 0 then cf / at_ end cash_flow, case when cap > 0 then ni / cap end earnings_yield from fc)"""
+
+
+def facts(tb):
+    return tb.facts.withColumnRenamed("ends", "end")
+
+
+def fundamentals(tb):
+    return g.fundamental_signals(tb.prices.select("ticker", "month", F.col("price").alias("close")), facts(tb))
+
+
+@query("w12_usable_shares", "with " + SHARES.strip() + " select ticker, ends, filed, round(v, 6) as value from sm")
+def _(tb):
+    return tidy(g.usable_shares(facts(tb).where("fact = 'shares'")).withColumnRenamed("end", "ends"))
+
+
+@query("k14_fundamental_signals", "with " + FUNDAMENTALS.strip() + " select ticker, month, " + ", ".join(f"round({x}, 6) as {x}" for x in g.FUNDAMENTAL) + " from fs")
+def _(tb):
+    return tidy(fundamentals(tb))
+
+
+def eight(tb):
+    """The panel of all eight signals, scored by month."""
+    return g.z_scores(signals(tb).select("ticker", "month", "fwd", *STYLES).join(fundamentals(tb), ["ticker", "month"], "left"), [*STYLES, *g.FUNDAMENTAL])
+
+
+@query("k14_eight_signals", PANEL + ", " + FUNDAMENTALS.strip() + " select z.ticker as ticker, z.month as month, round(z.momentum, 6) as momentum, " + ", ".join(
+    f"round(case when fs.{x} is not null and count(fs.{x}) over m >= 10 then least(greatest((fs.{x} - avg(fs.{x}) over m) / nullif(stddev_samp(fs.{x}) over m, 0), -3), 3) end, 6) as {x}" for x in g.FUNDAMENTAL
+) + " from z left join fs on fs.ticker = z.ticker and fs.month = z.month window m as (partition by z.month)")
+def _(tb):
+    return tidy(eight(tb).select("ticker", "month", "momentum", *g.FUNDAMENTAL))
+
+
+@query("r27_eight_univariate")
+def _(tb):
+    every = [*STYLES, *g.FUNDAMENTAL]
+    long = eight(tb).unpivot(["ticker", "month", "fwd"], every, "signal", "value")
+    return tidy(r.ic_summary(r.information_coefficients(long, "value", "fwd", "signal", "month"), "signal"))
+
+
+@query("k15_eight_composite")
+def _(tb):
+    return tidy(g.linear_composite(eight(tb), [*STYLES, *g.FUNDAMENTAL]).select("ticker", "month", "composite"))
+
+
 DRAWS = PANEL + """, scored as (select z.month, z.ticker from z join sectors s on z.ticker = s.ticker where fwd is not null and momentum is not null and reversal is not null and low_vol is not null),
   enough as (select month from scored group by 1 having count(*) >= 100), every as (select f.month, f.ticker, d.draw from scored f join enough e on f.month = e.month cross join range(0, 100) d(draw)),
   drawn as (select month, draw, ticker, row_number() over (partition by month, draw order by md5(concat_ws('|', '0', cast(month as varchar), cast(draw as varchar), ticker)), ticker) k from every)"""

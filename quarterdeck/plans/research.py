@@ -158,6 +158,11 @@ def _(tb):
     return tidy(o.evaluate(walk(tb), "fwd_excess"))
 
 
+@query("j22_watch_list")
+def _(tb):
+    return tidy(o.watch_list(walk(tb), tb.funds))
+
+
 @query("m05_folds")
 def _(tb):
     return tidy(o.fold_areas(o.out_of_fold(decay_panel(tb), DECAY), "excess12"))

@@ -31,6 +31,18 @@ TABLES = {
     "traits": """
         select concat(p_brand, '/', p_type) ticker, avg(p_size) size, avg(p_retailprice) level, count(*) parts, min(length(p_name)) shortest, max(p_partkey) % 2 odd
         from {part} where p_partkey % 20 <> 0 group by 1""",
+    # facts of each ticker and quarter: some share counts a thousandfold, some filers foreign
+    "fact_base": """
+        select concat(p_brand, '/', p_type) ticker, last_day(cast(cast(date_trunc('quarter', l_shipdate) as date) + interval '2' month as date)) ends,
+          sum(l_quantity) q, sum(l_extendedprice) v, sum(l_extendedprice * l_discount) d, case when min(p_size) % 7 = 0 then '20-F' else '10-Q' end form, case when min(p_size) % 5 = 0 then 1000 else 1 end unit
+        from {lineitem} join {part} on l_partkey = p_partkey where p_partkey % 20 <> 0 group by 1, 2""",
+    "facts": """
+        select ticker, fact, start, ends, cast(ends + cast(30 + length(ticker) as int) as date) filed, value, form from (
+          select ticker, 'shares' fact, cast(null as date) start, ends, q * case when month(ends) = 9 then unit else 1 end value, form from {fact_base}
+          union all select ticker, 'equity', cast(null as date), ends, v * 0.4 - 9000, form from {fact_base}
+          union all select ticker, 'assets', cast(null as date), ends, v, form from {fact_base}
+          union all select ticker, 'net_income', cast(ends - interval '364' day as date), ends, d - 0.04 * v, form from {fact_base}
+          union all select ticker, 'op_cf', cast(ends - interval '364' day as date), ends, 0.1 * v - d, form from {fact_base}) f""",
     "factors": """
         select month, avg(r) - cast(0.002 as double) mkt_rf, avg(case when size < (select avg(size) from {traits}) then r end) - avg(case when size >= (select avg(size) from {traits}) then r end) smb,
           avg(case when level < (select avg(level) from {traits}) then r end) - avg(case when level >= (select avg(level) from {traits}) then r end) hml,
