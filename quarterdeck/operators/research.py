@@ -232,3 +232,35 @@ def merged_matches(prints: DataFrame, moves: DataFrame) -> DataFrame:
     first = prints.select("cusip", "ticker", "accepted", F.lit("price path").alias("how")).join(best, "cusip", "left")
     second = best.join(prints.select("cusip"), "cusip", "left_anti").select("cusip", F.lit(None).cast(prints.schema["ticker"].dataType).alias("ticker"), F.lit(True).alias("accepted"), F.lit("holder migration").alias("how"), "now", "moved", "holders")
     return first.unionByName(second).withColumn("corroborated", F.coalesce(F.col("moved") > 0, F.lit(False)))
+
+
+def error_census(books: DataFrame, shares: DataFrame, renames: DataFrame, lines: DataFrame, returns: DataFrame) -> DataFrame:
+    """(issue, cases, both_sides): six classes of data error, counted in the data as it stands.
+
+    books(slug, period, value) whose total moves a thousandfold from one filing to the next (both_sides: and back at the
+    one after it, a typing error); tickers whose share counts were put on another split basis, and filed counts that were
+    dropped, of shares(ticker, end, filed, value, form); lines found again under a new name, of renames(cusip, accepted);
+    lines(cusip, ticker) without a ticker that weren't; returns(spike) that are no prices. Empty tables count nothing.
+    """
+    from .signals import usable_shares
+
+    w = Window.partitionBy("slug").orderBy("period")
+    total = books.groupBy("slug", "period").agg(F.sum("value").alias("v"))
+    steps = total.select((F.col("v") / F.nullif(F.lag("v").over(w), F.lit(0.0))).alias("up"), (F.lead("v").over(w) / F.nullif(F.col("v"), F.lit(0.0))).alias("on"))
+    jumped = lambda c: F.coalesce((F.col(c) > 0) & (F.round(F.log(c) / math.log(1000)) != 0), F.lit(False))
+    row = lambda d, issue, cases, both=F.lit(None): d.agg(cases.cast("long").alias("cases"), both.cast("long").alias("both_sides")).select(F.lit(issue).alias("issue"), "cases", "both_sides")
+    raw = shares.groupBy("ticker", "end").agg(F.max(F.struct("filed", "value")).alias("x")).select("ticker", "end", F.col("x.value").alias("raw"))
+    both = raw.join(usable_shares(shares).select("ticker", "end", "value"), ["ticker", "end"], "left")
+    found = renames.where("accepted").select("cusip").distinct()
+    out = [
+        row(steps, "unit of book values", F.count_if(jumped("up")), F.count_if(jumped("up") & jumped("on"))),
+        row(both.where(F.round(F.col("value") / F.col("raw"), 3) != 1), "split basis of share counts", F.countDistinct("ticker")),
+        row(both.where("value is null"), "dropped share counts", F.count("*")),
+        row(found, "renamed lines", F.count("*")),
+        row(lines.where("ticker is null").select("cusip").distinct().join(found, "cusip", "left_anti"), "lines without a price", F.count("*")),
+        row(returns.where("spike"), "impossible returns", F.count("*")),
+    ]
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every

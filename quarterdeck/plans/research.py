@@ -10,7 +10,7 @@ from ..operators import research as m
 from ..operators import risk as r
 from ..operators import signals as g
 from .holdings import LONG, books
-from .portfolios import PANEL, STYLES, months, panel
+from .portfolios import PANEL, SHARES, STYLES, facts, months, panel, returns
 from .registry import query, tidy
 
 
@@ -211,6 +211,30 @@ def _(tb):
     return n(w.where(F.col("last") > b.formation_date(F.col("period"))), "late filings").unionByName(n(w.where("n_book < 5"), "small books")).unionByName(n(books(tb).where("ticker is null"), "unmapped lines"))
 
 
+@query("a31_error_census")
+def _(tb):
+    off = F.when((F.col("slug") % 11 == 0) & (F.col("period") == F.lit("1996-06-30").cast("date")), 1000).otherwise(1)  # a planted unit
+    shares = facts(tb).where("fact = 'shares' and start is null")
+    return m.error_census(tb.holdings.select("slug", "period", (F.col("value") * off).alias("value")), shares, fingerprints(tb), tb.cusip_map, returns(tb))
+
+
+CENSUS = """with """ + SHARES.strip() + """, hb as (select slug, period, sum(value * case when slug % 11 = 0 and period = date '1996-06-30' then 1000 else 1 end) v from holdings group by 1, 2),
+  hs as (select v / nullif(lag(v) over w, 0) up, lead(v) over w / nullif(v, 0) onward from hb window w as (partition by slug order by period)),
+  raw as (select ticker, ends, arg_max(value, filed) v from facts where fact = 'shares' and start is null group by 1, 2), rb as (select raw.ticker, raw.ends, raw.v raw, sm.v from raw left join sm on sm.ticker = raw.ticker and sm.ends = raw.ends)
+  select 'unit of book values' as issue, count(*) filter (where up > 0 and round(ln(up) / ln(1000)) <> 0) as cases, count(*) filter (where up > 0 and round(ln(up) / ln(1000)) <> 0 and onward > 0 and round(ln(onward) / ln(1000)) <> 0) as both_sides from hs
+  union all select 'split basis of share counts', count(distinct ticker), 0 from rb where round(v / raw, 3) <> 1 union all select 'dropped share counts', count(*), 0 from rb where v is null
+  union all select 'impossible returns', count(*), 0 from (select a.price / b.price - 1 r, b.price p from prices a join prices b on a.ticker = b.ticker and b.month = cast(date_trunc('month', a.month) - interval '1' day as date)) x where r > 3 and p < 5"""
+
+
+@query("a31_errors_of_values", CENSUS)
+def _(tb):
+    off = F.when((F.col("slug") % 11 == 0) & (F.col("period") == F.lit("1996-06-30").cast("date")), 1000).otherwise(1)
+    shares = facts(tb).where("fact = 'shares' and start is null")
+    none = tb.cusip_map.select("cusip", "ticker", F.lit(False).alias("accepted")).limit(0)
+    every = m.error_census(tb.holdings.select("slug", "period", (F.col("value") * off).alias("value")), shares, none, none, returns(tb))
+    return every.where(~F.col("issue").isin("renamed lines", "lines without a price")).fillna(0)
+
+
 @query("a28_filing_summary", LONG + """, n as (select slug, period, count(*) n, sum(case when ticker is not null then w_all else 0 end) share from books group by 1, 2)
   select slug, arg_max(n, period) as latest_names, round(quantile_cont(n, 0.5), 6) as median_names, round(arg_max(share, period), 6) as priced from n group by 1""")
 def _(tb):

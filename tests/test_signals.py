@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from quarterdeck.operators import models, signals
+from quarterdeck.operators import models, research, signals
 
 D = dt.date
 
@@ -47,3 +47,19 @@ def test_watch_list(spark):
     got = {r.slug: r for r in models.watch_list(scored, names).collect()}
     assert {k: (r.rank_boosted, r.rank_logistic) for k, r in got.items()} == {2: (1, 2.5), 4: (2, 1.0), 1: (3, 2.5), 3: (4, None)}
     assert got[1].manager == "one" and got[3].manager is None and len(got) == 4
+
+
+def test_error_census(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    quarter = [D(2000, 3, 31), D(2000, 6, 30), D(2000, 9, 30), D(2000, 12, 31)]
+    values = {1: [5.0, 5000.0, 5.2, 5.1], 2: [7.0, 7.1, 7100.0, 7200.0], 3: [1.0, 30.0, 0.0, 900.0]}
+    books = make([(s, q, v / 2) for s, vs in values.items() for q, v in zip(quarter, vs, strict=True) for _ in range(2)], "slug int, period date, value double")
+    ends = [D(2000 + k // 4, 3 * (k % 4) + 1, 28) for k in range(10)]
+    shares = [("a", e, e, 100.0 if k != 4 else 100_000.0, "10-Q") for k, e in enumerate(ends)] + [("b", e, e, 10.0 if k < 6 else 20.0, "10-K") for k, e in enumerate(ends)] + [("c", ends[0], ends[0], 5.0, "20-F")]
+    renames = make([("x", True), ("y", False)], "cusip string, accepted boolean")
+    lines = make([("x", None), ("y", None), ("z", "T"), ("y", None)], "cusip string, ticker string")
+    spikes = make([(True,), (False,), (None,)], "spike boolean")
+    census = lambda *t: {r.issue: (r.cases, r.both_sides) for r in research.error_census(*t).collect()}
+    tables = books, make(shares, "ticker string, end date, filed date, value double, form string"), renames, lines, spikes
+    assert census(*tables) == {"unit of book values": (3, 1), "split basis of share counts": (1, None), "dropped share counts": (2, None), "renamed lines": (1, None), "lines without a price": (1, None), "impossible returns": (1, None)}
+    assert set(census(*[t.limit(0) for t in tables]).values()) == {(0, 0), (0, None)}
