@@ -481,7 +481,26 @@ def signal_backtest(tb):
     return t.signal_backtest(bench, signals(tb).select("month", "ticker", F.col("momentum").alias("s")), returns(tb), months(tb))
 
 
-@query("k20_signal_backtest")
+BACKTEST = LONG + ", " + PANEL.strip().removeprefix("with ") + """,
+k0 as (select formation, ticker, sum(value) v from books where ticker is not null group by 1, 2 having count(distinct slug) >= 2),
+k1 as (select h.formation, h.ticker, v / sum(v) over (partition by h.formation) w from k0 h join prices p on h.ticker = p.ticker and h.formation = p.month where p.price >= 1),
+k2 as (select b.formation, b.ticker, b.w, s.momentum s, count(*) over (partition by b.formation) n from k1 b join sig s on s.ticker = b.ticker and s.month = b.formation where s.momentum is not null),
+uni as (select *, w / sum(w) over (partition by formation) b, row_number() over (partition by formation order by s desc, ticker) k from k2 where n >= 30),
+best as (select formation, ticker, 1.0 / count(*) over (partition by formation) w from uni where k <= greatest(10, floor(n / 10))),
+goal as (select 'portfolio' kind, formation, ticker, w from best union all select 'benchmark', formation, ticker, b from uni),
+fm as (select kind, formation, lead(formation) over (partition by kind order by formation) until from (select distinct kind, formation from goal) q),
+sp as (select kind, formation, month from fm join ms on month > formation and (until is null or month <= until)),
+gr as (select t.kind, t.formation, t.ticker, sp.month, t.w, rt.r from goal t join sp on sp.kind = t.kind and sp.formation = t.formation left join rt on rt.ticker = t.ticker and rt.month = sp.month),
+lv as (select *, w * coalesce(product(1 + r) over (partition by kind, formation, ticker order by month rows between unbounded preceding and 1 preceding), 1) g, max(case when r is null then 1 else 0 end) over (partition by kind, formation, ticker order by month) lost from gr),
+dr as (select *, g / sum(g) over (partition by kind, month) weight from lv where lost = 0),
+en as (select *, max(month) over (partition by kind, formation) final from dr),
+ol as (select f.until formation, e.ticker, weight * (1 + r) / sum(weight * (1 + r)) over (partition by e.formation) old from en e join fm f on f.kind = e.kind and f.formation = e.formation where e.kind = 'portfolio' and month = final and f.until is not null),
+tu as (select coalesce(t.formation, o.formation) formation, count(t.w) names, case when count(old) > 0 then sum(abs(coalesce(t.w, 0) - coalesce(old, 0))) / 2 else 1.0 end turnover from best t full join ol o on t.formation = o.formation and t.ticker = o.ticker group by 1)"""
+
+
+@query("k20_signal_backtest", BACKTEST + """, mo as (select kind, formation, month, sum(weight * r) r, count(*) names from dr group by 1, 2, 3),
+pf as (select month, r - case when month = min(month) over (partition by mo.formation) then 0.002 * turnover else 0 end r, mo.names from mo join tu on tu.formation = mo.formation where kind = 'portfolio')
+select coalesce(p.month, q.month) as month, round(p.r, 6) as portfolio, round(q.r, 6) as benchmark, p.names as names from pf p full join (select month, r from mo where kind = 'benchmark') q on p.month = q.month""")
 def _(tb):
     return tidy(signal_backtest(tb)[0])
 
@@ -492,7 +511,11 @@ def _(tb):
     return tidy(t.aggregate_book(books(tb), tb.prices, least=2))
 
 
-@query("k27_rebalance_log")
+@query("k27_rebalance_log", BACKTEST + """, ac as (select u.formation, max(n) universe, sum(abs(coalesce(p.w, 0) - u.b)) / 2 active_share, corr(coalesce(p.w, 0) - u.b, s) transfer from uni u left join best p on p.formation = u.formation and p.ticker = u.ticker group by 1),
+ah as (select u.formation, u.ticker, s, product(1 + rt.r) - 1 f from uni u join sp on sp.formation = u.formation and sp.kind = 'benchmark' join rt on rt.ticker = u.ticker and rt.month = sp.month where rt.r is not null group by 1, 2, 3),
+rk as (select formation, rank() over (partition by formation order by s) + (count(*) over (partition by formation, s) - 1) / 2.0 a, rank() over (partition by formation order by f) + (count(*) over (partition by formation, f) - 1) / 2.0 b from ah),
+ri as (select formation, case when count(*) >= 30 then corr(a, b) end ic from rk group by 1)
+select tu.formation as formation, universe, names, round(turnover, 6) as turnover, round(0.002 * turnover, 6) as drag, round(active_share, 6) as active_share, round(transfer, 6) as transfer, round(ic, 6) as realized_ic from tu join ac on ac.formation = tu.formation left join ri on ri.formation = tu.formation""")
 def _(tb):
     return tidy(signal_backtest(tb)[1])
 
