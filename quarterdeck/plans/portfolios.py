@@ -498,8 +498,11 @@ ol as (select f.until formation, e.ticker, weight * (1 + r) / sum(weight * (1 +
 tu as (select coalesce(t.formation, o.formation) formation, count(t.w) names, case when count(old) > 0 then sum(abs(coalesce(t.w, 0) - coalesce(old, 0))) / 2 else 1.0 end turnover from best t full join ol o on t.formation = o.formation and t.ticker = o.ticker group by 1)"""
 
 
-@query("k20_signal_backtest", BACKTEST + """, mo as (select kind, formation, month, sum(weight * r) r, count(*) names from dr group by 1, 2, 3),
-pf as (select month, r - case when month = min(month) over (partition by mo.formation) then 0.002 * turnover else 0 end r, mo.names from mo join tu on tu.formation = mo.formation where kind = 'portfolio')
+MONTHLY = """, mo as (select kind, formation, month, sum(weight * r) r, count(*) names from dr group by 1, 2, 3),
+pf as (select month, r - case when month = min(month) over (partition by mo.formation) then 0.002 * turnover else 0 end r, mo.names from mo join tu on tu.formation = mo.formation where kind = 'portfolio')"""
+
+
+@query("k20_signal_backtest", BACKTEST + MONTHLY + """
 select coalesce(p.month, q.month) as month, round(p.r, 6) as portfolio, round(q.r, 6) as benchmark, p.names as names from pf p full join (select month, r from mo where kind = 'benchmark') q on p.month = q.month""")
 def _(tb):
     return tidy(signal_backtest(tb)[0])
@@ -511,15 +514,23 @@ def _(tb):
     return tidy(t.aggregate_book(books(tb), tb.prices, least=2))
 
 
-@query("k27_rebalance_log", BACKTEST + """, ac as (select u.formation, max(n) universe, sum(abs(coalesce(p.w, 0) - u.b)) / 2 active_share, corr(coalesce(p.w, 0) - u.b, s) transfer from uni u left join best p on p.formation = u.formation and p.ticker = u.ticker group by 1),
+LOG = """, ac as (select u.formation, max(n) universe, sum(abs(coalesce(p.w, 0) - u.b)) / 2 active_share, corr(coalesce(p.w, 0) - u.b, s) transfer from uni u left join best p on p.formation = u.formation and p.ticker = u.ticker group by 1),
 ah as (select u.formation, u.ticker, s, product(1 + rt.r) - 1 f from uni u join sp on sp.formation = u.formation and sp.kind = 'benchmark' join rt on rt.ticker = u.ticker and rt.month = sp.month where rt.r is not null group by 1, 2, 3),
 rk as (select formation, rank() over (partition by formation order by s) + (count(*) over (partition by formation, s) - 1) / 2.0 a, rank() over (partition by formation order by f) + (count(*) over (partition by formation, f) - 1) / 2.0 b from ah),
-ri as (select formation, case when count(*) >= 30 then corr(a, b) end ic from rk group by 1)
+ri as (select formation, case when count(*) >= 30 then corr(a, b) end ic from rk group by 1)"""
+
+
+@query("k27_rebalance_log", BACKTEST + LOG + """
 select tu.formation as formation, universe, names, round(turnover, 6) as turnover, round(0.002 * turnover, 6) as drag, round(active_share, 6) as active_share, round(transfer, 6) as transfer, round(ic, 6) as realized_ic from tu join ac on ac.formation = tu.formation left join ri on ri.formation = tu.formation""")
 def _(tb):
     return tidy(signal_backtest(tb)[1])
 
 
-@query("r29_fundamental_law")
+@query("r29_fundamental_law", BACKTEST + MONTHLY + LOG + """,
+lg as (select universe, transfer, ic from tu join ac on ac.formation = tu.formation left join ri on ri.formation = tu.formation),
+il as (select avg(ic) ic, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) ic_t, avg(transfer) transfer, avg(universe) * 4 breadth from lg),
+ra as (select count(*) / 12.0 yrs, avg(p.r - q.r) / stddev_samp(p.r - q.r) * sqrt(12) ir from pf p join mo q on p.month = q.month and q.kind = 'benchmark' where p.r is not null and q.r is not null)
+select round(ic, 6) as ic, round(ic_t, 6) as ic_t, round(transfer, 6) as transfer, round(breadth, 6) as breadth, round(transfer * ic * sqrt(breadth), 6) as ir_implied, round(ir, 6) as ir_actual, round(yrs, 6) as "years",
+  round(sqrt((1 + ir * ir / 2) / yrs), 6) as ir_se, round(ir * sqrt(yrs), 6) as ir_t from il, ra""")
 def _(tb):
     return tidy(t.fundamental_law(*signal_backtest(tb)))
