@@ -146,10 +146,18 @@ def _(tb):
     return s.company_facts(by.select("ticker", doc.alias("doc")), {"equity": ["StockholdersEquity", "EquityOld"]}).select("ticker", "end", "value")
 
 
-@query("s19_series_to_statements", """select slug, month as period_end, round(1000000 * product(1 + r) over (partition by slug order by month), 2) as ending_value from (select slug, month, r * 0.01 r from manager_returns)""")
-def _(tb):
-    r = tb.manager_returns.withColumn("r", F.col("r") * 0.01)
-    return tidy(s.returns_to_statements(r, "slug").select("slug", "period_end", "ending_value"), ("ending_value",))
+@query("s19_series_to_statements", """
+with c as (select l_suppkey slug, last_day(cast(l_shipdate as date)) as month, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / 100 / sum(l_quantity) v from lineitem group by 1, 2),
+d as (select a.slug, a.month, (a.v / b.v - 1) * cast(0.01 as double) r from c a join c b on a.slug = b.slug and b.month = cast(date_trunc('month', a.month) - interval '1' day as date)),
+e as (select slug, month, list_reduce(list(1 + case when wild then r / 100 else r end) over (partition by slug order by month), lambda x, y: x * y) g from (select *, max(abs(r)) over (partition by slug) > 1.5 wild from d) x)
+select slug, month as period_end, floor(1000000 * g * 100 + 0.5) / 100 as ending_value from e""")
+def _(tb):
+    """Cents are summed as whole numbers, returns chained in the order of months and cents rounded half up, so that no sum's order decides a cent."""
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double")
+    values = tb.lineitem.groupBy(F.col("l_suppkey").alias("slug"), F.last_day(F.to_date("l_shipdate")).alias("month")).agg((cents / 100 / F.sum("l_quantity")).alias("v"))
+    before = values.select("slug", F.col("month").alias("m0"), F.col("v").alias("v0"))
+    r = values.withColumn("m0", c.previous_month(F.col("month"))).join(before, ["slug", "m0"]).select("slug", "month", ((F.col("v") / F.col("v0") - 1) * 0.01).alias("r"))
+    return s.returns_to_statements(r, "slug").select("slug", "period_end", (F.floor(F.col("ending_value") * 100 + 0.5) / 100).alias("ending_value"))
 
 
 @query("s13_values_to_statements", "select slug, period_end, round(v, 2) as ending_value from (select slug, month period_end, v, row_number() over (partition by slug order by month) k from manager_values) where k > 1")
