@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,29 +35,57 @@ def tumbling(stream: DataFrame, time: str, length: str, value: str, delay: str =
 CHAIN = "account_id long, statement_id string, period_end date, broken boolean, gap_days int"
 
 
-def chain_check(stream: DataFrame) -> DataFrame:
+#: Groups that accounts share their state in, by a hash: a task works through a group's accounts at once.
+STATES = 1 << 14
+
+
+def _days(dates: pd.Series) -> np.ndarray:
+    """Days since 1970; NONE where there is no date."""
+    return np.array(dates.tolist(), "datetime64[D]").astype(np.int64)
+
+
+NONE = np.iinfo(np.int64).min
+
+
+def chain_check(stream: DataFrame, states: int = STATES) -> DataFrame:
     """Each statement's beginning against the ending before it, kept as state by account.
 
     stream(account_id, statement_id, period_start, period_end, beginning_value, ending_value). Statements of one batch are
-    taken by period end; one that is older than the state is compared with nothing.
+    taken by period end; one that is older than the state, of the end of another (by statement_id) or without an end is
+    compared with nothing. A state holds the last end and ending of each account of its group; those without an account
+    are a group of their own.
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = []
-        for r in pd.concat(list(pdfs)).sort_values("period_end").itertuples():
-            broken = gap = None
-            if last is not None and r.period_end > last[0]:
-                gap = (r.period_start - last[0]).days - 1
-                if gap == 0 and r.beginning_value == r.beginning_value and r.beginning_value is not None:
-                    broken = abs(r.beginning_value - last[1]) > max(1.0, 1e-4 * max(abs(r.beginning_value), abs(last[1])))
-            if last is None or r.period_end > last[0]:
-                last = (r.period_end, float(r.ending_value))
-            rows.append((key[0], r.statement_id, r.period_end, broken, gap))
-        state.update(last)
-        yield pd.DataFrame(rows, columns=["account_id", "statement_id", "period_end", "broken", "gap_days"]).astype({"broken": object, "gap_days": "Int64"})
-
-    return stream.groupBy("account_id").applyInPandasWithState(step, CHAIN, "period_end date, ending double", "append", GroupStateTimeout.NoTimeout)
+        new = pd.concat(list(pdfs), ignore_index=True)
+        known, ends, endings = (np.asarray(x, t) for x, t in zip(state.get if state.exists else ([], [], []), (np.int64, np.int64, float), strict=True))
+        account = np.zeros(len(new), np.int64) if key[0] < 0 else new["account_id"].to_numpy(np.int64)
+        end, start, begin = _days(new["period_end"]), _days(new["period_start"]), new["beginning_value"].to_numpy(float)
+        at = np.minimum(np.searchsorted(known, account), max(len(known) - 1, 0))
+        late = (known[at] == account) & (end <= ends[at]) if len(known) else np.zeros(len(new), bool)
+        # the states' rows come before the batch's
+        a, e, v = np.concatenate([known, account]), np.concatenate([ends, end]), np.concatenate([endings, new["ending_value"].to_numpy(float)])
+        use = np.flatnonzero(np.concatenate([np.ones(len(known), bool), ~late & (end != NONE)]))
+        names = np.array([""] * len(known) + new["statement_id"].fillna("").tolist(), dtype=object)[use]
+        order = use[np.lexsort((np.argsort(np.argsort(names, kind="stable"), kind="stable"), e[use], a[use]))]
+        head = order[np.append(True, (a[order][1:] != a[order][:-1]) | (e[order][1:] != e[order][:-1]))[: len(order)]]
+        follows = np.flatnonzero(a[head][1:] == a[head][:-1]) if len(head) else np.zeros(0, np.int64)
+        was, row = head[follows], head[follows + 1] - len(known)
+        gap, there, broken, checked = np.zeros(len(new), np.int64), np.zeros(len(new), bool), np.zeros(len(new), bool), np.zeros(len(new), bool)
+        there[row] = start[row] != NONE
+        gap[row] = np.where(there[row], start[row] - e[was] - 1, 0)
+        checked[row] = there[row] & (gap[row] == 0) & ~np.isnan(begin[row]) & ~np.isnan(v[was])
+        with np.errstate(invalid="ignore"):
+            broken[row] = np.abs(begin[row] - v[was]) > np.maximum(1.0, 1e-4 * np.maximum(np.abs(begin[row]), np.abs(v[was])))
+        last = head[np.append(a[head][1:] != a[head][:-1], True)[: len(head)]]
+        state.update((a[last].tolist(), e[last].tolist(), v[last].tolist()))
+        yield pd.DataFrame({
+            "account_id": new["account_id"], "statement_id": new["statement_id"], "period_end": new["period_end"],
+            "broken": pd.arrays.BooleanArray(broken, ~checked), "gap_days": pd.arrays.IntegerArray(gap.astype(np.int32), ~there),
+        })
+
+    group = F.when(F.col("account_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("account_id"), F.lit(states)).cast("int"))
+    return stream.withColumn("group", group).groupBy("group").applyInPandasWithState(step, CHAIN, "accounts array<long>, ends array<long>, endings array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_positions(stream: DataFrame, months: int = 4) -> DataFrame:
