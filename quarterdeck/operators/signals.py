@@ -150,12 +150,18 @@ def signal_correlations(panel: DataFrame, signals: list[str]) -> DataFrame:
 def as_of(queries: DataFrame, facts: DataFrame, stale_days: int = 456) -> DataFrame:
     """For each (ticker, t) the value with the latest (filed, end) among those known at t whose period ended within the limit.
 
-    A late filing for an old period hides nothing: stale periods are left out first. A fact counts in the months from
-    its filing until its period is stale, some 16 at most, so the join is by ticker and month and grows with the facts.
+    A late filing for an old period hides nothing: stale periods are left out first. Of a day's facts only that of the
+    latest period can be asked for. A fact counts in the months from its filing until its period is stale, some 16 at
+    most, or until one of the next few filings is of no earlier period; so the join is by ticker and month and grows
+    with the days of filing, not with the facts.
     """
     until = F.date_add("end", stale_days)
     f = facts.where("value is not null and filed is not null and end is not null").where(F.col("filed") <= until)
-    held = f.select("ticker", "filed", "end", "value", F.explode(F.sequence(F.trunc("filed", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))).alias("month"))
+    f = f.groupBy("ticker", "filed").agg(F.max(F.struct("end", "value")).alias("x")).select("ticker", "filed", "x.*")
+    later = [F.lead(F.struct("filed", "end"), k).over(Window.partitionBy("ticker").orderBy("filed")) for k in range(1, 7)]
+    f = f.withColumns({f"later{k}": x for k, x in enumerate(later)})
+    stop = F.least(until, *[F.when(F.col(f"later{k}.end") >= F.col("end"), F.date_sub(F.col(f"later{k}.filed"), 1)) for k in range(len(later))])
+    held = f.select("ticker", "filed", "end", "value", F.explode(F.sequence(F.trunc("filed", "month"), F.trunc(stop, "month"), F.expr("interval 1 month"))).alias("month"))
     asked = queries.select("ticker", "t").distinct().withColumn("month", F.trunc("t", "month"))
     known = asked.join(held, ["ticker", "month"]).where((F.col("filed") <= F.col("t")) & (F.col("end") >= F.date_sub("t", stale_days)))
     last = known.groupBy("ticker", "t").agg(F.max(F.struct("filed", "end", "value")).alias("last"))
