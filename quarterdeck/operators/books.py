@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,10 @@ def load(holdings: DataFrame, *maps: DataFrame) -> DataFrame:
 
 def sold(books: DataFrame) -> DataFrame:
     """Names held last quarter by a manager that filed this quarter without them, at this quarter's period."""
-    moved = books.select("slug", F.col("period").alias("prev_period"), F.last_day(F.add_months("period", 3)).alias("period"), "cusip", "ticker", F.col("w_all").alias("w_prev"))
+    line = Window.partitionBy("slug", "cusip").orderBy("period")
+    moved = books.select("slug", F.col("period").alias("prev_period"), F.last_day(F.add_months("period", 3)).alias("period"), "cusip", "ticker", F.col("w_all").alias("w_prev"), F.lead("period").over(line).alias("next"))
     filed = books.select("slug", "period", "formation").distinct()
-    return moved.join(filed, ["slug", "period"]).join(books.select("slug", "period", "cusip"), ["slug", "period", "cusip"], "left_anti")
+    return moved.where("next is null or next <> period or cusip is null").drop("next").join(filed, ["slug", "period"])
 
 
 def filing_features(books: DataFrame) -> DataFrame:
@@ -209,6 +212,21 @@ def common_holders(books: DataFrame, least: int = 5, share: float = 0.8) -> Data
     return pairs.join(holders, ["old", "period"]).where((F.col("moved") >= least) & (F.col("moved") >= share * F.col("holders")))
 
 
+#: Rows of pairs that a task counts, about.
+PAIR_ROWS = 2_000_000
+
+
+def holder_pairs(held: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
+    """(a, b, names): names that each two managers a < b both hold, of held(slug, cusip) without repeats.
+
+    The join gives a row for each name and pair; they are dealt into tasks of about rows each, as many as that needs, so
+    that what a task holds stays the same however many there are.
+    """
+    n = held.where("cusip is not null").groupBy("cusip").agg(F.count("slug").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
+    pairs = held.select(F.col("slug").alias("a"), "cusip").join(held.select(F.col("slug").alias("b"), "cusip"), "cusip").where("a < b").select("a", "b")
+    return pairs.repartition(max(1, math.ceil((n or 0) / rows)), "a", "b").groupBy("a", "b").agg(F.count("*").alias("names"))
+
+
 def share_steps(books: DataFrame) -> DataFrame:
     """Lines whose value jumps a thousandfold against both neighbours of the same line."""
     w = Window.partitionBy("slug", "cusip").orderBy("period")

@@ -160,7 +160,10 @@ longest as (select g.* from good g join best b on g.account_id = b.account_id an
 
 
 def periods(tb):
-    return s.period_returns(rec(tb), tb.flows)
+    """The reconciled statements are gone through several times: what periods need of them is worked out once."""
+    tb.kept("statements")
+    need = ["statement_id", "account_id", "period_start", "period_end", "beginning_used", "ending_value", "status"]
+    return s.period_returns(tb.kept("reconciled", lambda: rec(tb).select(*need)), tb.flows)
 
 
 @query("k04_period_returns", RETURNS + " select statement_id, account_id, cast(days as int) as days, round(net, 2) as net_flows, n_flows, round(r, 6) as r, full_period, evidence from pr")
@@ -192,7 +195,7 @@ PERFORMANCE = """select account_id, min(period_start) as start, max(period_end)
 select account_id, start, stop, n, round(years, 6) as years, round(cumulative, 6) as cumulative, round(mean, 6) as mean, round(case when cumulative > -1 then pow(1 + cumulative, 1 / years) - 1 end, 6) as annualized,
   round(case when b > 0 and e > 0 then pow(e / b, 1 / years) - 1 end, 6) as naive_cagr from p""")
 def _(tb):
-    return tidy(s.account_performance(periods(tb)))
+    return tidy(s.account_performance(tb.kept("periods", lambda: periods(tb))))
 
 
 @query("a14_chain", RETURNS + " select account_id, round(product(1 + r) - 1, 6) as chained from longest group by 1")

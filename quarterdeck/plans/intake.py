@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..sources import readers as s
+from ..sources.kept import shared_place
 from ..streaming import jobs as j
 from .registry import query, tidy
 
@@ -181,13 +180,7 @@ def _events(tb):
 
 
 def _place(tb):
-    """A folder of its own in the cluster's shared folder; only a session on one machine may leave that unset."""
-    import tempfile
-
-    base = tb.spark.conf.get("spark.checkpoint.dir", None) or tb.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not tb.spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_place(tb.spark, "stream")
 
 
 @query("t03_tumbling_days", "select time_bucket(interval '1' day, ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest as t
 from ..operators import books as b
 from ..operators import risk as r
 from ..operators import signals as g
-from .holdings import LONG, books
+from .holdings import LONG, books, narrow_books
 from .registry import query, tidy
 
 STYLES = ["momentum", "reversal", "low_vol"]
@@ -45,8 +46,10 @@ def _(tb):
 
 
 def weights(tb):
-    bk = books(tb)
-    return b.formation_weights(bk, b.sold(bk)).select("portfolio", "formation", "ticker", "w")
+    """A few rows for each formation and ticker, which every use of them reads again. Prices are as few, and kept with them."""
+    tb.kept("prices")
+    bk = narrow_books(tb)
+    return tb.kept("weights", lambda: b.formation_weights(bk, b.sold(bk)).select("portfolio", "formation", "ticker", "w"))
 
 
 BOOK = """,
@@ -106,9 +109,11 @@ def _(tb):
 
 @query("k12_clone_returns")
 def clones(tb):
-    bk = b.map_tickers(b.top_weights(b.weigh(b.build(tb.holdings))), tb.cusip_map).where("ticker is not null").select("slug", "period", "filed", "ticker", F.col("weight").alias("w"))
-    filed = bk.groupBy("slug", "period").agg(F.max("filed").alias("filed"))
-    return tidy(g.clone_returns(bk.drop("filed").join(filed, ["slug", "period"]), tb.prices, returns(tb), months(tb), floor=0.5))
+    tb.kept("prices")
+    bk = b.map_tickers(b.top_weights(b.weigh(b.build(tb.holdings))), tb.cusip_map).where("ticker is not null")
+    filed = F.max("filed").over(Window.partitionBy("slug", "period"))
+    bk = tb.kept("top_books", lambda: bk.select("slug", "period", filed.alias("filed"), "ticker", F.col("weight").alias("w")))
+    return tidy(g.clone_returns(bk, tb.prices, returns(tb), months(tb), floor=0.5))
 
 
 CONTRIB = LONG + BOOK + """,
@@ -382,8 +387,7 @@ g as (select ticker, filed, "end", max(value) as value from f group by 1, 2, 3)"
 def _(tb):
     o = tb.orders.join(tb.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(tb.part.where("p_partkey % 20 <> 0"), F.col("l_partkey") == F.col("p_partkey"))
     f = o.select(F.concat("p_brand", F.lit("/"), "p_type").alias("ticker"), F.to_date("o_orderdate").alias("filed"), F.date_sub(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400).cast("int")).alias("end"), F.col("o_totalprice").alias("value"))
-    facts = f.groupBy("ticker", "filed", "end").agg(F.max("value").alias("value"))
-    return tidy(g.as_of(tb.prices.select("ticker", F.col("month").alias("t")), facts).select("ticker", "t", "value"), ("value",))
+    return tidy(g.as_of(tb.kept("prices").select("ticker", F.col("month").alias("t")), f).select("ticker", "t", "value"), ("value",))
 
 
 @query("w12_clean_share_counts")
