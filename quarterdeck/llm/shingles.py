@@ -5,7 +5,8 @@ Under one order of all shingles, two sets of similarity t or more share a shingl
 prefix; it steers the cost, never the result. Every set has a bitmap in which each member turns one bit over: two bitmaps
 differ in no more bits than their sets in members, so most pairs are ruled out before any set is fetched. A bitmap has
 at least a bit for each member, so it tells long texts apart too; its length is a power of two, and a longer one is
-folded onto a shorter.
+folded onto a shorter. SimHash comes first: sets whose fingerprints are within a few bits are found by op4's search and
+checked like all others; prefixes find what fingerprints of that distance miss.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import by_text, keep, settled
 from .components import components
 from .simhash import _signed, shingle_hashes
@@ -28,6 +30,8 @@ WIDTH = 5
 ORDER_ROWS = 10_000
 ORDER_SHINGLES = 50_000
 EPS = 1e-9
+#: Bits in which the fingerprints of near copies may differ, as in op4.
+DISTANCE = 2
 #: Least longs of a bitmap, a power of two.
 BITMAP = 8
 #: Members of a star whose pairs are joined; larger ones are compared by bitmap in blocks of about BLOCK members,
@@ -87,7 +91,7 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(doc_id, sid, size, p, bits) for every row: a hash that names the set, its size, its prefix's shingles, its bitmap."""
+    """(doc_id, sid, size, p, bits, fp) for every row: a hash that names the set, its size, its prefix's shingles, its bitmap, its SimHash."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs, width))  # at most ORDER_SHINGLES
 
     def one(text):
@@ -96,9 +100,9 @@ def _prefixes(docs: DataFrame, similarity: float, width: int) -> DataFrame:
         at = np.minimum(np.searchsorted(keys, s), max(len(keys) - 1, 0))
         count = np.where(keys[at] == s, n[at], 0) if len(keys) else np.zeros(len(s), np.int64)
         first = s[np.lexsort((s, count))[: len(s) - math.ceil(similarity * len(s) - EPS) + 1]]
-        return _named(s), len(s), first.tolist(), bitmap(s)
+        return _named(s), len(s), first.tolist(), bitmap(s), _signed(simhash.fingerprint_of(s.view(np.uint64)))
 
-    return by_text(docs, lambda: lambda texts: [one(t) for t in texts], "sid long, size int, p array<long>, bits array<long>", "doc_id")
+    return by_text(docs, lambda: lambda texts: [one(t) for t in texts], "sid long, size int, p array<long>, bits array<long>, fp long", "doc_id")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
@@ -165,16 +169,24 @@ def _parts(at: np.ndarray, rows: int = 256):
     return (at[i : i + rows] for i in range(0, len(at), rows))
 
 
+def fingerprint_pairs(once: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of once(sid, fp) by SimHash: each set with the least one of its fingerprint, and those within distance bits."""
+    nodes = keep(once.groupBy("fp").agg(F.min("sid").alias("node")))
+    equal = once.select("sid", "fp").join(nodes, "fp").where("sid <> node").select(F.col("node").alias("a"), F.col("sid").alias("b"))
+    return keep(equal.unionByName(simhash.links(nodes, distance).select("a", "b")).where("a <> b").distinct())
+
+
 def links(docs: DataFrame, rows: DataFrame, names: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """Links (a, b) between sids that keep every connection of sets of the similarity, not all pairs.
 
-    rows(doc_id, sid, size, p, bits) may repeat a set; names(sid, least) has a row's id for each. Members of a bucket
-    are compared with one of the smallest first, as a set with little besides what a bucket shares is like most of them.
+    rows(doc_id, sid, size, p, bits, fp) may repeat a set; names(sid, least) has a row's id for each. Sets whose SimHash
+    fingerprints are equal or within DISTANCE bits (by simhash.links, op4's search) are found first, and checked. Sets of
+    the similarity may differ in some ten bits, so those that fingerprints miss follow. Members of a bucket are compared with one of the smallest first, as a set with little besides what a bucket shares is like most of them.
     All members of the buckets of one such set are its star: two sets of one bucket are in one star, however many
     buckets they share. In large stars each member's nearest by bitmap follows. Then all pairs of a star that these
     links leave apart, in large ones only those that their bitmaps let through.
     """
-    once = keep(rows.where("doc_id is not null").dropDuplicates(["sid"]).select("sid", "size", "p", "bits"))
+    once = keep(rows.where("doc_id is not null").dropDuplicates(["sid"]).select("sid", "size", "p", "bits", "fp"))
     repeated = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     entries = once.select("sid", "size", F.explode("p").alias("g"))
     order = F.shiftleft(F.col("size").cast("long"), 32) + F.col("sid").bitwiseAND(F.lit((1 << 32) - 1))  # ties alike in all buckets
@@ -193,6 +205,8 @@ def links(docs: DataFrame, rows: DataFrame, names: DataFrame, similarity: float
         return settled(lambda: _verified(pairs, keep(_sets(docs, keep(wanted.join(names, "sid")), width, repeated)), similarity))
 
     tried = stars.where("sid <> to").select(F.col("to").alias("a"), F.col("sid").alias("b"))
+    alike = fingerprint_pairs(once)
+    tried = tried.unionByName(alike).distinct()
     first = near(tried)
     found = verified(first)
 

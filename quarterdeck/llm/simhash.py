@@ -41,7 +41,11 @@ def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarr
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of one text: bit j is set if it is set in over half of the shingles' XXH64."""
-    hashes = shingle_hashes(text, width, seed)
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes; zero of none."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)
