@@ -197,7 +197,7 @@ def predict(rows: DataFrame, made: pd.DataFrame, plan: dict, features: list[str]
                 part = part.copy()
                 part["boosted"] = score if squared else 1 / (1 + np.exp(-(score + np.log(m["base"] / (1 - m["base"])))))
                 if linear:
-                    coef = np.asarray(m["coef"])
+                    coef = np.asarray(m["coef"], float)  # a fit that found no maximum has nulls
                     k = len(features)
                     part["logistic"] = 1 / (1 + np.exp(-np.clip(coef[0] + np.where(np.isfinite(x), x, coef[k + 1 :]) @ coef[1 : k + 1], -30, 30)))
                     part["base"] = m["base"]
