@@ -50,6 +50,10 @@ def previous_quarter(period: Column) -> Column:
     return F.last_day(F.add_months(period, -3))
 
 
+def next_quarter(day: Column) -> Column:
+    return F.last_day(F.add_months(day, 3))
+
+
 def previous_month(month: Column) -> Column:
     return F.date_sub(F.trunc(month, "month"), 1)
 

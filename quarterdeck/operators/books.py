@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import formation_date, previous_quarter
+from ..functions.columns import formation_date, next_quarter, previous_quarter
 
 LEAST_NAMES = 5
 TOP = 60
@@ -36,9 +36,8 @@ def build(holdings: DataFrame) -> DataFrame:
 def weigh(book: DataFrame) -> DataFrame:
     """w_all over the whole book and rank by value, ties by cusip."""
     own = Window.partitionBy("slug", "period")
-    return book.withColumn("w_all", F.col("value") / F.sum("value").over(own)).withColumn("n_book", F.count("*").over(own)).withColumn(
-        "rank", F.row_number().over(own.orderBy(F.desc("value"), "cusip"))
-    )
+    ranked = book.withColumn("rank", F.row_number().over(own.orderBy(F.desc("value"), "cusip")))  # first: its order serves the others
+    return ranked.withColumn("w_all", F.col("value") / F.sum("value").over(own)).withColumn("n_book", F.count("*").over(own))
 
 
 def top_weights(weighed: DataFrame, top: int = TOP) -> DataFrame:
@@ -67,29 +66,34 @@ def link_quarters(books: DataFrame) -> DataFrame:
     """Shares of the calendar quarter before, and whether a name is new, added to (+25 %) or cut (-25 %).
 
     Flags are false where the manager has no book in that quarter. The line before counts only if it is of the quarter
-    before: quarters can be missing.
+    before: quarters can be missing. gone marks a line that the manager's book of the quarter after, if there is one, no
+    longer holds. All of it goes by manager, whose quarters are few, so books dealt by manager aren't dealt anew.
     """
-    line = Window.partitionBy("slug", "cusip").orderBy("period")
-    filed = books.select("slug", F.col("period").alias("prev_period")).distinct().withColumn("has_prev", F.lit(True))
-    dated = books.withColumn("prev_period", previous_quarter(F.col("period"))).withColumn("was", F.lag(F.struct("period", "shares", "w_all")).over(line))
-    near = F.col("was.period") == F.col("prev_period")
-    linked = dated.withColumn("shares_prev", F.when(near, F.col("was.shares"))).withColumn("w_prev", F.when(near, F.col("was.w_all"))).drop("was").join(filed, ["slug", "prev_period"], "left")
-    has, was = F.coalesce("has_prev", F.lit(False)), F.col("shares_prev")
-    flag = lambda c: F.coalesce(has & c, F.lit(False))
-    return linked.withColumn("has_prev", has).withColumn("new", flag(was.isNull())).withColumn("add", flag(F.col("shares") >= 1.25 * was)).withColumn("cut", flag(F.col("shares") <= 0.75 * was))
+    line, own = Window.partitionBy("slug", "cusip").orderBy("period"), Window.partitionBy("slug")
+    dated = books.withColumn("prev_period", previous_quarter(F.col("period"))).withColumn("next_period", next_quarter(F.col("period")))
+    lined = dated.withColumns({"was_at": F.lag("period").over(line), "was": F.lag("shares").over(line), "w_was": F.lag("w_all").over(line), "then_at": F.lead("period").over(line)})
+    linked = lined.withColumn("filed_at", F.collect_set("period").over(own))
+    files = lambda p: F.coalesce(F.array_contains("filed_at", F.col(p)) & F.col("slug").isNotNull(), F.lit(False))
+    near, stays = F.col("was_at") == F.col("prev_period"), F.coalesce((F.col("then_at") == F.col("next_period")) & F.col("cusip").isNotNull(), F.lit(False))
+    linked = linked.withColumns({"has_prev": files("prev_period"), "gone": files("next_period") & ~stays, "shares_prev": F.when(near, F.col("was")), "w_prev": F.when(near, F.col("w_was"))})
+    was = F.col("shares_prev")
+    flag = lambda c: F.coalesce(F.col("has_prev") & c, F.lit(False))
+    flags = {"new": flag(was.isNull()), "add": flag(F.col("shares") >= 1.25 * was), "cut": flag(F.col("shares") <= 0.75 * was)}
+    return linked.withColumns(flags).drop("was_at", "was", "w_was", "then_at", "filed_at", "next_period")
 
 
 def load(holdings: DataFrame, *maps: DataFrame) -> DataFrame:
-    """Eligible books with weights, ranks, tickers and links to the quarter before."""
-    return link_quarters(map_tickers(eligible(weigh(build(holdings))), *maps))
+    """Eligible books with weights, ranks, tickers and links to the quarter before.
+
+    The lines go by cusip until they have their tickers, and are then dealt by manager once.
+    """
+    return link_quarters(eligible(weigh(map_tickers(build(holdings), *maps).repartition("slug"))))
 
 
 def sold(books: DataFrame) -> DataFrame:
     """Names held last quarter by a manager that filed this quarter without them, at this quarter's period."""
-    line = Window.partitionBy("slug", "cusip").orderBy("period")
-    moved = books.select("slug", F.col("period").alias("prev_period"), F.last_day(F.add_months("period", 3)).alias("period"), "cusip", "ticker", F.col("w_all").alias("w_prev"), F.lead("period").over(line).alias("next"))
-    filed = books.select("slug", "period", "formation").distinct()
-    return moved.where("next is null or next <> period or cusip is null").drop("next").join(filed, ["slug", "period"])
+    after = next_quarter(F.col("period"))
+    return books.where("gone").select("slug", after.alias("period"), F.col("period").alias("prev_period"), "cusip", "ticker", F.col("w_all").alias("w_prev"), formation_date(after).alias("formation"))
 
 
 def filing_features(books: DataFrame) -> DataFrame:
@@ -136,22 +140,28 @@ def quintile(i: Column, n: Column) -> Column:
 PORTFOLIOS = ("ALL", "BEST1", "BEST3", "CROWD_HI", "CROWD_LO", "NEW", "ADD", "CUT", "SOLD")
 
 
-def formation_weights(books: DataFrame, gone: DataFrame) -> DataFrame:
-    """Weights by (portfolio, formation, ticker): every manager counts alike; each portfolio sums to one.
+def position_counts(books: DataFrame) -> DataFrame:
+    """(formation, ticker, holders, value) and how many positions each portfolio takes there; gone ones count at their last formation.
+
+    Books dealt by manager are gone through once and added up where they lie.
+    """
+    pick = {"ALL": F.lit(True), "BEST1": F.col("rank") <= 1, "BEST3": F.col("rank") <= 3, "NEW": F.col("new"), "ADD": F.col("add"), "CUT": F.col("cut"), "SOLD": F.col("gone")}
+    own = books.where("ticker is not null").groupBy("slug", "formation", "ticker").agg(F.sum("value").alias("value"), *[F.count_if(c).alias(p) for p, c in pick.items()])
+    return own.groupBy("formation", "ticker").agg(F.count("slug").alias("holders"), F.sum("value").alias("value"), *[F.sum(p).alias(p) for p in pick])
+
+
+def formation_weights(counts: DataFrame) -> DataFrame:
+    """Weights by (portfolio, formation, ticker) of position_counts(): every manager counts alike; each portfolio sums to one.
 
     ALL: every position; BEST1 and BEST3: a manager's largest; NEW, ADD, CUT and SOLD by flag; CROWD_HI and CROWD_LO:
     names in the top and bottom fifth by holders.
     """
-    held = books.where("ticker is not null")
-    names = held.groupBy("formation", "ticker").agg(F.countDistinct("slug").alias("holders"), F.sum("value").alias("value"))
     order = Window.partitionBy("formation").orderBy("holders", "value", "ticker")
-    fifths = names.withColumn("fifth", quintile(F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy("formation"))))
+    fifths = counts.withColumn("fifth", quintile(F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy("formation"))))
     crowd = fifths.where("fifth in (0, 4)").select(F.when(F.col("fifth") == 4, "CROWD_HI").otherwise("CROWD_LO").alias("portfolio"), "formation", "ticker", F.lit(1.0).alias("k"))
-    pick = {"ALL": F.lit(True), "BEST1": F.col("rank") <= 1, "BEST3": F.col("rank") <= 3, "NEW": F.col("new"), "ADD": F.col("add"), "CUT": F.col("cut")}
-    tags = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(p)) for p, c in pick.items()])))
-    counted = held.select(tags.alias("portfolio"), "formation", "ticker").groupBy("portfolio", "formation", "ticker").agg(F.count("*").cast("double").alias("k"))
-    out = gone.where("ticker is not null").select(F.lit("SOLD").alias("portfolio"), "formation", "ticker").groupBy("portfolio", "formation", "ticker").agg(F.count("*").cast("double").alias("k"))
-    every = counted.unionByName(crowd).unionByName(out)
+    at = lambda p: next_quarter(F.col("formation")) if p == "SOLD" else F.col("formation")
+    picked = F.explode(F.array(*[F.struct(F.lit(p).alias("portfolio"), at(p).alias("formation"), F.col(p).cast("double").alias("k")) for p in PORTFOLIOS if not p.startswith("CROWD")]))
+    every = counts.select("ticker", picked.alias("x")).select("x.portfolio", "x.formation", "ticker", "x.k").where("k > 0").unionByName(crowd)
     return every.withColumn("w", F.col("k") / F.sum("k").over(Window.partitionBy("portfolio", "formation"))).drop("k")
 
 

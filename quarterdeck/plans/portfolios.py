@@ -9,7 +9,7 @@ from ..operators import backtest as t
 from ..operators import books as b
 from ..operators import risk as r
 from ..operators import signals as g
-from .holdings import LONG, books, narrow_books
+from .holdings import LONG, books, position_counts
 from .registry import query, tidy
 
 STYLES = ["momentum", "reversal", "low_vol"]
@@ -48,8 +48,7 @@ def _(tb):
 def weights(tb):
     """A few rows for each formation and ticker, which every use of them reads again. Prices are as few, and kept with them."""
     tb.kept("prices")
-    bk = narrow_books(tb)
-    return tb.kept("weights", lambda: b.formation_weights(bk, b.sold(bk)).select("portfolio", "formation", "ticker", "w"))
+    return tb.kept("weights", lambda: b.formation_weights(position_counts(tb)).select("portfolio", "formation", "ticker", "w"))
 
 
 BOOK = """,

@@ -87,6 +87,9 @@ TABLES = {
           case when c_custkey % 11 = 0 then 'N' else 'Y' end discretionary, c_mktsegment strategy from {customer} where c_custkey % 97 <> 0""",
 }
 
+#: Large tables that are dealt by a key before a table is made of them: its joins and groups, and what is made of it, go by that key, too.
+DEALT = {"holdings": {"lineitem": "l_partkey"}}
+
 
 def needed(text: str) -> list[str]:
     """Domain tables that a text names, each after those it is made of."""
@@ -124,6 +127,7 @@ class Testbed:
         if name not in made:
             if name in TABLES:
                 used = {x: getattr(self, x) for x in re.findall(r"\{(\w+)\}", TABLES[name])}
+                used.update({x: used[x].repartition(key) for x, key in DEALT.get(name, {}).items()})
                 made[name] = self.spark.sql(TABLES[name], **used)
             elif name in BASE:
                 made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
