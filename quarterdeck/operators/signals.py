@@ -75,22 +75,41 @@ def turnover(weights: DataFrame, returns: DataFrame, months: DataFrame, *key: st
     return both.where("n > 0 and n_old > 0").select(*key, "formation", "turnover")
 
 
-def clone_returns(books: DataFrame, prices: DataFrame, returns: DataFrame, months: DataFrame, floor: float = 0.6, least: int = 5, stale: int = 4) -> DataFrame:
+def holding_paths(prices: DataFrame, returns: DataFrame, months: DataFrame, stale: int = 4) -> DataFrame:
+    """For each (ticker, formation) with a price what a holding comes to in the k-th month after, k below stale.
+
+    Columns m_k (the month), g_k (growth before it, null once a return was missing) and r_k (its return). That is the same
+    for all managers, so there are a few rows for each ticker and month.
+    """
+    at = prices.select("ticker", F.col("month").alias("formation")).distinct()
+    near = (F.col("month") > F.col("formation")) & (F.col("month") <= F.last_day(F.add_months("formation", stale)))
+    ahead = at.select("formation").distinct().join(F.broadcast(months), near)  # a row for each month
+    ahead = ahead.withColumn("k", F.row_number().over(Window.partitionBy("formation").orderBy("month")) - 1)
+    grid = at.join(ahead, "formation").join(returns.select("ticker", "month", "r"), ["ticker", "month"], "left")
+    before = Window.partitionBy("ticker", "formation").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    grown = F.coalesce(F.product(1 + F.coalesce("r", F.lit(0.0))).over(before), F.lit(1.0))
+    grid = grid.withColumn("g", F.when(F.coalesce(F.max(F.col("r").isNull().cast("int")).over(before), F.lit(0)) == 0, grown))
+    wide = grid.groupBy("ticker", "formation").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{n}_{k}") for k in range(stale) for n, c in (("m", "month"), ("g", "g"), ("r", "r"))])
+    return at.join(wide, ["ticker", "formation"], "left")
+
+
+def clone_returns(books: DataFrame, paths: DataFrame, floor: float = 0.6, least: int = 5, stale: int = 4) -> DataFrame:
     """Each manager's book held from the end of its filing month to the next, at most four months; months below the
-    coverage floor or with few names have no return. books(slug, period, filed, ticker, w)."""
-    dated = books.withColumn("formation", F.last_day("filed"))
-    priced = dated.join(prices.select("ticker", F.col("month").alias("formation")), ["ticker", "formation"], "left_semi")
-    share = priced.groupBy("slug", "formation").agg(F.sum("w").alias("priced_share"))
-    weights = priced.groupBy("slug", "formation", "ticker").agg(F.sum("w").alias("w")).join(share, ["slug", "formation"]).withColumn("w", F.col("w") / F.col("priced_share"))
-    held = spells(weights, months, "slug", stale=stale).select("slug", "formation", "month")
-    grid = weights.join(held, ["slug", "formation"]).join(returns.select("ticker", "month", "r"), ["ticker", "month"], "left")
-    own = Window.partitionBy("slug", "formation", "ticker").orderBy("month")
-    grown = F.col("w") * F.coalesce(F.product(1 + F.coalesce("r", F.lit(0.0))).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
-    gone = F.coalesce(F.max(F.col("r").isNull().cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    live = grid.withColumn("g", grown).withColumn("gone", gone).where("gone = 0").withColumn("cur", F.col("g") / F.sum("g").over(Window.partitionBy("slug", "month")))
-    ok = F.col("r").isNotNull()
-    by = live.groupBy("slug", "formation", "month").agg(F.sum(F.when(ok, F.col("cur") * F.col("r"))).alias("wr"), F.sum(F.when(ok, F.col("cur"))).alias("there"), F.count_if(ok).alias("names"), F.max("priced_share").alias("priced_share"))
-    return by.withColumn("coverage", F.col("there") * F.col("priced_share")).select("slug", "month", F.when((F.col("coverage") >= floor) & (F.col("names") >= least), F.col("wr") / F.col("there")).alias("r"), "coverage", "names")
+    coverage floor or with few names have no return. books(slug, period, filed, ticker, w), holding_paths() of as many months.
+
+    A book's months are sums over its names, side by side: no row of a name and month is made, and books dealt by manager
+    aren't dealt anew.
+    """
+    held = books.groupBy("slug", F.last_day("filed").alias("formation"), "ticker").agg(F.sum("w").alias("w")).join(paths, ["ticker", "formation"])
+    g, r = (lambda k: F.col("w") * F.col(f"g_{k}")), (lambda k: F.col(f"r_{k}"))
+    there = lambda k, c: F.when(r(k).isNotNull(), c)
+    sums = held.groupBy("slug", "formation").agg(F.sum("w").alias("priced_share"), *[x for k in range(stale) for x in (
+        F.max(f"m_{k}").alias(f"m_{k}"), F.sum(g(k)).alias(f"all_{k}"), F.sum(there(k, g(k) * r(k))).alias(f"wr_{k}"), F.sum(there(k, g(k))).alias(f"there_{k}"), F.count(there(k, g(k))).alias(f"names_{k}"))])
+    sums = sums.withColumn("until", F.lead("formation").over(Window.partitionBy("slug").orderBy("formation")))
+    each = F.explode(F.array(*[F.struct(*[F.col(f"{n}_{k}").alias(n) for n in ("m", "all", "wr", "there", "names")]) for k in range(stale)]))
+    rows = sums.select("slug", "priced_share", "until", each.alias("x")).select("slug", "priced_share", "until", "x.*").where(F.col("all").isNotNull() & (F.col("until").isNull() | (F.col("m") <= F.col("until"))))
+    by = rows.withColumn("coverage", F.col("there") / F.col("all") * F.col("priced_share"))
+    return by.select("slug", F.col("m").alias("month"), F.when((F.col("coverage") >= floor) & (F.col("names") >= least), F.col("wr") / F.col("there")).alias("r"), "coverage", "names")
 
 
 def contributions(live: DataFrame, market: DataFrame) -> DataFrame:

@@ -109,10 +109,10 @@ def _(tb):
 @query("k12_clone_returns")
 def clones(tb):
     tb.kept("prices")
-    bk = b.map_tickers(b.top_weights(b.weigh(b.build(tb.holdings))), tb.cusip_map).where("ticker is not null")
-    filed = F.max("filed").over(Window.partitionBy("slug", "period"))
-    bk = tb.kept("top_books", lambda: bk.select("slug", "period", filed.alias("filed"), "ticker", F.col("weight").alias("w")))
-    return tidy(g.clone_returns(bk, tb.prices, returns(tb), months(tb), floor=0.5))
+    paths = tb.kept("paths", lambda: g.holding_paths(tb.prices, returns(tb), months(tb)))
+    bk = b.top_weights(b.weigh(b.map_tickers(b.build(tb.holdings), tb.cusip_map).repartition("slug"))).where("ticker is not null")
+    bk = bk.select("slug", "period", F.max("filed").over(Window.partitionBy("slug", "period")).alias("filed"), "ticker", F.col("weight").alias("w"))
+    return tidy(tb.kept("clones", lambda: g.clone_returns(bk, paths, floor=0.5)))
 
 
 CONTRIB = LONG + BOOK + """,

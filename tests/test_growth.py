@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quarterdeck.operators import books
+from quarterdeck.operators import books, signals
 from quarterdeck.plans import holdings, testbed
 
 QUARTERS = [dt.date(2000, 3, 31), dt.date(2000, 6, 30), dt.date(2000, 9, 30), dt.date(2000, 12, 31), dt.date(2001, 3, 31)]
@@ -55,3 +55,36 @@ def test_formation_weights_by_a_plain_loop(spark):
     for (p, f, _), k in n.items():
         total[p, f] += k
     assert got == pytest.approx({key: k / total[key[:2]] for key, k in n.items()}) and {p for p, *_ in got} == set(books.PORTFOLIOS)
+
+
+def test_clone_returns_by_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    ends = [(dt.date(2000, 1, 1) + dt.timedelta(days=32 * k)).replace(day=1) - dt.timedelta(days=1) for k in range(1, 14)]
+    r = {(f"t{t}", m): None if rng.random() < 0.1 else float(rng.normal(0, 0.1)) for t in range(7) for m in ends}
+    priced = {k for k in r if rng.random() < 0.9}
+    filed = {(s, q): ends[q] - dt.timedelta(days=int(rng.integers(0, 20))) for s in range(6) for q in (0, 3, 4, 9) if rng.random() < 0.8}
+    rows = [(s, ends[q], d, f"t{t}", float(rng.integers(1, 9)) / 20) for (s, q), d in filed.items() for t in rng.integers(0, 7, 6)]
+    frame = spark.createDataFrame
+    prices = frame([(t, m, 1.0) for t, m in sorted(priced)], "ticker string, month date, price double")
+    paths = signals.holding_paths(prices, frame([(t, m, v) for (t, m), v in r.items()], "ticker string, month date, r double"), frame([(m,) for m in ends], "month date"))
+    bk = frame(rows, "slug long, period date, filed date, ticker string, w double")
+    df = signals.clone_returns(bk, paths, floor=0.3, least=2)
+    got = {(x.slug, x.month): (x.r, x.coverage, x.names) for x in df.collect()}
+    want = {}
+    for s in range(6):
+        mine = sorted(q for (x, q) in filed if x == s)
+        for q in mine:
+            w = defaultdict(float)
+            for _, period, _, t, v in (x for x in rows if x[0] == s and x[1] == ends[q] and (x[3], ends[q]) in priced):
+                w[t] += v
+            live, share = dict(w), sum(w.values())
+            for k in range(q + 1, min([q + 4, *[x for x in mine if x > q][:1], 12]) + 1):
+                if not live:
+                    break
+                ok = {t: v for t, v in live.items() if r[t, ends[k]] is not None}
+                there = sum(ok.values()) / sum(live.values()) if ok else None
+                cover = there and there * share
+                back = sum(v * r[t, ends[k]] for t, v in ok.items()) / sum(ok.values()) if ok and cover >= 0.3 and len(ok) >= 2 else None
+                want[s, ends[k]] = (back, cover, len(ok))
+                live = {t: v * (1 + r[t, ends[k]]) for t, v in ok.items()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and any(v[0] for v in want.values())
