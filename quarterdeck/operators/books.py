@@ -209,14 +209,20 @@ def freshness(holdings: DataFrame) -> DataFrame:
     return by.withColumn("before", F.lead("managers").over(order)).withColumn("k", F.row_number().over(order)).where("k = 1").select(F.col("period").alias("newest"), "filed", "managers", "before")
 
 
-def common_holders(books: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
-    """A line's last quarter against lines that begin in the next, by managers that held both.
+def line_ends(books: DataFrame) -> DataFrame:
+    """(slug, period, cusip, starts, ends): lines in the first and last quarter in which anyone holds them."""
+    of = Window.partitionBy("cusip")
+    edge = books.where("cusip is not null").select("slug", "period", "cusip", (F.col("period") == F.min("period").over(of)).alias("starts"), (F.col("period") == F.max("period").over(of)).alias("ends"))
+    return edge.where("starts or ends")
+
+
+def common_holders(edges: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
+    """A line's last quarter against lines that begin in the next, by managers that held both, of line_ends().
 
     The pair join runs on manager and quarter, and only for lines that end and begin there.
     """
-    span = books.groupBy("cusip").agg(F.min("period").alias("begin"), F.max("period").alias("end"))
-    ending = books.join(span, "cusip").where("period = end").select("slug", F.last_day(F.add_months("period", 3)).alias("period"), F.col("cusip").alias("old"))
-    starting = books.join(span, "cusip").where("period = begin").select("slug", "period", F.col("cusip").alias("new"))
+    ending = edges.where("ends").select("slug", F.last_day(F.add_months("period", 3)).alias("period"), F.col("cusip").alias("old"))
+    starting = edges.where("starts").select("slug", "period", F.col("cusip").alias("new"))
     holders = ending.groupBy("old", "period").agg(F.countDistinct("slug").alias("holders"))
     pairs = ending.join(starting, ["slug", "period"]).groupBy("old", "new", "period").agg(F.countDistinct("slug").alias("moved"))
     return pairs.join(holders, ["old", "period"]).where((F.col("moved") >= least) & (F.col("moved") >= share * F.col("holders")))

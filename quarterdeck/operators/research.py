@@ -124,15 +124,22 @@ def check_targets(series: DataFrame, value: str, *key: str, ret: float = 0.05, v
 def price_fingerprints(lines: DataFrame, prices: DataFrame, least: int = 8, gap: float = 0.02) -> DataFrame:
     """The ticker whose price path each unmapped line follows, if it is near and the runner-up is not.
 
-    lines(cusip, period, implied), prices(ticker, period, price): an equi-join on the quarter of quarterly log changes; the
-    gap of a pair is the 90th percentile of their absolute differences. Lines with few quarters are left out first.
+    lines(cusip, period, implied), prices(ticker, period, price), a row for each quarter. Each path of quarterly log
+    changes is one row, bounded by the calendar, and so is each pair; the gap of a pair is the 90th percentile of their
+    absolute differences over common quarters. Lines and tickers with few quarters are left out first.
     """
     w = lambda k: Window.partitionBy(k).orderBy("period")
     change = lambda d, k, c: d.where(F.col(c) > 0).select(k, "period", (F.log(c) - F.log(F.lag(c).over(w(k)))).alias("d"), F.lag("period").over(w(k)).alias("before")).where("d is not null and before = last_day(add_months(period, -3))")
-    a = change(lines, "cusip", "implied")
-    many = a.groupBy("cusip").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cusip")
-    b = change(prices, "ticker", "price").select("ticker", "period", F.col("d").alias("d2"))
-    pairs = a.join(many, "cusip", "left_semi").join(b, "period").groupBy("cusip", "ticker").agg(F.count("*").alias("quarters"), F.percentile(F.abs(F.col("d") - F.col("d2")), F.lit(0.9)).alias("gap")).where(F.col("quarters") >= least)
+    path = lambda d, k: d.groupBy(k).agg(F.collect_list(F.struct("period", "d")).alias("path"))
+    a = path(change(lines, "cusip", "implied"), "cusip").where(F.size("path") >= least).select("cusip", F.map_from_entries("path").alias("at"))
+    b = path(change(prices, "ticker", "price"), "ticker").where(F.size("path") >= least).select("ticker", "path")
+    apart = F.transform("path", lambda x: F.abs(F.try_element_at("at", x["period"]) - x["d"]))
+    pairs = a.crossJoin(b).select("cusip", "ticker", F.array_sort(F.filter(apart, lambda x: x.isNotNull())).alias("apart")).withColumn("quarters", F.size("apart").cast("long")).where(F.col("quarters") >= least)
+    place = (F.col("quarters") - 1) * F.lit(0.9)
+    below = F.floor(place)
+    value = lambda k: F.element_at("apart", (k + 1).cast("int"))
+    between = (below + 1 - place) * value(below) + (place - below) * value(F.least(below + 1, F.col("quarters") - 1))
+    pairs = pairs.select("cusip", "ticker", "quarters", between.alias("gap"))
     order = Window.partitionBy("cusip").orderBy("gap", "ticker")
     ranked = pairs.withColumn("k", F.row_number().over(order)).withColumn("runner_up_gap", F.lead("gap").over(order)).where("k = 1").drop("k")
     ok = (F.col("gap") <= gap) & (F.coalesce("runner_up_gap", F.lit(float("inf"))) > F.greatest(3 * F.col("gap"), F.lit(0.05)))

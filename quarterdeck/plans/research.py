@@ -298,8 +298,8 @@ def _(tb):
 
 @query("u05_merged_matches")
 def _(tb):
-    from ..operators.books import common_holders
+    from ..operators.books import common_holders, line_ends
 
-    bk = tb.kept("lines", lambda: books(tb).select("slug", "period", "cusip"))
-    moves = common_holders(bk, least=1, share=0.5).select(F.col("old").alias("cusip"), F.col("new").alias("now"), "moved", "holders")
-    return m.merged_matches(fingerprints(tb), moves)
+    edges = tb.kept("line_ends", lambda: line_ends(books(tb)))
+    moves = common_holders(edges, least=1, share=0.5).select(F.col("old").alias("cusip"), F.col("new").alias("now"), "moved", "holders")
+    return m.merged_matches(tb.kept("fingerprints", lambda: fingerprints(tb)), moves)

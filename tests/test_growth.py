@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quarterdeck.operators import books, signals
+from quarterdeck.operators import books, research, signals
 from quarterdeck.plans import holdings, testbed
 
 QUARTERS = [dt.date(2000, 3, 31), dt.date(2000, 6, 30), dt.date(2000, 9, 30), dt.date(2000, 12, 31), dt.date(2001, 3, 31)]
@@ -88,3 +88,33 @@ def test_clone_returns_by_a_plain_loop(spark):
                 want[s, ends[k]] = (back, cover, len(ok))
                 live = {t: v * (1 + r[t, ends[k]]) for t, v in ok.items()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and any(v[0] for v in want.values())
+
+
+def test_price_fingerprints_and_line_ends_by_plain_loops(spark):
+    rng, frame = np.random.default_rng(6), spark.createDataFrame
+    walk = lambda: np.exp(np.cumsum(rng.normal(0, 0.2, 5)))
+    there = lambda: [q for q in range(5) if rng.random() < 0.9]
+    lines, prices = ({f"{x}{k}": {q: v for q, v in enumerate(walk())} for k in range(9)} for x in "ct")
+    lines, prices = ({k: {q: v[q] for q in there()} for k, v in d.items()} for d in (lines, prices))
+    rows = lambda d: [(k, QUARTERS[q], float(v)) for k, x in d.items() for q, v in x.items()]
+    df = research.price_fingerprints(frame(rows(lines), "cusip string, period date, implied double"), frame(rows(prices), "ticker string, period date, price double"), least=2, gap=0.3)
+    steps = lambda x: {q: np.log(x[q] / x[q - 1]) for q in x if q - 1 in x}
+    want = {}
+    for c, x in lines.items():
+        gaps = []
+        for t, y in prices.items():
+            a, b = steps(x), steps(y)
+            both = [abs(a[q] - b[q]) for q in a if q in b]
+            if len(both) >= 2:
+                gaps.append((float(np.quantile(both, 0.9)), t, len(both)))
+        if gaps:
+            gaps = sorted(gaps)
+            want[c] = (gaps[0][1], gaps[0][2], gaps[0][0], gaps[1][0] if len(gaps) > 1 else None)
+    got = {r.cusip: (r.ticker, r.quarters, r.gap, r.runner_up_gap) for r in df.collect()}
+    assert set(got) == set(want) and all(got[k][:2] == want[k][:2] and got[k][2:] == pytest.approx(want[k][2:]) for k in want)
+    assert "percentile" not in planned(df)  # a pair is one row, whatever its quarters
+
+    held = {(s, q, c) for s, q, c in rng.integers(0, 5, (40, 3)).tolist()}
+    edges = books.line_ends(frame([(s, QUARTERS[q], c) for s, q, c in held] + [(1, QUARTERS[0], None)], "slug long, period date, cusip long"))
+    of = {c: [q for _, q, d in held if d == c] for _, _, c in held}
+    assert {(r.slug, QUARTERS.index(r.period), r.cusip, r.starts, r.ends) for r in edges.collect()} == {(s, q, c, q == min(of[c]), q == max(of[c])) for s, q, c in held if q in (min(of[c]), max(of[c]))}
