@@ -232,15 +232,22 @@ def head_to_head(first: DataFrame, second: DataFrame, *key: str) -> DataFrame:
     return d.agg(F.count("d").alias("months"), F.avg("d").alias("mean"), F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("t"), F.avg((F.col("d") > 0).cast("double")).alias("won"))
 
 
-def walk_forward(panel: DataFrame, features: list[str], trailing: str, months: int = 12, least: int = 12, trees: dict | None = None) -> DataFrame:
+def walk_forward(panel: DataFrame, features: list[str], trailing: str, months: int = 12, least: int = 12, trees: dict | None = None, latest: bool = False) -> DataFrame:
     """panel(slug, month, features, y, ...) at every date with a fit, with persist, logistic, boosted and base.
 
     persist: laggards lag again, the rank of the trailing excess from the highest on, over the date's rows; a missing one
     counts as 0. A fit learns from rows whose label was known by its date: they are the given months old at least, and of
-    so many dates at least. logistic is null where no fit converges. A table with fewer dates gives no rows.
+    so many dates at least. logistic is null where no fit converges. A table with fewer dates gives no rows. latest: of
+    the last date with a fit only; the others are neither fitted nor scored.
     """
     plan = schedule(panel, months, least)
-    made = fits(panel.select("slug", "month", *features, "y"), plan, features, "y", trees or CLASSED, linear=True)
+    rows = panel.select("slug", "month", *features, "y")
+    made = fits(rows, {} if latest else plan, features, "y", trees or CLASSED, linear=True)
+    for at in sorted(plan, reverse=True) if latest else ():
+        made = fits(rows, {at: plan[at]}, features, "y", trees or CLASSED, linear=True)
+        if len(made):
+            plan = {at: plan[at]}
+            break
     scored = predict(panel, made, plan, features, squared=False, linear=True)
     ranked = scored.withColumn("lag", -F.coalesce(F.col(trailing), F.lit(0.0)))
     persist = average_rank("lag", "month") / F.count("*").over(Window.partitionBy("month"))

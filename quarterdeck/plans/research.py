@@ -135,8 +135,8 @@ def decay_panel(tb):
     return tb.kept("decay", lambda: f.join(F.broadcast(mid), "month", "left").withColumn("y", (F.col("fwd_excess") < F.col("mid")).cast("int")).select(*f.columns, "y"))  # a row for each month
 
 
-def walk(tb):
-    return o.walk_forward(decay_panel(tb), DECAY, "excess12")
+def walk(tb, latest=False):
+    return o.walk_forward(decay_panel(tb), DECAY, "excess12", latest=latest)
 
 
 @query("m02_logistic_walk_forward")
@@ -161,7 +161,7 @@ def _(tb):
 
 @query("j22_watch_list")
 def _(tb):
-    return tidy(o.watch_list(walk(tb), tb.funds))
+    return tidy(o.watch_list(walk(tb, latest=True), tb.funds))
 
 
 @query("m05_folds")
