@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quarterdeck.operators import books, research, signals
+from quarterdeck.operators import books, models, research, risk, signals
 from quarterdeck.plans import holdings, testbed
 
 QUARTERS = [dt.date(2000, 3, 31), dt.date(2000, 6, 30), dt.date(2000, 9, 30), dt.date(2000, 12, 31), dt.date(2001, 3, 31)]
@@ -118,3 +118,23 @@ def test_price_fingerprints_and_line_ends_by_plain_loops(spark):
     edges = books.line_ends(frame([(s, QUARTERS[q], c) for s, q, c in held] + [(1, QUARTERS[0], None)], "slug long, period date, cusip long"))
     of = {c: [q for _, q, d in held if d == c] for _, _, c in held}
     assert {(r.slug, QUARTERS.index(r.period), r.cusip, r.starts, r.ends) for r in edges.collect()} == {(s, q, c, q == min(of[c]), q == max(of[c])) for s, q, c in held if q in (min(of[c]), max(of[c]))}
+
+
+def test_bootstrap_fits_each_draw_once(monkeypatch):
+    rng, calls, plain = np.random.default_rng(1), [], risk._alphas
+    y, x = rng.normal(0, 1, (5, 40)), rng.normal(0, 1, (5, 40))
+    assert plain(y, x, 0.3)[1] == pytest.approx(plain(y - 0.3, x)[1]) and (plain(y, x, 0.3)[0] == plain(y, x)[0]).all()
+    monkeypatch.setattr(risk, "_resampled", lambda aligned, work, fields, seed: work(y[0], x[0], rng))
+    monkeypatch.setattr(risk, "_alphas", lambda *a: calls.append(a) or plain(*a))
+    risk.bootstrap(None, replicates=20)
+    assert len(calls) == 2  # the record, and its draws
+
+
+def test_only_the_latest_date_is_fitted(spark, monkeypatch):
+    rng, asked, fits = np.random.default_rng(2), [], models.fits
+    ends = [(dt.date(2000, 1, 1) + dt.timedelta(days=32 * k)).replace(day=1) - dt.timedelta(days=1) for k in range(1, 9)]
+    panel = spark.createDataFrame([(s, m, float(rng.normal()), int(rng.integers(0, 2))) for s in range(30) for m in ends], "slug long, month date, a double, y int")
+    monkeypatch.setattr(models, "fits", lambda rows, plan, *a, **k: asked.extend(plan) or fits(rows, plan, *a, **k))
+    run = lambda latest: models.walk_forward(panel, ["a"], "a", months=1, least=3, trees={**models.CLASSED, "rounds": 3}, latest=latest).where(f"month = '{ends[-1]}'").orderBy("slug").collect()
+    last = run(True)
+    assert asked == [ends[-1]] and last == run(False) and len(last) == 30
