@@ -71,15 +71,15 @@ def link_quarters(books: DataFrame) -> DataFrame:
     """
     line, own = Window.partitionBy("slug", "cusip").orderBy("period"), Window.partitionBy("slug")
     dated = books.withColumn("prev_period", previous_quarter(F.col("period"))).withColumn("next_period", next_quarter(F.col("period")))
-    lined = dated.withColumns({"was_at": F.lag("period").over(line), "was": F.lag("shares").over(line), "w_was": F.lag("w_all").over(line), "then_at": F.lead("period").over(line)})
-    linked = lined.withColumn("filed_at", F.collect_set("period").over(own))
     files = lambda p: F.coalesce(F.array_contains("filed_at", F.col(p)) & F.col("slug").isNotNull(), F.lit(False))
+    filed = dated.withColumn("filed_at", F.collect_set("period").over(own)).withColumns({"has_prev": files("prev_period"), "has_next": files("next_period")}).drop("filed_at")  # lines are put in order without the set
+    lined = filed.withColumns({"was_at": F.lag("period").over(line), "was": F.lag("shares").over(line), "w_was": F.lag("w_all").over(line), "then_at": F.lead("period").over(line)})
     near, stays = F.col("was_at") == F.col("prev_period"), F.coalesce((F.col("then_at") == F.col("next_period")) & F.col("cusip").isNotNull(), F.lit(False))
-    linked = linked.withColumns({"has_prev": files("prev_period"), "gone": files("next_period") & ~stays, "shares_prev": F.when(near, F.col("was")), "w_prev": F.when(near, F.col("w_was"))})
+    linked = lined.withColumns({"gone": F.col("has_next") & ~stays, "shares_prev": F.when(near, F.col("was")), "w_prev": F.when(near, F.col("w_was"))})
     was = F.col("shares_prev")
     flag = lambda c: F.coalesce(F.col("has_prev") & c, F.lit(False))
     flags = {"new": flag(was.isNull()), "add": flag(F.col("shares") >= 1.25 * was), "cut": flag(F.col("shares") <= 0.75 * was)}
-    return linked.withColumns(flags).drop("was_at", "was", "w_was", "then_at", "filed_at", "next_period")
+    return linked.withColumns(flags).drop("was_at", "was", "w_was", "then_at", "has_next", "next_period")
 
 
 def load(holdings: DataFrame, *maps: DataFrame) -> DataFrame:
