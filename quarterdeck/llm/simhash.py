@@ -106,18 +106,29 @@ def mask_of(bits) -> int:
     return sum(1 << b for b in bits)
 
 
+def close_pairs(sample: np.ndarray, masks: list[int], most: int, rows: int = 64) -> np.ndarray:
+    """By mask and number of bits from 0 to most: pairs of the sample that differ in so many bits of the mask.
+
+    Some rows at a time meet all others, so the driver never holds all pairs.
+    """
+    out, place = np.zeros((len(masks), most + 1), np.int64), np.arange(len(sample))
+    for k in range(0, len(sample), rows):
+        diff = (sample[k : k + rows, None] ^ sample)[place[k : k + rows, None] < place]
+        for own, mask in zip(out, masks, strict=True):
+            own += np.bincount(np.minimum(np.bitwise_count(diff & np.uint64(mask)), most + 1), minlength=most + 2)[:-1]
+    return out
+
+
 def allot(groups: list[list[int]], sample: np.ndarray, n: int, distance: int) -> tuple[float, list[int]]:
     """Credits (threshold + 1) for each group, by dynamic programming: least probes plus estimated candidates."""
-    at, other = np.triu_indices(len(sample), 1)
-    scale = n * (n - 1) / 2 / max(len(at), 1)
-    diff = sample[at] ^ sample[other]
+    close = close_pairs(sample, [mask_of(bits) for bits in groups], distance)
+    scale = n * (n - 1) / 2 / max(len(sample) * (len(sample) - 1) // 2, 1)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for bits in groups:
-        apart = np.bitwise_count(diff & np.uint64(mask_of(bits)))
+    for bits, pairs in zip(groups, close, strict=True):
         cost, probes = [0.0], 0.0
         for credit in range(1, distance + 2):
             probes = float(len(list(combinations(bits, credit - 1))))
-            cost.append(20 * probes * n + float((apart < credit).sum()) * scale)
+            cost.append(20 * probes * n + float(pairs[:credit].sum()) * scale)
         best = {
             total: min(((was + cost[total - used], [*given, total - used]) for used, (was, given) in best.items() if used <= total), key=lambda x: x[0])
             for total in range(distance + 2)
