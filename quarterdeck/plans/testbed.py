@@ -89,6 +89,8 @@ TABLES = {
 
 #: Large tables that are dealt by a key before a table is made of them: its joins and groups, and what is made of it, go by that key, too.
 DEALT = {"holdings": {"lineitem": "l_partkey"}}
+#: Tables that grow and are looked up by a key: dealt by it like the lines, so that neither is sorted and none sent whole to every executor.
+LOOKED_UP = {"prices": ["cusip_map"]}
 
 
 def needed(text: str) -> list[str]:
@@ -128,6 +130,7 @@ class Testbed:
             if name in TABLES:
                 used = {x: getattr(self, x) for x in re.findall(r"\{(\w+)\}", TABLES[name])}
                 used.update({x: used[x].repartition(key) for x, key in DEALT.get(name, {}).items()})
+                used.update({x: used[x].hint("shuffle_hash") for x in LOOKED_UP.get(name, ())})
                 made[name] = self.spark.sql(TABLES[name], **used)
             elif name in BASE:
                 made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
