@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import formation_date, next_quarter, previous_quarter
@@ -33,11 +33,16 @@ def build(holdings: DataFrame) -> DataFrame:
     )
 
 
+def filing() -> tuple[WindowSpec, WindowSpec]:
+    """A filing's lines by value, ties by cusip, and all of them: in one order, so that one pass gives what goes by either."""
+    order = Window.partitionBy("slug", "period").orderBy(F.desc("value"), "cusip")
+    return order, order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def weigh(book: DataFrame) -> DataFrame:
     """w_all over the whole book and rank by value, ties by cusip."""
-    own = Window.partitionBy("slug", "period")
-    ranked = book.withColumn("rank", F.row_number().over(own.orderBy(F.desc("value"), "cusip")))  # first: its order serves the others
-    return ranked.withColumn("w_all", F.col("value") / F.sum("value").over(own)).withColumn("n_book", F.count("*").over(own))
+    order, whole = filing()
+    return book.withColumns({"rank": F.row_number().over(order), "w_all": F.col("value") / F.sum("value").over(whole), "n_book": F.count("*").over(whole)})
 
 
 def top_weights(weighed: DataFrame, top: int = TOP) -> DataFrame:
@@ -48,7 +53,7 @@ def top_weights(weighed: DataFrame, top: int = TOP) -> DataFrame:
 
 def eligible(weighed: DataFrame, least: int = LEAST_NAMES) -> DataFrame:
     """Books that were public at their formation date and hold enough names."""
-    dated = weighed.withColumn("formation", formation_date(F.col("period"))).withColumn("last_filed", F.max("filed").over(Window.partitionBy("slug", "period")))
+    dated = weighed.withColumn("last_filed", F.max("filed").over(filing()[1])).withColumn("formation", formation_date(F.col("period")))
     return dated.where((F.col("last_filed") <= F.col("formation")) & (F.col("n_book") >= least)).drop("last_filed")
 
 
@@ -87,7 +92,12 @@ def load(holdings: DataFrame, *maps: DataFrame) -> DataFrame:
 
     The lines go by cusip until they have their tickers, and are then dealt by manager once.
     """
-    return link_quarters(eligible(weigh(map_tickers(build(holdings), *maps).repartition("slug"))))
+    return linked(map_tickers(build(holdings), *maps))
+
+
+def linked(book: DataFrame) -> DataFrame:
+    """load() of lines that are added up by (slug, period, cusip) and have their tickers."""
+    return link_quarters(eligible(weigh(book.repartition("slug"))))
 
 
 def sold(books: DataFrame) -> DataFrame:

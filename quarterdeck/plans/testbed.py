@@ -21,6 +21,10 @@ TABLES = {
             case when l_returnflag = 'R' and l_discount > 0.085 then 'put' when l_returnflag = 'A' and l_discount > 0.085 then 'call' else '' end putcall,
             sum(l_extendedprice) value, sum(l_quantity) shares
           from {lineitem} join {part} on l_partkey = p_partkey group by 1, 2, 3, 4, 5) h""",
+    # lines of holdings without an option, before they are added up: the quarter is worked out here, so that few columns are dealt
+    "long_lines": """
+        select l_suppkey slug, l_partkey cusip, last_day(cast(cast(date_trunc('quarter', l_shipdate) as date) + interval '2' month as date)) period, l_extendedprice value, l_quantity shares
+        from {lineitem} where case when l_returnflag = 'R' and l_discount > 0.085 then 'put' when l_returnflag = 'A' and l_discount > 0.085 then 'call' else '' end = ''""",
     "cusip_map": "select p_partkey cusip, case when p_partkey % 20 = 0 then null else concat(p_brand, '/', p_type) end ticker from {part}",
     "funds": """
         select s_suppkey slug, s_name manager, r_name region,
