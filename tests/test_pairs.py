@@ -2,7 +2,9 @@
 
 import datetime as dt
 
+import __spark_entry__ as entry
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.operators import research, risk
@@ -46,3 +48,14 @@ def test_pairs_by_blocks_are_those_of_the_join(spark):
 def test_no_row_of_a_pair_and_month(spark):
     for df in (risk.pair_correlations(_series(spark)), research.covariance_rows(_series(spark))):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["r15_covariance"])
+def test_records_are_worked_out_once(spark, name):
+    assert not [f for f in entry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+def test_a_record_is_dealt_a_few_times(spark):
+    assert risk.pair_blocks(60_000) == 12 and risk.pair_blocks(360_000) == 45 and [risk.pair_blocks(n) for n in (0, 900, 6000)] == [1, 1, 6]
+    both = {(r.a, r.b): r.covar for r in risk.record_pairs(_series(spark), "u", diagonal=True, block=5, wanted=("covar",), both_orders=True).collect()}
+    assert set(both) == set(_joined(_series(spark))) and all(_near(v, both[b, a]) for (a, b), v in both.items())
