@@ -50,7 +50,7 @@ def test_no_row_of_a_pair_and_month(spark):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["r15_covariance"])
+@pytest.mark.parametrize("name", ["r15_covariance", "r17_pair_correlations"])
 def test_records_are_worked_out_once(spark, name):
     assert not [f for f in entry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
 
