@@ -1,50 +1,70 @@
 """Models refitted along a calendar: logistic regression and boosted regression trees, all dates at once.
 
-What a fit learns from is a group of rows of one refit date, bounded by a parameter: a date with more rows takes a share
-of them by a hash. A fit is a row of plain arrays; predictions are made where the rows are, with the fits of all dates.
+A fit learns from all rows known at its refit date. Rows stay where they are: bins' edges are exact quantiles found by
+counts, a regression's sums come from all tasks, and trees see how many rows lie in each cell of bins, which is all that
+they need. A fit is a row of plain arrays; predictions are made where the rows are, with the fits of all dates.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
 from .risk import auc, auc_pooled, average_rank, hac_mean
 
-#: Rows that a fit learns from, about, and bins of a feature in the search for splits.
-FIT_ROWS, BINS = 100_000, 64
+#: Bins of a feature in the search for splits; values of a range in the search for their edges, about; rows that a task takes at once, about.
+BINS, PIECE_ROWS, BATCH_ROWS = 64, 500_000, 200_000
 DEPTH = 3
 #: Rounds, step, least weight of a leaf, ridge, and shares of rows and features that a tree sees.
 RANKED = {"rounds": 300, "eta": 0.03, "least": 50.0, "ridge": 5.0, "share": 0.8, "squared": True}
 CLASSED = {"rounds": 200, "eta": 0.05, "least": 20.0, "ridge": 5.0, "share": 0.8, "squared": False}
-FIT = "at date, n_train long, dates long, base double, coef array<double>, feature array<int>, cut array<double>, leaf array<double>, gain array<double>"
+TREES = "k int, feature array<int>, cut array<double>, leaf array<double>, gain array<double>"
+NAMES = ["at", "n_train", "dates", "base", "coef", "feature", "cut", "leaf", "gain"]
+
+
+def _sums(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """[gradient, curvature by rows] of the log-likelihood at w, a missing value standing at its mean."""
+    z = np.c_[np.ones(len(x)), np.nan_to_num((x - mean) / sd)]
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return np.concatenate([z.T @ (y - p), ((z.T * (p * (1 - p))) @ z).ravel()])
+
+
+def _newton(sums: np.ndarray, mean: np.ndarray, sd: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The next w, and the fit where it stands: nulls where no maximum is found."""
+    none, k = np.full(2 * len(w) - 1, np.nan), len(w)
+    try:
+        step = np.linalg.solve(sums[k:].reshape(k, k), sums[:k])
+    except np.linalg.LinAlgError:
+        return w, none
+    w = w + step
+    if np.abs(w).max() > 50:
+        return w, none
+    slopes = w[1:] / sd
+    return w, np.concatenate([[w[0] - slopes @ mean], slopes, mean]) if np.abs(step).max() < 1e-10 else None
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """[constant, slopes] in the features' units, a missing one standing at its mean; null where no maximum is found."""
+    """[constant, slopes, means] in the features' units, a missing one standing at its mean; null where no maximum is found.
+
+    The plain form for rows at hand; _logistics does the same for many groups of a table.
+    """
     mean = np.array([np.nanmean(c) if np.isfinite(c).any() else 0.0 for c in x.T])
     sd = np.array([np.nanstd(c, ddof=1) if np.isfinite(c).sum() > 1 else 1.0 for c in x.T])
     sd[~(sd > 0)] = 1.0
-    z = np.c_[np.ones(len(x)), np.nan_to_num((x - mean) / sd)]
-    w, none = np.zeros(z.shape[1]), np.full(z.shape[1] + x.shape[1], np.nan)
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        try:
-            step = np.linalg.solve((z.T * (p * (1 - p))) @ z, z.T @ (y - p))
-        except np.linalg.LinAlgError:
-            return none
-        w += step
-        if np.abs(w).max() > 50:
-            return none
-        if np.abs(step).max() < 1e-10:
-            slopes = w[1:] / sd
-            return np.concatenate([[w[0] - slopes @ mean], slopes, mean])
-    return none
+        w, made = _newton(_sums(x, y, mean, sd, w), mean, sd, w)
+        if made is not None:
+            return made
+    return np.full(2 * len(w) - 1, np.nan)
 
 
 def boosted(x: np.ndarray, y: np.ndarray, rounds: int, eta: float, least: float, ridge: float, share: float, squared: bool, seed: int = 0) -> tuple[np.ndarray, ...]:
@@ -52,20 +72,36 @@ def boosted(x: np.ndarray, y: np.ndarray, rounds: int, eta: float, least: float,
 
     feature is -1 where a node isn't split. The same rows in the same order give the same trees.
     """
+    edges = [_cuts(np.quantile(c[np.isfinite(c)], QUANTILES)) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
+    return _boosted(_codes(x, edges), edges, y, np.ones(len(y), np.int64), rounds, eta, least, ridge, share, squared, seed)
+
+
+QUANTILES = np.linspace(0, 1, BINS + 1)[1:-1]
+
+
+def _cuts(values: np.ndarray) -> np.ndarray:
+    return np.unique(values)
+
+
+def _codes(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """A line for each feature: 0 where it is missing, else one more than the number of edges below the value."""
+    return np.array([np.where(np.isfinite(c), np.searchsorted(e, c) + 1, 0) for c, e in zip(x.T, edges, strict=True)]).reshape(len(edges), len(x))
+
+
+def _boosted(code: np.ndarray, edges: list[np.ndarray], y: np.ndarray, count: np.ndarray, rounds: int, eta: float, least: float, ridge: float, share: float, squared: bool, seed: int = 0) -> tuple[np.ndarray, ...]:
+    """boosted for cells of count equal rows each: rows of the same codes and target count alike, a tree sees each of them by share."""
     rng, nodes = np.random.default_rng(seed), (1 << DEPTH) - 1
-    edges = [np.unique(np.quantile(c[np.isfinite(c)], np.linspace(0, 1, BINS + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-    code = np.stack([np.where(np.isfinite(c), np.searchsorted(e, c) + 1, 0) for c, e in zip(x.T, edges, strict=True)]) if x.shape[1] else np.zeros((0, len(x)), int)
     feature, cut, leaf = np.full((rounds, nodes), -1), np.zeros((rounds, nodes)), np.zeros((rounds, nodes + 1))
-    gain, margin, width = np.zeros(x.shape[1]), np.zeros(len(x)), BINS + 2
+    gain, margin, width = np.zeros(len(code)), np.zeros(len(y)), BINS + 2
     if not squared:
-        rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        rate = np.clip((count * y).sum() / count.sum(), 1e-6, 1 - 1e-6)
         margin += np.log(rate / (1 - rate))
     for t in range(rounds):
         p = margin if squared else 1 / (1 + np.exp(-margin))
-        g, h = p - y, np.ones(len(x)) if squared else p * (1 - p)
-        seen = rng.random(len(x)) < share
+        g, h = p - y, np.ones(len(y)) if squared else p * (1 - p)
+        seen = rng.binomial(count, share) if share < 1 else count
         tried = np.sort(rng.permutation(len(code))[: max(1, math.ceil(share * len(code)))])
-        gs, hs, at = np.where(seen, g, 0.0), np.where(seen, h, 0.0), np.zeros(len(x), np.int64)
+        gs, hs, at = seen * g, seen * h, np.zeros(len(y), np.int64)
         for level in range(DEPTH):
             first, n = (1 << level) - 1, 1 << level
             best, where = np.full(n, 1e-12), np.full((n, 2), -1)
@@ -86,7 +122,7 @@ def boosted(x: np.ndarray, y: np.ndarray, rounds: int, eta: float, least: float,
                 feature[t, first + node], cut[t, first + node] = f, edges[f][k]
                 gain[f] += best[node]
             split = where[at]
-            right = (split[:, 0] >= 0) & (code[np.maximum(split[:, 0], 0), np.arange(len(x))] > split[:, 1] + 1)
+            right = (split[:, 0] >= 0) & (code[np.maximum(split[:, 0], 0), np.arange(len(y))] > split[:, 1] + 1)
             at = 2 * at + right
         sums = [np.bincount(at, v, nodes + 1) for v in (gs, hs)]
         leaf[t] = -eta * sums[0] / (sums[1] + ridge)
@@ -134,49 +170,201 @@ def schedule(rows: DataFrame, months: int, least: int, every: int = 1) -> dict[d
     return out
 
 
-NAMES = [c.split()[0] for c in FIT.split(", ")]
+def _batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a task, so many at once that numpy is at work and not its calls."""
+    held, rows = [], 0
+    for pdf in pdfs:
+        held.append(pdf)
+        rows += len(pdf)
+        if rows >= BATCH_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+    if rows:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _own(part: np.ndarray, groups: list[frozenset[int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that has some of the rows, and which."""
+    parts, at = np.unique(part, return_inverse=True)
+    for k, g in enumerate(groups):
+        of = np.array([p in g for p in parts.tolist()], bool)
+        if of.any():
+            yield k, of[at]
+
+
+def _moments(lines: list[Row], i: int) -> tuple[float, float]:
+    """(mean, deviation) of the i-th feature over parts; 0 or 1 where there is none."""
+    lines = [r for r in lines if r[f"n{i}"]]
+    n = sum(r[f"n{i}"] for r in lines)
+    if not n:
+        return 0.0, 1.0
+    if min(r[f"lo{i}"] for r in lines) == max(r[f"hi{i}"] for r in lines):
+        return lines[0][f"lo{i}"], 1.0
+    mean = math.fsum(r[f"n{i}"] * r[f"mean{i}"] for r in lines) / n
+    return mean, math.sqrt(math.fsum(r[f"n{i}"] * (r[f"var{i}"] + (r[f"mean{i}"] - mean) ** 2) for r in lines) / (n - 1))
+
+
+def _logistics(known: DataFrame, groups: list[frozenset[int]], features: list[str], moments: list[tuple[np.ndarray, np.ndarray]], rounds: int = 50) -> list[np.ndarray]:
+    """logistic for each group, all at once: a step of Newton's goes through all rows once; sums of fixed size come to the driver."""
+    w, out = [np.zeros(len(features) + 1) for _ in groups], [np.full(2 * len(features) + 1, np.nan) for _ in groups]
+    active = list(range(len(groups)))
+    for _ in range(rounds):
+        if not active:
+            break
+        asked = [(groups[k], *moments[k], w[k]) for k in active]
+
+        def run(pdfs: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
+            sums = {}
+            for b in _batches(pdfs):
+                x, y = b[features].to_numpy(float), b["y"].to_numpy(float)
+                for j, own in _own(b["part"].to_numpy(), [a[0] for a in asked]):
+                    sums[j] = sums.get(j, 0.0) + _sums(x[own], y[own], *asked[j][1:])
+            if sums:
+                yield pd.DataFrame({"j": list(sums), "task": TaskContext.get().partitionId(), "sums": list(sums.values())})
+
+        total = {}
+        for r in sorted(known.select("part", *features, "y").mapInPandas(run, "j int, task int, sums array<double>").collect(), key=lambda r: (r.j, r.task)):
+            total[r.j] = total.get(r.j, 0.0) + np.array(r.sums)
+        going = []
+        for j, k in enumerate(active):
+            w[k], made = _newton(total[j], *moments[k], w[k])
+            if made is None:
+                going.append(k)
+            else:
+                out[k] = made
+        active = going
+    return out
 
 
-def _fitted(dealt: DataFrame, features: list[str], target: str, trees: dict, linear: bool) -> pd.DataFrame:
-    """A fit for each at of dealt(at, month, h, features, target), a group of bounded size each; those of one target value have none.
+def _edges(known: DataFrame, groups: list[frozenset[int]], features: list[str], rows: int) -> list[list[np.ndarray]]:
+    """For each group and feature the distinct quantiles of all its values, as np.quantile has them.
 
-    Fits are few and of fixed size, so they are brought together.
+    Values are counted by part and dealt into ranges; counts by range tell in which range each wanted place lies, and the
+    value is looked up there. Counts by range and part, and the values at the wanted places, come to the driver.
     """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("value")) for i, c in enumerate(features)]))
+    values = known.select("part", each.alias("x")).select("x.f", "part", "x.value").where("value is not null").groupBy("f", "part", "value").agg(F.count("*").alias("n"))
+    pieces = max(1, math.ceil(rows * len(features) / PIECE_ROWS))
+    ranged = kept(values.repartitionByRange(pieces, "f", "value").withColumn("piece", F.spark_partition_id()))  # where ranges end changes no result
+    counts = {}
+    for r in ranged.groupBy("f", "piece", "part").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r.f, {}).setdefault(r.piece, {})[r.part] = r.n
+    places, wanted = {}, {}
+    for k, g in enumerate(groups):
+        for f, by in counts.items():
+            order = sorted(by)
+            ends = np.cumsum([sum(n for p, n in by[piece].items() if p in g) for piece in order])
+            if ends[-1]:
+                at = QUANTILES * (ends[-1] - 1)
+                places[k, f] = at
+                low = np.floor(at).astype(np.int64)
+                for rank in np.unique(np.concatenate([low, np.minimum(low + 1, ends[-1] - 1)])).tolist():
+                    j = int(np.searchsorted(ends, rank, side="right"))
+                    wanted.setdefault((f, order[j]), {}).setdefault(k, []).append((rank, rank - (int(ends[j - 1]) if j else 0)))
+
+    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, out = wanted.get((int(key[0]), int(key[1])), {}), []
+        pdf = pdf.sort_values("value", kind="stable")
+        part, value, n = (pdf[c].to_numpy() for c in ("part", "value", "n"))
+        for k, own in _own(part, [groups[k] for k in asked]):
+            k = list(asked)[k]
+            rank, place = np.array(asked[k]).T
+            out.append(pd.DataFrame({"k": k, "f": int(key[0]), "rank": rank, "value": value[own][np.searchsorted(np.cumsum(n[own]), place, side="right")]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["k", "f", "rank", "value"], dtype=float)
+
+    found = {}
+    for r in ranged.groupBy("f", "piece").applyInPandas(pick, "k int, f int, rank long, value double").collect():
+        found.setdefault((r.k, r.f), {})[r.rank] = r.value
+    out = [[np.zeros(0) for _ in features] for _ in groups]
+    for (k, f), at in places.items():
+        have = found[k, f]
+        low = np.floor(at).astype(np.int64)
+        a, b, t = np.array([have[r] for r in low.tolist()]), np.array([have.get(r + 1, have[r]) for r in low.tolist()]), at - low
+        out[k][f] = _cuts(np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t))
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["month", "h", *features, target], kind="stable")
-        x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
-        if len(y) < 2 or y.min() == y.max():
-            return pd.DataFrame(columns=NAMES, dtype=object)
-        f, c, v, gain = boosted(x, y, **trees)
-        one = pdf["at"].iloc[0], len(y), pdf["month"].nunique(), float(y.mean()), logistic(x, y) if linear else np.zeros(0), f.ravel().astype(np.int32), c.ravel(), v.ravel(), gain
-        return pd.DataFrame([one], columns=NAMES)
-
-    return dealt.groupBy("at").applyInPandas(run, FIT).toPandas()
 
+def _forests(known: DataFrame, groups: list[frozenset[int]], features: list[str], edges: list[list[np.ndarray]], trees: dict) -> dict[int, Row]:
+    """Trees for each group, from the number of all its rows in each cell of codes and target.
 
-def _known(rows: DataFrame, features: list[str], target: str, *also: str) -> DataFrame:
-    marked = rows.where(F.col(target).isNotNull()).withColumn("h", F.xxhash64(*[c for c in rows.columns if c not in features]))
-    return marked.select("month", "h", *also, *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias(target))
+    Rows are counted in tasks first; a group's cells then make a task. A target of two values has at most 2 * (BINS + 1)
+    cells for each feature's bins by each other's, however many rows there are; one of many values has as many as rows.
+    """
+    names = [f"c{i}" for i in range(len(features))]
+
+    def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _batches(pdfs):
+            x, y = b[features].to_numpy(float), b["y"].to_numpy(float)
+            ys, y_at = np.unique(y, return_inverse=True)
+            for k, own in _own(b["part"].to_numpy(), groups):
+                cells, sizes = [*_codes(x[own], edges[k]), y_at[own]], [*[len(e) + 2 for e in edges[k]], len(ys)]
+                n = np.ones(len(cells[0]) if features else int(own.sum()), np.int64)
+                if math.prod(sizes) < 1 << 62:  # a cell is one number; otherwise rows are counted after this alone
+                    at, n = np.unique(np.ravel_multi_index(cells, sizes), return_counts=True)
+                    cells = np.unravel_index(at, sizes)
+                yield pd.DataFrame({"k": np.full(len(n), k, np.int32), **{c: v.astype(np.int16) for c, v in zip(names, cells, strict=False)}, "y": ys[cells[-1]], "n": n})
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(key[0])
+        pdf = pdf.sort_values([*names, "y"], kind="stable")
+        f, c, v, gain = _boosted(pdf[names].to_numpy(np.int64).T.copy(), edges[k], pdf["y"].to_numpy(float), pdf["n"].to_numpy(np.int64), **trees)
+        return pd.DataFrame([(k, f.ravel().astype(np.int32), c.ravel(), v.ravel(), gain)], columns=["k", "feature", "cut", "leaf", "gain"])
+
+    counted = known.select("part", *features, "y").mapInPandas(count, "k int, " + "".join(f"{c} smallint, " for c in names) + "y double, n long")
+    cells = counted.groupBy("k", *names, "y").agg(F.sum("n").alias("n")).repartition(4 * len(groups), "k")  # so many that two groups seldom share one
+    return {r.k: r for r in cells.groupBy("k").applyInPandas(grow, TREES).collect()}
+
+
+def _fitted(known: DataFrame, learns: dict[dt.date, Callable[[int], bool]], features: list[str], trees: dict, linear: bool) -> pd.DataFrame:
+    """A fit for each at of learns, from all rows of known(part, day, features, y) whose part it learns from; those of one target value have none.
+
+    Parts are few: dates or folds. Fits are few and of fixed size, so they are brought together.
+    """
+    known = kept(known)
+    figures = [a for i, c in enumerate(features) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"), F.var_pop(c).alias(f"var{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]
+    lines = sorted(known.groupBy("part").agg(F.count("*").alias("n"), F.collect_set("day").alias("days"), F.sum("y").alias("sum"), F.min("y").alias("lo"), F.max("y").alias("hi"), *figures).collect(), key=lambda r: r.part)
+    heads, groups, moments = [], [], []
+    for at, learn in learns.items():
+        of = [r for r in lines if learn(r.part)]
+        n = sum(r.n for r in of)
+        if n < 2 or min(r.lo for r in of) == max(r.hi for r in of):
+            continue
+        heads.append((at, n, len({d for r in of for d in r.days}), math.fsum(r.sum for r in of) / n))
+        groups.append(frozenset(r.part for r in of))
+        moments.append(tuple(np.array(m) for m in zip(*[_moments(of, i) for i in range(len(features))], strict=True)) if features else (np.zeros(0), np.zeros(0)))
+    if not groups:
+        return pd.DataFrame(columns=NAMES, dtype=object)
+    coef = _logistics(known, groups, features, moments) if linear else [np.zeros(0)] * len(groups)
+    grown_ = _forests(known, groups, features, _edges(known, groups, features, sum(r.n for r in lines)), trees)
+    made = [(*head, coef[k], *(np.array(grown_[k][c]) for c in ("feature", "cut", "leaf", "gain"))) for k, head in enumerate(heads)]
+    return pd.DataFrame(made, columns=NAMES)
 
 
-def _place(*cols):
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 20)) / float(1 << 20)
+def _known(rows: DataFrame, features: list[str], target: str, part) -> DataFrame:
+    """(part, day, features, y) of rows with a target; a feature that isn't finite is missing."""
+    finite = lambda c: F.when(F.col(c) - F.col(c) == 0, F.col(c))
+    doubles = rows.where(F.col(target).isNotNull()).select(part.cast("int").alias("part"), F.unix_date("month").alias("day"), *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y"))
+    return doubles.select("part", "day", *[finite(f).alias(f) for f in features], "y").where("part is not null and not isnan(y)")
 
 
-def fits(rows: DataFrame, plan: dict[dt.date, tuple[dt.date, dt.date]], features: list[str], target: str, trees: dict, linear: bool, most: int = FIT_ROWS) -> pd.DataFrame:
-    """A fit for each refit date of a schedule, from the rows(key..., month, features, target) known there.
+def fits(rows: DataFrame, plan: dict[dt.date, tuple[dt.date, dt.date]], features: list[str], target: str, trees: dict, linear: bool, most: int | None = None) -> pd.DataFrame:
+    """A fit for each refit date of a schedule, from all rows(key..., month, features, target) known there.
 
-    A date with more than most rows with a target takes about as many, by a hash.
+    most, which no query gives: a date with more rows with a target takes about as many, by a hash.
     """
-    known = _known(rows, features, target)
-    counts = [(r.month, r.n) for r in known.groupBy("month").agg(F.count("*").alias("n")).collect()]
-    asked = [(at, until, most / max(1, sum(n for m, n in counts if m <= until))) for at, until in sorted(set(plan.values()))]
+    asked = sorted(set(plan.values()))
     if not asked:
         return pd.DataFrame(columns=NAMES, dtype=object)
-    every = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(u).alias("until"), F.lit(float(s)).alias("share")) for a, u, s in asked])
-    taken = F.filter(every, lambda x: (F.col("month") <= x["until"]) & (_place(F.col("h"), x["at"]) < x["share"]))
-    return _fitted(known.withColumn("x", F.explode(taken)).select("*", "x.at").drop("x"), features, target, trees, linear)
+    day = lambda d: (d - dt.date(1970, 1, 1)).days
+    last = rows.where(F.col("month") <= F.lit(max(u for _, u in asked)))
+    if most is None:
+        return _fitted(_known(last, features, target, F.unix_date("month")), {at: lambda p, u=day(until): p <= u for at, until in asked}, features, trees, linear)
+    counts = [(r.month, r.n) for r in last.where(F.col(target).isNotNull()).groupBy("month").agg(F.count("*").alias("n")).collect()]
+    shares = [most / max(1, sum(n for m, n in counts if m <= until)) for _, until in asked]
+    place = lambda x: F.pmod(F.xxhash64(*[c for c in rows.columns if c not in features], x["at"]), F.lit(1 << 20)) / float(1 << 20)
+    every = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(u).alias("until"), F.lit(s).alias("share"), F.lit(k).alias("k")) for k, ((a, u), s) in enumerate(zip(asked, shares, strict=True))])
+    taken = last.withColumn("x", F.explode(F.filter(every, lambda x: (F.col("month") <= x["until"]) & (place(x) < x["share"]))))
+    return _fitted(_known(taken, features, target, F.col("x.k")), {at: lambda p, k=k: p == k for k, (at, _) in enumerate(asked)}, features, trees, linear)
 
 
 def predict(rows: DataFrame, made: pd.DataFrame, plan: dict, features: list[str], squared: bool, linear: bool) -> DataFrame:
@@ -292,20 +480,16 @@ def evaluate(scored: DataFrame, target: str, lag: int = 3) -> DataFrame:
     return out.select("model", "rows", "dates", "auc_pooled", "auc_mean", "auc_t", "auc_above", "spread_mean", "spread_t", brier.alias("brier"), "brier_base", (1 - F.try_divide(brier, F.col("brier_base"))).alias("brier_skill"))
 
 
-def out_of_fold(panel: DataFrame, features: list[str], folds: int = 5, trees: dict | None = None, most: int = FIT_ROWS) -> DataFrame:
+def out_of_fold(panel: DataFrame, features: list[str], folds: int = 5, trees: dict | None = None) -> DataFrame:
     """Labelled rows of panel(slug, month, features, y, ...) with fold, logistic and boosted, by models that never saw the manager.
 
-    A manager's fold is a hash of its name; each fold's fit is a group of about most rows of the others. A fold whose
-    others have one class only gives no rows.
+    A manager's fold is a hash of its name; each fold's fit learns from all rows of the others. A fold whose others have
+    one class only gives no rows.
     """
     known = panel.where("y is not null").withColumn("fold", F.pmod(F.xxhash64("slug"), F.lit(folds)).cast("int"))
     day = dt.date(2000, 1, 1)  # a fold's fit stands under a day, as others do under their dates
     days = {k: day + dt.timedelta(days=k) for k in range(folds)}
-    counts = {r.fold: r.n for r in known.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    every = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(d).alias("at"), F.lit(most / max(1, sum(counts.values()) - counts.get(k, 0))).alias("share")) for k, d in days.items()])
-    taken = F.filter(every, lambda x: (F.col("fold") != x["fold"]) & (_place(F.col("h"), x["at"]) < x["share"]))
-    marked = _known(known.select("slug", "month", *features, "y", "fold"), features, "y", "fold")
-    made = _fitted(marked.withColumn("x", F.explode(taken)).select("*", "x.at").drop("x"), features, "y", trees or CLASSED, linear=True)
+    made = _fitted(_known(known, features, "y", F.col("fold")), {d: lambda p, k=k: p != k for k, d in days.items()}, features, trees or CLASSED, linear=True)
     own = known.withColumn("own", F.col("month")).withColumn("month", F.date_add(F.lit(day), F.col("fold")))
     scored = predict(own, made, {d: (d, d) for d in days.values()}, features, squared=False, linear=True)
     return scored.withColumn("month", F.col("own")).drop("own", "base")

@@ -119,3 +119,36 @@ def test_head_to_head(spark):
     d = pd.Series([0.2, -0.1, 0.1])
     r = models.head_to_head(a, b, "month").first()
     assert (r.months, round(r.mean, 9), round(r.won, 9)) == (3, round(d.mean(), 9), round(2 / 3, 9)) and np.isclose(r.t, d.mean() / d.std() * np.sqrt(3))
+
+
+def _long(spark, n, parts):
+    """n rows of two features, one of them with ties, gaps and a step, over so many months."""
+    k = "cast(id % 997 as double) / 997"
+    frame = spark.range(n).selectExpr("id as slug", f"add_months(date '2001-01-31', cast(id % {parts} as int)) as month", f"{k} as a", "case when id % 13 > 0 then cast(id % 40 as double) end as b", f"cast({k} + 0.3 * (id % 7) / 7 > 0.6 as int) as y")
+    frame = frame.withColumn("y", models.F.expr("if(pmod(xxhash64(slug), 10) < 2, 1 - y, y)"))
+    return frame.withColumn("month", models.F.last_day("month"))
+
+
+def test_a_fit_learns_from_every_row(spark):
+    rows, at = _long(spark, 130_000, 4), dt.date(2002, 12, 31)
+    trees = {**TREES, "squared": False, "rounds": 12}
+    made = models.fits(rows, {at: (at, dt.date(2001, 4, 30))}, ["a", "b"], "y", trees, True).iloc[0]
+    pdf = rows.toPandas()
+    x, y = pdf[["a", "b"]].to_numpy(float), pdf["y"].to_numpy(float)
+    assert made["n_train"] == len(y) and made["dates"] == 4 and np.isclose(made["base"], y.mean(), rtol=1e-12)
+    assert np.allclose(made["coef"], models.logistic(x, y), rtol=1e-8)
+    feature, cut, leaf, gain = models.boosted(x, y, **trees)
+    assert (made["feature"] == feature.ravel()).all() and (made["cut"] == cut.ravel()).all()
+    assert np.allclose(made["leaf"], leaf.ravel(), atol=1e-9) and np.allclose(made["gain"], gain, rtol=1e-6)
+
+
+def test_edges_are_quantiles_of_all_values(spark, monkeypatch):
+    monkeypatch.setattr(models, "PIECE_ROWS", 150)
+    rows = _panel(spark, 6, 70, seed=3).selectExpr("slug", "month", "a", "case when slug % 3 = 0 then 0D else round(b, 1) end b", "cast(null as double) c", "1 as y")
+    known = models._known(rows, ["a", "b", "c"], "y", models.F.unix_date("month")).cache()
+    pdf = known.toPandas()
+    groups = [frozenset(sorted(set(pdf["part"]))[:k]) for k in (1, 3, 6)]
+    for g, got in zip(groups, models._edges(known, groups, ["a", "b", "c"], len(pdf)), strict=True):
+        for c, e in zip("abc", got, strict=True):
+            v = pdf[pdf["part"].isin(g)][c].dropna().to_numpy()
+            assert (e == (np.unique(np.quantile(v, models.QUANTILES)) if len(v) else np.zeros(0))).all()
