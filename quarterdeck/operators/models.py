@@ -121,8 +121,9 @@ def _boosted(code: np.ndarray, edges: list[np.ndarray], y: np.ndarray, count: np
                 f, k = where[node]
                 feature[t, first + node], cut[t, first + node] = f, edges[f][k]
                 gain[f] += best[node]
-            split = where[at]
-            right = (split[:, 0] >= 0) & (code[np.maximum(split[:, 0], 0), np.arange(len(y))] > split[:, 1] + 1)
+            right = np.zeros(len(y), bool)
+            for f in np.unique(where[where[:, 0] >= 0, 0]):
+                right |= code[f] > np.where(where[:, 0] == f, where[:, 1] + 1, width)[at]
             at = 2 * at + right
         sums = [np.bincount(at, v, nodes + 1) for v in (gs, hs)]
         leaf[t] = -eta * sums[0] / (sums[1] + ridge)

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from quarterdeck.operators import models
 
@@ -152,3 +153,28 @@ def test_edges_are_quantiles_of_all_values(spark, monkeypatch):
         for c, e in zip("abc", got, strict=True):
             v = pdf[pdf["part"].isin(g)][c].dropna().to_numpy()
             assert (e == (np.unique(np.quantile(v, models.QUANTILES)) if len(v) else np.zeros(0))).all()
+
+
+@pytest.mark.parametrize("latest", [True, False])
+def test_scores_come_from_every_row_known(spark, latest):
+    rows = _long(spark, 260_000, 13).select("*", models.F.lit(0.0).alias("fwd_excess"))
+    late = rows.unionByName(rows.selectExpr("slug", "last_day(add_months(month, 12)) as month", "a", "b", "y", "fwd_excess").where("slug < 60"))
+    got = models.walk_forward(late, ["a", "b"], "a", months=12, least=6, trees={**TREES, "squared": False, "rounds": 3}, latest=latest)
+    last = got.groupBy().agg(models.F.max("month")).first()[0]
+    got = got.where(models.F.col("month") == models.F.lit(last)).toPandas()
+    known = late.where(models.F.col("month") <= models.F.lit(models._back(last, 12))).toPandas()
+    coef = models.logistic(known[["a", "b"]].to_numpy(float), known["y"].to_numpy(float))
+    x = got[["a", "b"]].to_numpy(float)
+    want = 1 / (1 + np.exp(-(coef[0] + np.where(np.isfinite(x), x, coef[3:]) @ coef[1:3])))
+    assert len(known) > 200_000 and len(got) and np.allclose(got["logistic"], want, rtol=1e-9) and np.isclose(got["base"].iloc[0], known["y"].mean(), rtol=1e-12)
+
+
+def test_a_fold_learns_from_every_row_of_the_others(spark):
+    rows = _long(spark, 160_000, 3)
+    got = models.out_of_fold(rows, ["a", "b"], trees={**TREES, "squared": False, "rounds": 3}).toPandas()
+    assert len(got) == 160_000
+    for k, own in got.groupby("fold"):
+        rest = got[got["fold"] != k]
+        coef = models.logistic(rest[["a", "b"]].to_numpy(float), rest["y"].to_numpy(float))
+        x = own[["a", "b"]].to_numpy(float)
+        assert len(rest) > 110_000 and np.allclose(own["logistic"], 1 / (1 + np.exp(-(coef[0] + np.where(np.isfinite(x), x, coef[3:]) @ coef[1:3]))), rtol=1e-9)
