@@ -172,7 +172,7 @@ def _(tb):
 
 @query("m05_folds")
 def _(tb):
-    return tidy(o.fold_areas(o.out_of_fold(decay_panel(tb), DECAY), "excess12"))
+    return tidy(o.fold_areas(tb.kept("folds", lambda: o.out_of_fold(decay_panel(tb), DECAY)), "excess12"))  # models are asked once for each row
 
 
 def ranked_by_trees(tb):

@@ -18,3 +18,8 @@ def test_lines_are_put_in_order_without_the_set_of_filings(spark):
 def test_models_are_asked_once_for_each_row(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan  # rows are scored before, and read again
+
+
+def test_folds_are_scored_once(spark):
+    plan = entry.queries()["m05_folds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
